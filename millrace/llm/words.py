@@ -19,6 +19,9 @@ _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For terms: everything but ASCII letters and digits and the bytes of other letters.
+NOT_TERM = np.ones(256, dtype=bool)
+NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -60,6 +63,7 @@ class Words:
     end: np.ndarray  #: byte after each word
     hash: np.ndarray  #: uint64
     bounds: np.ndarray  #: word number at which each document starts, and the end
+    total: np.ndarray  #: running sum of the bytes' codes
 
     @property
     def rows(self) -> int:
@@ -79,18 +83,18 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(texts: pa.Array) -> Iterator[Words]:
-    """The words of a string array, in blocks of whole documents."""
+def blocks(texts: pa.Array, apart: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of a string array, in blocks of whole documents; ``apart`` says which bytes stand between words."""
     data, offsets = raw(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
-        yield _words(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], row)
+        yield _words(data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row], row, apart)
         row = to
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, first: int) -> Words:
-    inside = ~_SPACE[data]
+def _words(data: np.ndarray, offsets: np.ndarray, first: int, apart: np.ndarray) -> Words:
+    inside = ~apart[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -103,7 +107,15 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int) -> Words:
         np.multiply(_CODES[data], _power(_BASE, len(data)), out=total[1:])
         np.cumsum(total[1:], out=total[1:])
         h = mix((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start])
-    return Words(data, offsets, first, start, end, h, np.searchsorted(start, offsets))
+    return Words(data, offsets, first, start, end, h, np.searchsorted(start, offsets), total)
+
+
+def heads(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words longer than ``size`` bytes, and hashes of their first ``size`` bytes."""
+    at = np.flatnonzero(w.end - w.start > size)
+    start = w.start[at]
+    with np.errstate(over="ignore"):
+        return at, mix((w.total[start + size] - w.total[start]) * _power(_INVERSE, len(w.data) + 1)[start] + np.uint64(size))
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
