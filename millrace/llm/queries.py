@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html_extract, packing, quality, token_files, toxicity
+from millrace.llm import html_extract, near_dup, packing, quality, token_files, toxicity
 from millrace.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_gam": op2_quality_gam,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_html_extraction": op5_html_extraction,
+    "op7_minhash_near_dup": op7_minhash_near_dup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
