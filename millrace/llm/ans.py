@@ -19,11 +19,16 @@ import numpy as np
 
 MAGIC = b"MRANS\x001\n"
 PRECISION = 20  #: bits of the frequency scale
-LANES = 1024
-BLOCK_TOKENS = 1 << 18
+LANES = 4096  #: at most; a short block has fewer
+BLOCK_TOKENS = 1 << 20
 _LOW = np.uint64(1 << 31)
 
 
+def lanes_of(n: int) -> int:
+    """Lanes of a block of n tokens."""
+    return min(LANES, max(16, n // 128), n)
+
+
 def _frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to sum to 2**PRECISION, each at least 1."""
     total, scale = int(counts.sum()), 1 << PRECISION
@@ -43,20 +48,20 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
 
 def _encode_block(index: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lane states and words for a block of symbol numbers."""
-    lanes = min(LANES, len(index))
+    lanes = lanes_of(len(index))
+    fs_all, cs_all = f[index], c[index]
     x = np.full(lanes, _LOW, dtype=np.uint64)
     out: list[np.ndarray] = []
     shift, low32, bits = np.uint64(63 - PRECISION), np.uint64(32), np.uint64(PRECISION)
     for at in range((len(index) - 1) // lanes * lanes, -1, -lanes):
-        s = index[at : at + lanes]
-        y = x[: len(s)]
-        fs = f[s]
+        fs = fs_all[at : at + lanes]
+        y = x[: len(fs)]
         full = (y >> shift) >= fs
         if full.any():
             out.append(y[full].astype(np.uint32))
             y = np.where(full, y >> low32, y)
         q = y // fs
-        x[: len(s)] = (q << bits) + (y - q * fs) + c[s]
+        x[: len(fs)] = (q << bits) + (y - q * fs) + cs_all[at : at + lanes]
     return x, np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
 
 
@@ -134,13 +139,13 @@ class TokenFile:
         self.counts = part(2, "<u4").astype(np.int64)
         self.symbols, f = part(3, "<u4"), part(4, "<u4").astype(np.int64)
         self._f, self._c = f.astype(np.uint64), (np.cumsum(f) - f).astype(np.uint64)
-        self._symbol = np.repeat(np.arange(m, dtype=np.int64), f)
+        self._symbol = np.repeat(np.arange(m, dtype=np.int32), f)
         self._place, self._index = part(5, "<u8").astype(int) + int(ends[-1]), part(6, "<u4").reshape(-1, 4).astype(int)
         self._data = data
 
     def block(self, k: int) -> np.ndarray:
         words, n, crc, ids_crc = self._index[k]
-        lanes = min(LANES, n)
+        lanes = lanes_of(n)
         body = self._data[self._place[k] : self._place[k] + 8 * lanes + 4 * words]
         if zlib.crc32(body) != crc:
             raise ValueError(f"damaged block {k}")

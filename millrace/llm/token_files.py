@@ -26,6 +26,8 @@ from millrace.llm.common import scratch_path, ship, table_cut
 
 FILE_TOKENS = 1 << 22
 END_ID = 2
+#: Tasks that read files back, at most; a task reads one file after the other.
+FILES_AT_ONCE = 20_000
 #: Texts that are encoded at once.
 _SLICE = 256
 
@@ -38,7 +40,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
     for b in batches:
         for i in range(0, b.num_rows, _SLICE):
             part = b.slice(i, _SLICE)
-            ids, bounds = tok.encode(part.column(1).to_pylist())
+            ids, bounds = tok.encode(part.column(1))
             for k, doc_id in enumerate(part.column(0).to_pylist()):
                 yield doc_id, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
 
@@ -120,5 +122,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32; every checksum is verified."""
-    files = manifest.select("file", "start").repartition(F.col("file"))
+    tasks = max(1, min(manifest.count(), FILES_AT_ONCE))
+    files = manifest.select("file", "start").repartition(tasks)
     return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
