@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html_extract, near_dup, packing, quality, token_files, toxicity
+from millrace.llm import html_extract, lattice, near_dup, packing, quality, token_files, toxicity
 from millrace.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_lattice_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_near_dup": op1_lattice_near_dup,
     "op2_quality_gam": op2_quality_gam,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_html_extraction": op5_html_extraction,
