@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html_extract, lattice, near_dup, packing, quality, token_files, toxicity
+from millrace.llm import fingerprint, html_extract, lattice, near_dup, packing, quality, token_files, toxicity
 from millrace.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op3_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(documents(spark, sf_dir))
+
+
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
@@ -53,6 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_near_dup": op1_lattice_near_dup,
     "op2_quality_gam": op2_quality_gam,
+    "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_html_extraction": op5_html_extraction,
     "op7_minhash_near_dup": op7_minhash_near_dup,
