@@ -1,13 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in SQL functions only.
 
-A text's paragraphs (its lines, and the sentences of each) are hashed; the set of digests fills
-the cells of a sketch: each digest adds to one cell in each of three rows its count, itself and a
-check. Two sketches subtract cell by cell, and what both have cancels; peeling cells that hold one
-digest recovers the digests in which the texts differ. If peeling gets stuck, the sketch was too
-small: the digests are dealt by their bits to as many small sketches as the texts need, then to
-four times as many with other bits, and at last compared as sets.
+A text's paragraphs (its lines, and the sentences of each) are hashed to codes: 44 bits of digest
+and 20 bits of check. The set of codes fills the cells of a sketch: each code is counted and
+combined by exclusive or in one cell of each of three rows. Two sketches subtract cell by cell, and what
+both have cancels; peeling cells that hold one valid code recovers the codes in which the texts
+differ. If peeling gets stuck, the sketch was too small: the codes are dealt by their bits to as
+many small sketches as the counts of the first let expect differences, and one of those that gets
+stuck is tried at four times the width with other bits; what even that can't tell apart is compared as sets.
 
-The likeness of two sketches is 1 - differing / (digests of both), 1 for two empty ones.
+The likeness of two sketches is 1 - differing / (codes of both), 1 for two empty ones.
 
 Next documents come from one shuffle: rows are dealt to ranges of doc_id cut at quantiles, and
 the first row of each range is also dealt to the range before.
@@ -26,85 +27,114 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 8  #: cells in each of the three rows of a sketch
-ROUNDS = 8
+ROUNDS = 6
+#: Differences that each of the sketches of the second try should have to recover.
+LOAD = 4
+SMALL, LARGE = 8, 16  #: their width, and that of the third try
+CHECK = (1 << 20) - 1
 PARAGRAPH = r"\\n+|(?<=[.!?])\\s+"
+#: First bits of the cells in the three rows: of the fingerprint, of the second and the third try.
+_FIRST, _SECOND, _THIRD = (34, 37, 40), (43, 46, 49), (52, 56, 60)
+_DEAL = 20
 #: Ranges of doc_id for each partition of a shuffle, and their largest number.
 RANGES_PER_PARTITION, MOST_RANGES = 4, 4096
 _names = count()
 
 
+def _new(*names: str) -> tuple[str, ...]:
+    k = next(_names)
+    return tuple(f"{x}{k}" for x in names)
+
+
 def _let(value: str, body) -> str:
     """``body`` of a name that stands for ``value``, which is evaluated once."""
-    name = f"v{next(_names)}"
+    (name,) = _new("v")
     return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
-def digests(text: str) -> str:
-    """SQL: the distinct digests of a text's paragraphs."""
-    return f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), p -> p <> ''), p -> xxhash64(p)))"
+def codes(text: str) -> str:
+    """SQL: the distinct codes of a text's paragraphs."""
+    digest = f"(xxhash64(p) & {~CHECK})"
+    return f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), p -> p <> ''), p -> {digest} | (xxhash64({digest}) & {CHECK})))"
+
 
+def _valid(code: str) -> str:
+    return f"({code} <> 0 AND (xxhash64({code} & {~CHECK}) & {CHECK}) = ({code} & {CHECK}))"
 
-def _check(key: str) -> str:
-    return f"xxhash64({key}, 17L)"
+
+def sketch(keys: str) -> str:
+    """SQL: the cells of a set of codes, with counts: the sketch that a fingerprint shows."""
+    rows = []
+    for bit in _FIRST:
+        i, k, a = _new("i", "k", "a")
+        mine = f"filter({keys}, {k} -> (shiftrightunsigned({k}, {bit}) & {WIDTH - 1}) = {i})"
+        rows.append(f"transform(sequence(0, {WIDTH - 1}), {i} -> {_let(mine, lambda m, a=a, k=k: f"named_struct('n', size({m}), 'x', aggregate({m}, 0L, ({a}, {k}) -> {a} ^ {k}))")})")
+    return f"concat({', '.join(rows)})"
 
 
-def sketch(keys: str, shift: int = 0) -> str:
-    """SQL: the cells of a set of digests; ``shift`` is the first of the nine bits that name cells."""
+def _cells(keys: str, bits: tuple[int, ...], width: int) -> str:
+    """SQL: the cells of codes without counts; a code that comes twice cancels."""
     rows = []
-    for row in range(3):
-        i, d, a, k = (f"{x}{next(_names)}" for x in "idak")
-        mine = f"filter({keys}, {d} -> (shiftrightunsigned({d}, {shift + 3 * row}) & 7) = {i})"
-        start = "named_struct('n', 0L, 'k', 0L, 'c', 0L)"
-        rows.append(f"transform(sequence(0, {WIDTH - 1}), {i} -> aggregate({mine}, {start}, ({a}, {k}) -> named_struct('n', {a}.n + 1L, 'k', {a}.k ^ {k}, 'c', {a}.c ^ {_check(k)})))")
+    for bit in bits:
+        i, k, a = _new("i", "k", "a")
+        rows.append(f"transform(sequence(0, {width - 1}), {i} -> aggregate({keys}, 0L, ({a}, {k}) -> CASE WHEN (shiftrightunsigned({k}, {bit}) & {width - 1}) = {i} THEN {a} ^ {k} ELSE {a} END))")
     return f"concat({', '.join(rows)})"
 
 
 def subtract(a: str, b: str) -> str:
-    """SQL: the cells of a without those of b."""
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
+    """SQL: the cells of sketch a without those of sketch b; counts are left out."""
+    return f"zip_with({a}, {b}, (x, y) -> x.x ^ y.x)"
 
 
-def peel(cells: str, shift: int = 0) -> str:
-    """SQL: the recovered digests as array<struct<n, k>> (n: 1 only in the first, -1 only in the second), null if peeling gets stuck."""
-    s, r, c, i, q, a, g = (f"{x}{next(_names)}" for x in "srciqag")
-    pure = f"array_distinct(transform(filter({s}.cells, {c} -> abs({c}.n) = 1 AND {_check(f'{c}.k')} = {c}.c), {c} -> named_struct('n', {c}.n, 'k', {c}.k)))"
+def peel(cells: str, bits: tuple[int, ...] = _FIRST, width: int = WIDTH) -> str:
+    """SQL: the codes in which two sides differ, from their subtracted cells; null if peeling gets stuck."""
+    s, r, c, i, a, k = _new("s", "r", "c", "i", "a", "k")
 
     def step(found: str) -> str:
-        at = f"CASE WHEN {i} < 8 THEN {shift} WHEN {i} < 16 THEN {shift + 3} ELSE {shift + 6} END"
-        mine = f"filter({found}, {q} -> (shiftrightunsigned({q}.k, {at}) & 7) = {i} % 8)"
-        less = f"({a}, {g}) -> named_struct('n', {a}.n - {g}.n, 'k', {a}.k ^ {g}.k, 'c', {a}.c ^ {_check(f'{g}.k')})"
-        cells_left = f"transform({s}.cells, ({c}, {i}) -> aggregate({mine}, {c}, {less}))"
-        return f"CASE WHEN size({found}) = 0 THEN {s} ELSE named_struct('cells', {cells_left}, 'out', concat({s}.out, {found})) END"
-
-    start = f"named_struct('cells', {cells}, 'out', cast(array() AS array<struct<n: bigint, k: bigint>>))"
-    done = f"{s} -> CASE WHEN forall({s}.cells, {c} -> {c}.n = 0 AND {c}.k = 0 AND {c}.c = 0) THEN {s}.out END"
+        at = f"CASE WHEN {i} < {width} THEN {bits[0]} WHEN {i} < {2 * width} THEN {bits[1]} ELSE {bits[2]} END"
+        less = f"aggregate({found}, {c}, ({a}, {k}) -> CASE WHEN (shiftrightunsigned({k}, {at}) & {width - 1}) = {i} % {width} THEN {a} ^ {k} ELSE {a} END)"
+        return f"CASE WHEN size({found}) = 0 THEN {s} ELSE named_struct('cells', transform({s}.cells, ({c}, {i}) -> CASE WHEN {c} = 0 THEN 0L ELSE {less} END), 'out', concat({s}.out, {found})) END"
+
+    pure = f"array_distinct(filter({s}.cells, {c} -> {_valid(c)}))"
+    start = f"named_struct('cells', {cells}, 'out', cast(array() AS array<bigint>))"
+    done = f"{s} -> CASE WHEN forall({s}.cells, {c} -> {c} = 0) THEN {s}.out END"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, ({s}, {r}) -> {_let(pure, step)}, {done})"
 
 
-def _in_parts(a: str, b: str, parts: str, deal: int, shift: int) -> str:
-    """SQL: the number of digests in which a and b differ, from ``parts`` sketches (a power of two), null if one gets stuck."""
-    t, p, d = (f"{x}{next(_names)}" for x in "tpd")
+def _size(codes_or_null: str) -> str:
+    """SQL: a size that is null for null, evaluated once."""
+    return f"cast(array_size({codes_or_null}) AS bigint)"
 
-    def part(keys: str, n: str) -> str:
-        return f"filter({keys}, {d} -> (shiftrightunsigned({d}, {deal}) & ({n} - 1)) = {p})"
 
-    def one(n: str) -> str:
-        differ = _let(part(a, n), lambda x: _let(part(b, n), lambda y: f"size({peel(subtract(sketch(x, shift), sketch(y, shift)), shift)})"))
-        return f"aggregate(sequence(0, {n} - 1), 0L, ({t}, {p}) -> CASE WHEN {t} IS NULL THEN NULL ELSE {t} + cast({differ} AS bigint) END)"
+def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
+    """SQL: in how many codes two sets differ, from their sketches, or from larger ones where those are too small."""
+    t, p, k, n, x, y, g, u = _new("t", "p", "k", "n", "x", "y", "g", "u")
+    # Each difference adds about one to the squares of a row's counts, but for what their mean adds.
+    more = f"cast(abs(size({a}) - size({b})) AS double)"
+    squares = f"aggregate(zip_with({sketch_a}, {sketch_b}, ({x}, {y}) -> cast({x}.n - {y}.n AS double) * ({x}.n - {y}.n)), 0D, ({n}, {x}) -> {n} + {x}) / 3D - {more} * {more} / {WIDTH}D"
+    bits = f"least(14, cast(ceil(log2(greatest(1D, {more} / {LOAD}D, ({squares}) / {LOAD}D))) AS int))"
 
-    return _let(parts, one)
+    def dealt(keys: str, first: str, many: str, which: str) -> str:
+        return f"filter({keys}, {k} -> (shiftrightunsigned({k}, {first}) & (shiftleft(1, {many}) - 1)) = {which})"
 
+    def one(both: str, m: str) -> str:
+        second = _size(peel(_cells(both, _SECOND, SMALL), _SECOND, SMALL))
+        third = _size(peel(_cells(both, _THIRD, LARGE), _THIRD, LARGE))
+        here = lambda keys: dealt(dealt(keys, str(_DEAL), f"cast({m} div 2 AS int)", g), f"cast({_DEAL} + {m} div 2 AS int)", f"cast({m} - {m} div 2 AS int)", p)
+        sets = f"cast(size(array_except({here(a)}, {here(b)})) + size(array_except({here(b)}, {here(a)})) AS bigint)"
+        return f"coalesce({second}, {third}, {sets})"
 
-def differing(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
-    """SQL: in how many digests two sets differ: from their sketches, from larger ones if those are too small, at last from the sets."""
-    first = f"cast(size({peel(subtract(sketch_a, sketch_b))}) AS bigint)"
-    need = f"greatest(1D, (size({a}) + size({b})) / 4D)"
-    parts = f"shiftleft(1, cast(ceil(log2({need})) AS int))"
-    second = _in_parts(a, b, parts, 9, 27)
-    third = _in_parts(a, b, f"shiftleft({parts}, 2)", 40, 18)
-    exact = f"cast(size(array_except({a}, {b})) + size(array_except({b}, {a})) AS bigint)"
-    # size(null) is null here: spark.sql.legacy.sizeOfNull has no effect under ANSI; nullif guards the other setting.
-    return f"coalesce(nullif({first}, -1L), nullif({second}, -1L), nullif({third}, -1L), {exact})"
+    def parts(group: str, m: str) -> str:
+        rest = f"cast({m} - {m} div 2 AS int)"
+        mine = dealt(group, f"cast({_DEAL} + {m} div 2 AS int)", rest, p)
+        return f"aggregate(sequence(0, shiftleft(1, {rest}) - 1), {t}, ({u}, {p}) -> {u} + {_let(mine, lambda both: one(both, m))})"
+
+    def groups(m: str) -> str:
+        half = f"cast({m} div 2 AS int)"
+        mine = dealt(f"concat({a}, {b})", str(_DEAL), half, g)
+        return f"aggregate(sequence(0, shiftleft(1, {half}) - 1), 0L, ({t}, {g}) -> {_let(mine, lambda group: parts(group, m))})"
+
+    return f"coalesce({_size(peel(subtract(sketch_a, sketch_b)))}, {_let(bits, groups)})"
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
@@ -113,14 +143,14 @@ def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
 
 def as_text(text: str, keys: str, cells: str) -> str:
     """SQL: a sketch as text: digest of the whole, number of paragraphs, and the cells."""
-    cell = "concat_ws('.', cast(c.n AS string), hex(c.k), hex(c.c))"
+    cell = "concat(cast(c.n AS string), '.', hex(c.x))"
     return f"concat('ibl1-', hex(xxhash64({text})), '-', size({keys}), '-', array_join(transform({cells}, c -> CASE WHEN c.n = 0 THEN '' ELSE {cell} END), ','))"
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` and the sketch's parts for every row; a projection without a shuffle."""
-    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("digests", F.expr(digests("t"))).withColumn("cells", F.expr(sketch("digests")))
-    return rows.select("doc_id", F.expr(as_text("t", "digests", "cells")).alias("fingerprint"), "digests", "cells")
+    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("codes", F.expr(codes("t"))).withColumn("cells", F.expr(sketch("codes")))
+    return rows.select("doc_id", F.expr(as_text("t", "codes", "cells")).alias("fingerprint"), "codes", "cells")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -156,7 +186,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 AS int)), substring(next_text, 1, cast(n_chars div 4 AS int)))"))
-    rows = rows.select("doc_id", "n_chars", "text", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"), F.expr(digests("next_text")).alias("b"))
+    rows = rows.select("doc_id", "n_chars", "text", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(codes("text")).alias("a"), F.expr(codes("edited")).alias("e"), F.expr(codes("next_text")).alias("b"))
     for x in "aeb":
         rows = rows.withColumn(f"s{x}", F.expr(sketch(x)))
     return rows.select(
