@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BITS_PER_BUCKET = 32768
 #: Size of a semi-join bitmap; 2**25 bits are 4 MB whatever the input size.
 BITMAP_BITS = 1 << 25
+#: Rows and bytes of an Arrow batch, at most: a task holds few texts at once whatever their length.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -49,7 +51,11 @@ def table_cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once for each application."""
+    """Make this package importable on the executors, once for each application, and keep Arrow batches small."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is not None and not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
         return

@@ -134,6 +134,11 @@ def _confirm(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     wanted = id_bitmap(ends, "id")
     # The bitmap only spares shuffling sets that no pair needs; the joins below are exact.
     sets = table_cut(rows.where("d_id is not null").mapInArrow(_set_rows(size, wanted), "s_id long, s_n long, s_set array<long>"), "sets")
+    return compare_sets(pairs, sets, percent)
+
+
+def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (s_id, s_n, s_set) have 100 * intersection >= percent * union."""
     a = sets.select(F.col("s_id").alias("a_id"), F.col("s_n").alias("a_n"), F.col("s_set").alias("a_set"))
     b = sets.select(F.col("s_id").alias("b_id"), F.col("s_n").alias("b_n"), F.col("s_set").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -141,6 +146,33 @@ def _confirm(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return joined.where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
+def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Confirmed links (a, b) that connect what shares a bucket and is linked, from ``key, id, c_id`` (a table).
+
+    First every id is compared with its buckets' centres. Ids of one bucket that the components of
+    those links leave apart are then compared with each other, so no component is cut in two.
+    ``looks`` (k_id and columns) and ``near`` rule out pairs before they are confirmed.
+    """
+
+    def seen(rows: DataFrame, side: str, key: str) -> DataFrame:
+        if looks is None:
+            return rows
+        return rows.join(looks.select(*[F.col(c).alias(f"{side}_{c}") for c in looks.columns]), F.col(key) == F.col(f"{side}_k_id"))
+
+    allowed = (lambda x, y: F.lit(True)) if near is None else near
+    pairs = met.where(F.col("id") != F.col("c_id")).select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
+    pairs = table_cut(seen(seen(pairs, "a", "a"), "b", "b").where(allowed("a", "b")).select("a", "b").distinct(), "pairs")
+    links = table_cut(confirm(pairs), "links")
+    label = components(links).select(F.col("node").alias("l_id"), F.col("component").alias("label"))
+    at = table_cut(met.join(label, F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("label", "id").alias("at")), "labelled")
+    split = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
+    at = table_cut(at.join(split, F.col("key") == F.col("s_key"), "left_semi").distinct(), "split")
+    x, y = (seen(at.select(*[F.col(c).alias(f"{side}_{c}") for c in at.columns]), side, f"{side}_id") for side in "xy")
+    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & allowed("x", "y"))
+    rest = table_cut(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links if rest.isEmpty() else table_cut(links.unionByName(confirm(rest)), "links")
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
     ship(docs.sparkSession)
@@ -159,25 +191,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     met = first.mapInArrow(_common_keys(id_bitmap(stars, "c_key")), "id long, key long").join(stars, F.col("key") == F.col("c_key")).select("key", "id", "c_id")
     met = table_cut(met, "buckets")
     looks = full.select(F.col("doc_id").alias("k_id"), F.col("n_shingles").alias("n"), "sketch")
-    pairs = met.where(F.col("id") != F.col("c_id")).select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
-    for x in "ab":
-        pairs = pairs.join(looks.select(F.col("k_id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")), F.col(x) == F.col(f"{x}_id"))
-    pairs = table_cut(pairs.where(_near("a", "b", percent)).select("a", "b").distinct(), "pairs")
-    links = table_cut(_confirm(rows, pairs, size, percent), "links")
+    links = link_by_stars(met, lambda pairs: _confirm(rows, pairs, size, percent), looks, lambda x, y: _near(x, y, percent))
     found = components(links)
-    # What the stars left apart: members of one bucket in different components.
-    label = found.select(F.col("node").alias("l_id"), F.col("component").alias("label"))
-    at = table_cut(met.join(label, F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("label", "id").alias("at")), "labelled")
-    split = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
-    at = at.join(split, F.col("key") == F.col("s_key"), "left_semi").join(looks, F.col("id") == F.col("k_id")).select("key", "id", "at", "n", "sketch")
-    at = table_cut(at, "split")
-    x, y = (at.select(*[F.col(c).alias(f"{side}_{c}") for c in at.columns]) for side in "xy")
-    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & _near("x", "y", percent))
-    rest = rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = table_cut(rest, "pairs")
-    if not rest.isEmpty():
-        links = table_cut(links.unionByName(_confirm(rows, rest, size, percent)), "links")
-        found = components(links)
     # Rows of one doc_id with different texts tie their classes together; else a class has the component of its first row.
     same = member.where("m_id <> class_id").select(F.col("m_id").alias("a"), F.col("class_id").alias("b"))
     ties = member.groupBy("m_id").agg(F.count("*").alias("k")).where("k > 1")

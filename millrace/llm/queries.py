@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import fingerprint, html_extract, lattice, near_dup, packing, quality, token_files, toxicity
+from millrace.llm import fingerprint, html_extract, lattice, mixing, near_dup, packing, quality, substring_dedup, token_files, toxicity
 from millrace.llm.common import documents
 
 
@@ -42,10 +42,23 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.merged(substring_dedup.find_repeats(documents(spark, sf_dir)))
+    return spans.select("doc_id", "start", "end", "cluster", "first_doc_id", "n_paragraphs")
+
+
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+#: Units of weight by source: fixed target weights for the sources of the test tables, 100 in all.
+TARGETS = dict(zip([f"src{i}" for i in range(20)], [10, 8, 8, 6, 6, 6, 5, 5, 5, 5, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3], strict=True))
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"), TARGETS)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -60,10 +73,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_toxicity_fm": op4_toxicity_fm,
     "op5_html_extraction": op5_html_extraction,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_minhash_near_dup": op7_minhash_near_dup,
+    "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
 
+
+
+def _mixing_sql() -> str:
+    """The schedule by recursion over the slots of one period, and each row's slot from its rank in its source."""
+    units = [*TARGETS.values(), 1]
+    d, n, block = sum(units), len(units), mixing.BLOCK_DOCS
+    u = f"[{', '.join(map(str, units))}]"
+    due = f"cast(ceil((nxt[i + 1] + 1) * {d} / {u}[i + 1]) AS BIGINT) * 1000 + i"
+    best = f"list_min(list_transform(range({n}), lambda i: CASE WHEN nxt[i + 1] * {d} // {u}[i + 1] <= t + 1 THEN {due} END)) % 1000"
+    return f"""
+WITH RECURSIVE target(source, class, u) AS (VALUES {', '.join(f"('{s}', {i}, {x})" for i, (s, x) in enumerate(TARGETS.items()))}),
+run(t, nxt, pick) AS (
+  SELECT -1::BIGINT, list_transform(range({n}), lambda x: 0::BIGINT), -1::BIGINT
+  UNION ALL
+  SELECT t + 1, list_transform(nxt, lambda x, i: CASE WHEN i - 1 = p THEN x + 1 ELSE x END), p
+  FROM (SELECT t, nxt, {best} AS p FROM run WHERE t + 1 < {d})
+),
+turn AS (SELECT t AS slot, pick AS class, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM run WHERE t >= 0),
+ranked AS (
+  SELECT doc_id, d.source, coalesce(class, {n - 1}) AS class, coalesce(u, 1) AS u,
+         row_number() OVER (PARTITION BY coalesce(class, {n - 1}) ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r
+  FROM documents d LEFT JOIN target ON d.source = target.source
+)
+SELECT doc_id, source, ranked.class::INTEGER AS mix_class, (r // {block})::BIGINT AS mix_block,
+       ((r // {block}) // u * {d} + slot)::BIGINT AS mix_slot, (r % {block})::INTEGER AS mix_place
+FROM ranked JOIN turn ON ranked.class = turn.class AND (r // {block}) % u = turn.turn
+"""
+
+
 #: DuckDB SQL for those whose rows SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_pfair_mixing": _mixing_sql()}
