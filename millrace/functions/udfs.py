@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ColumnOrName = Column | str
+
 
 def _common(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bits: one step for each element of b."""
@@ -44,9 +49,20 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
+def _on_pairs(score: Callable[[str, str], float]) -> Callable[[ColumnOrName, ColumnOrName], Column]:
+    """A column function from a score of two texts; the Arrow function is made when it is used, for workers import this module without a session."""
+
+    def apply(a: ColumnOrName, b: ColumnOrName) -> Column:
+        @F.pandas_udf("double")
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([score(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=float)
+
+        return run(a, b)
+
+    return apply
+
+
+token_set_ratio_udf = _on_pairs(token_set_ratio)
 
 
 
@@ -140,21 +156,16 @@ def rouge_l(prediction: str, reference: str, stemming: bool = True) -> float:
     return 2 * p * r / (p + r)
 
 
-@F.pandas_udf("double")
-def rouge_l_udf(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l(x, y) for x, y in zip(prediction, reference, strict=True)], dtype=float)
+def rouge_l_plain(prediction: str, reference: str) -> float:
+    """Without stemming."""
+    return rouge_l(prediction, reference, stemming=False)
 
 
-@F.pandas_udf("double")
-def rouge_l_plain_udf(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-    """Without stemming."""
-    return pd.Series([rouge_l(x, y, stemming=False) for x, y in zip(prediction, reference, strict=True)], dtype=float)
+rouge_l_udf, rouge_l_plain_udf = _on_pairs(rouge_l), _on_pairs(rouge_l_plain)
 
 
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     """A unit vector of signed hashed tokens: the offline stand-in for an encoder model."""
-    import zlib
-
     v = np.zeros(dim)
     for token in re.findall(r"\w+", (text or "").lower()):
         h = zlib.crc32(token.encode())
@@ -163,9 +174,12 @@ def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     return v / n if n else v
 
 
-@F.pandas_udf("array<float>")
-def hashed_vector_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: hashed_vector(t).astype(np.float32))
+def hashed_vectors(text: ColumnOrName) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashed_vector(t).astype(np.float32))
+
+    return run(text)
 
 
 def greedy_match_f1(a: np.ndarray, b: np.ndarray) -> float:
@@ -178,12 +192,14 @@ def greedy_match_f1(a: np.ndarray, b: np.ndarray) -> float:
     return float(2 * p * r / (p + r)) if p + r > 0 else 0.0
 
 
-@F.pandas_udf("double")
-def token_match_f1_udf(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+def token_match_f1(prediction: str, reference: str) -> float:
     """Greedy token matching with hashed character trigrams as token vectors: the offline stand-in for a model's."""
 
     def vectors(text: str) -> np.ndarray:
         tokens = (text or " ").lower().split()
         return np.stack([hashed_vector(" ".join(f"^{t}$"[i : i + 3] for i in range(len(t))), 128) for t in tokens]) if tokens else np.zeros((0, 128))
 
-    return pd.Series([greedy_match_f1(vectors(x), vectors(y)) for x, y in zip(prediction, reference, strict=True)], dtype=float)
+    return greedy_match_f1(vectors(prediction), vectors(reference))
+
+
+token_match_f1_udf = _on_pairs(token_match_f1)

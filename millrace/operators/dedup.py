@@ -12,7 +12,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import words
+from millrace.functions.text import bind, words
 
 THRESHOLD = 0.85
 SHINGLE = 5
@@ -29,15 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shingle_set(text: Column, size: int = SHINGLE) -> Column:
     """Distinct runs of ``size`` lower-case words; a shorter text is one shingle, as it is."""
-    w = words(F.lower(text))
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.array_distinct(F.when(n >= size, runs).otherwise(F.array(F.lower(text))))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return bind(words(F.lower(text)), lambda w: F.array_distinct(F.when(F.size(w) >= size, runs(w)).otherwise(F.array(F.lower(text)))))
 
 
 def minhash(shingles: Column, permutations: int = PERMUTATIONS) -> Column:
     """The least hash of a set under each seed."""
-    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(shingles, lambda x: F.xxhash64(s, x))))
+    return bind(shingles, lambda all_of: F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(all_of, lambda x: F.xxhash64(s, x)))))
 
 
 def minhash_candidates(docs: DataFrame, key: str, text: str, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -58,12 +56,16 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRES
     spread afterwards.
     """
     sets = docs.select(F.col(key).alias("id"), F.transform(shingle_set(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
-    sets = sets.withColumn("s", F.array_sort(F.array_distinct("s")))
-    same = sets.groupBy("s").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    tokens = same.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
-    df = tokens.groupBy("h").agg(F.count("*").alias("df")).select(F.col("h").alias("d_h"), "df")
-    ordered = tokens.join(df, F.col("h") == F.col("d_h")).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
-    prefix = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("rep", "n", "x.h", "x.df").where("df > 1")
+    sets = sets.select("id", F.array_sort(F.array_distinct("s")).alias("s")).withColumn("k", F.xxhash64("s"))
+    # Texts with equal sets are one class, named by its least id; the sets meet the joins below through a checkpoint.
+    named = cut(sets.groupBy("k").agg(F.min("id").alias("rep"), F.first("s").alias("s"), F.collect_list("id").alias("ids")))
+    same = named.select("rep", "s", "ids")
+    tokens = named.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
+    df = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select(F.col("h").alias("d_h"), "df")
+    # Shingles of one text only come first in the order and join nothing: their number moves the prefix.
+    shared = tokens.join(df, F.col("h") == F.col("d_h")).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    length = (F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("o"))).cast("int")
+    prefix = cut(shared.withColumn("p", length).where("p > 0").select("rep", "n", F.explode(F.slice("o", F.lit(1), F.col("p"))).alias("x")).select("rep", "n", "x.h"))
     left, right = (prefix.select(F.col("rep").alias(f"{p}_rep"), F.col("n").alias(f"{p}_n"), F.col("h").alias(f"{p}_h")) for p in "lr")
     close = (F.col("l_h") == F.col("r_h")) & (F.col("l_rep") < F.col("r_rep")) & (F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n"))
     pairs = left.join(right, close).select("l_rep", "r_rep").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import has_term, has_word, span_fraction, strip, word_count
+from millrace.functions.text import bind, has_term, has_word, span_fraction, strip, word_count
 
 # Word lists, patterns and bounds of the checks.
 STOPWORDS = (
@@ -33,9 +33,8 @@ def significant_words(c: Column, stopwords: Sequence[str] = STOPWORDS) -> Column
 
 def grounding(answer: Column, chunk: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """The share of the answer's significant words, each as often as it comes, that the chunk has; 0 without any."""
-    said, known = significant_words(answer, stopwords), F.array_distinct(significant_words(chunk, stopwords))
-    n = F.size(said)
-    return F.when(n > 0, F.size(F.filter(said, lambda w: F.array_contains(known, w))) / n).otherwise(F.lit(0.0))
+    share = lambda said, known: F.when(F.size(said) > 0, F.size(F.filter(said, lambda w: F.array_contains(known, w))) / F.size(said)).otherwise(F.lit(0.0))
+    return bind(significant_words(answer, stopwords), lambda said: bind(F.array_distinct(significant_words(chunk, stopwords)), lambda known: share(said, known)))
 
 
 def utility_reasons(question: Column, answer: Column, terms: Sequence[str] = DOMAIN_TERMS) -> Column:

@@ -246,7 +246,7 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.rerank(retrieval.bm25(asked, docs, 20), asked, docs, 10))
 
 
-_HYBRID = f"WITH {_bm25_sql('a', 'text', 20)}, {_bm25_sql('b', 'text[1:400]', 20)}, one AS (SELECT * FROM ahits), two AS (SELECT * FROM bhits), {_FUSED}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 5)}"
+_HYBRID = f"WITH {_bm25_sql('x_', 'text', 20)}, {_bm25_sql('y_', 'text[1:400]', 20)}, one AS (SELECT * FROM x_hits), two AS (SELECT * FROM y_hits), {_FUSED}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 5)}"
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,9 +284,9 @@ def recall_mrr_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("config", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")], "n_queries")
 
 
-@query(f"SELECT event_id, round({_sigmoid('(value - 50) / 20')}, 6) AS confidence, round(0.85 + 0.10 * (least(100, 90 + value % 10) - 90) / 10, 3) AS fuzzy FROM events")
+@query(f"SELECT event_id, round({_sigmoid('(value - 50) / 20')}, 6) AS confidence, round(0.85 + 0.10 * (least(100, 90 + event_id % 10) - 90) / 10, 3) AS fuzzy FROM events")
 def sigmoid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.least(F.lit(100.0), 90 + F.pmod("value", F.lit(10)))
+    score = F.least(F.lit(100.0), 90 + F.pmod("event_id", F.lit(10)))
     return table(spark, sf_dir, "events").select("event_id", F.round(scores.confidence_of((F.col("value") - 50) / 20), 6).alias("confidence"), scores.fuzzy_confidence(score, 90.0).alias("fuzzy"))
 
 
