@@ -22,6 +22,7 @@ texts of any length are read whole; other columns do not matter and are passed o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,38 +36,49 @@ from millrace.llm.components import components
 BINS = 252
 ROWS = 6
 #: Bits of the sketch that spares comparisons: pairs of similarity 0.8 differ in about 25 of 252
-#: bits and in more than 56 with probability under 1e-9; unrelated pairs differ in about 126.
-SKETCH_MISSES = 56
+#: bits and in more than 50 with probability under 1e-6; unrelated pairs differ in about 126.
+SKETCH_MISSES = 50
 _PROBES = 64
+#: Rounds of further centres, centres of a bucket in each, and how many of them an id tries.
+ROUNDS, CENTRES, TRIES = 1, 2, 8
 
 
-def _probe_order() -> np.ndarray:
+#: Bits of the finer sketch of sets that share a bucket, one for each bin of a signature of as many
+#: bins, and how many may differ: at similarity 0.8 410 do and more than 506 with probability 3e-7.
+FINE_BITS, FINE_MISSES = 4096, 506
+
+
+@cache
+def _order(bins: int) -> np.ndarray:
     """Row t: the bin that each bin asks in its t-th try."""
-    return np.random.default_rng(977).integers(0, BINS, (_PROBES, BINS))
+    return np.random.default_rng([977, bins]).integers(0, bins, (_PROBES, bins))
 
 
-_ORDER = _probe_order()
+@cache
+def _odd(bins: int) -> np.ndarray:
+    return np.random.default_rng([31, bins]).integers(1, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Densified one-permutation MinHash of a non-empty set of uint64 hashes."""
-    entry = np.full(BINS, np.uint64(2**64 - 1), dtype=np.uint64)
-    which = (hashes % np.uint64(BINS)).astype(np.int64)
+    asked = _order(bins)
+    entry = np.full(bins, np.uint64(2**64 - 1), dtype=np.uint64)
+    which = (hashes % np.uint64(bins)).astype(np.int64)
     order = np.argsort(hashes, kind="stable")[::-1] if len(hashes) > 1 else np.zeros(1, np.int64)
     entry[which[order]] = hashes[order]  # of several for one bin the least stays
-    filled = np.zeros(BINS, dtype=bool)
+    filled = np.zeros(bins, dtype=bool)
     filled[which] = True
     out, todo = entry.copy(), np.flatnonzero(~filled)
     for t in range(_PROBES):
         if not len(todo):
             return out
-        donor = _ORDER[t, todo]
+        donor = asked[t, todo]
         ok = filled[donor]
         out[todo[ok]] = entry[donor[ok]]
         todo = todo[~ok]
-    # Few bins are filled: go round from the last bin asked, which ends in at most BINS tries.
+    # Few bins are filled: go on from the last bin asked to the next filled one.
     donors = np.flatnonzero(filled)
-    k = np.searchsorted(donors, _ORDER[-1, todo]) % len(donors)
+    k = np.searchsorted(donors, asked[-1, todo]) % len(donors)
     out[todo] = entry[donors[k]]
     return out
 
@@ -78,11 +90,8 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield w.first, values, bounds
 
 
-_BAND = [np.uint64(k) for k in (np.random.default_rng(31).integers(1, 1 << 63, BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
-
-
 def _signer(size: int) -> Callable:
-    multiplier = np.array(_BAND)
+    multiplier = _odd(BINS)
     bands = BINS // ROWS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +125,24 @@ def _set_rows(size: int, wanted: np.ndarray) -> Callable:
             b = b.filter(pa.array(in_bitmap(wanted, b.column(0).fill_null(0).to_numpy(zero_copy_only=False))))
             for first, values, bounds in _sets(b.column(1), size):
                 k = len(bounds) - 1
-                yield pa.RecordBatch.from_pydict({"s_id": b.column(0).slice(first, k), "s_n": pa.array(np.diff(bounds)), "s_set": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))})
+                fine = np.zeros((k, FINE_BITS // 8), np.uint8)
+                for i in np.flatnonzero(np.diff(bounds)):
+                    fine[i] = np.packbits((W.mix(signature(values[bounds[i] : bounds[i + 1]], FINE_BITS) * _odd(FINE_BITS)) & np.uint64(1)).astype(np.uint8))
+                fine_lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * (FINE_BITS // 64), pa.int32()), pa.array(fine.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"s_id": b.column(0).slice(first, k), "s_n": pa.array(np.diff(bounds)), "s_set": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))), "s_fine": fine_lists})
 
     return rows
 
 
+def _finely_near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and fine sketches allow a similarity of ``percent`` per cent."""
+    ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
+    one, two = F.col(f"{a}_fine"), F.col(f"{b}_fine")
+    part = [F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(FINE_BITS // 64)]
+    # The first 256 bits tell most pairs apart: 26 of them differ at similarity 0.8, more than 50 with probability 1e-6.
+    return ratio & (sum(part[1:4], part[0]) <= SKETCH_MISSES) & (sum(part[1:], part[0]) <= FINE_MISSES)
+
+
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two sides allow a similarity of ``percent`` per cent."""
     ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
@@ -128,13 +150,10 @@ def _near(a: str, b: str, percent: int) -> Column:
     return ratio & (misses <= SKETCH_MISSES)
 
 
-def _confirm(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = id_bitmap(ends, "id")
-    # The bitmap only spares shuffling sets that no pair needs; the joins below are exact.
-    sets = table_cut(rows.where("d_id is not null").mapInArrow(_set_rows(size, wanted), "s_id long, s_n long, s_set array<long>"), "sets")
-    return compare_sets(pairs, sets, percent)
+def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The full shingle sets (s_id, s_n, s_set) of the rows whose id is among ``ids`` (id), and perhaps of some others."""
+    # The bitmap only spares making and shuffling sets that no pair needs; joins with the sets are exact.
+    return table_cut(rows.where("d_id is not null").mapInArrow(_set_rows(size, id_bitmap(ids, "id")), "s_id long, s_n long, s_set array<long>, s_fine array<long>"), "sets")
 
 
 def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,15 +165,17 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, fine: DataFrame | None = None, finely: Callable[[str, str], Column] | None = None, whole: bool = True) -> DataFrame:
     """Confirmed links (a, b) that connect what shares a bucket and is linked, from ``key, id, c_id`` (a table).
 
-    First every id is compared with its buckets' centres. Ids of one bucket that the components of
-    those links leave apart are then compared with each other, so no component is cut in two.
-    ``looks`` (k_id and columns) and ``near`` rule out pairs before they are confirmed.
+    First every id is compared with its buckets' centres, then, where components share a bucket, with
+    some centres of each bucket, ROUNDS times. Ids of one bucket that are in different components even
+    then are compared with each other, so no component is cut in two.
+    ``looks`` (k_id and columns) and ``near`` rule out pairs before they are confirmed; ``fine`` and ``finely`` do so in the last comparison.
+    Without ``whole`` ids are compared with the centres only.
     """
 
-    def seen(rows: DataFrame, side: str, key: str) -> DataFrame:
+    def seen(rows: DataFrame, side: str, key: str, looks: DataFrame | None = looks) -> DataFrame:
         if looks is None:
             return rows
         return rows.join(looks.select(*[F.col(c).alias(f"{side}_{c}") for c in looks.columns]), F.col(key) == F.col(f"{side}_k_id"))
@@ -163,12 +184,42 @@ def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], loo
     pairs = met.where(F.col("id") != F.col("c_id")).select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
     pairs = table_cut(seen(seen(pairs, "a", "a"), "b", "b").where(allowed("a", "b")).select("a", "b").distinct(), "pairs")
     links = table_cut(confirm(pairs), "links")
-    label = components(links).select(F.col("node").alias("l_id"), F.col("component").alias("label"))
-    at = table_cut(met.join(label, F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("label", "id").alias("at")), "labelled")
-    split = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
-    at = table_cut(at.join(split, F.col("key") == F.col("s_key"), "left_semi").distinct(), "split")
-    x, y = (seen(at.select(*[F.col(c).alias(f"{side}_{c}") for c in at.columns]), side, f"{side}_id") for side in "xy")
-    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & allowed("x", "y"))
+    if not whole:
+        return links
+
+    def unsettled() -> DataFrame:
+        """Rows (key, id, at) of the buckets that hold more than one component."""
+        label = components(links).select(F.col("node").alias("l_id"), F.col("component").alias("label"))
+        at = table_cut(met.join(label, F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("label", "id").alias("at")), "labelled")
+        split = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
+        return table_cut(at.join(split, F.col("key") == F.col("s_key"), "left_semi").distinct(), "split")
+
+    at = unsettled()
+    for r in range(ROUNDS):
+        if at.isEmpty():
+            return links
+        # Other centres, some for each bucket: most of a loose group comes together here, at a cost that grows with the rows.
+        pick = [F.min_by(F.struct("id", "at"), F.xxhash64("id", "key", F.lit(CENTRES * r + i))) for i in range(CENTRES)]
+        centre = at.groupBy("key").agg(F.array(*pick).alias("cs")).select(F.col("key").alias("c_key"), "cs")
+        # Of the centres of all its buckets each id tries TRIES: pairs grow with the ids, not with their buckets.
+        offered = at.join(centre, F.col("key") == F.col("c_key")).select("id", "key", F.filter("cs", lambda c: c["at"] != F.col("at"))["id"].alias("cs")).where(F.size("cs") > 0)
+        some = [F.min_by(F.col("cs")[0] if i % 2 else F.element_at("cs", -1), F.xxhash64("key", "id", F.lit(-1 - TRIES * r - i))) for i in range(TRIES)]
+        tried = offered.groupBy("id").agg(F.array_distinct(F.array(*some)).alias("cs")).select("id", F.explode("cs").alias("c"))
+        tried = tried.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        tried = table_cut(seen(seen(tried, "a", "a"), "b", "b").where(allowed("a", "b")).select("a", "b").distinct(), "pairs")
+        pairs = table_cut(pairs.unionByName(tried), "pairs")
+        more = table_cut(confirm(tried), "links")
+        if more.isEmpty():
+            break
+        links = table_cut(links.unionByName(more), "links")
+        at = unsettled()
+    # A pair that shares several buckets is compared in the first of them only.
+    shared = at.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("all")).select(F.col("id").alias("a_id"), "all")
+    at = table_cut(at.join(shared, F.col("id") == F.col("a_id")).select("key", "id", "at", "all"), "split")
+    x, y = (seen(at.select(*[F.col(c).alias(f"{side}_{c}") for c in at.columns]), side, f"{side}_id", fine) for side in "xy")
+    last = (lambda x, y: F.lit(True)) if finely is None else finely
+    here = F.col("x_key") == F.array_min(F.array_intersect("x_all", "y_all"))
+    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & last("x", "y") & here)
     rest = table_cut(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     return links if rest.isEmpty() else table_cut(links.unionByName(confirm(rest)), "links")
 
@@ -191,7 +242,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     met = first.mapInArrow(_common_keys(id_bitmap(stars, "c_key")), "id long, key long").join(stars, F.col("key") == F.col("c_key")).select("key", "id", "c_id")
     met = table_cut(met, "buckets")
     looks = full.select(F.col("doc_id").alias("k_id"), F.col("n_shingles").alias("n"), "sketch")
-    links = link_by_stars(met, lambda pairs: _confirm(rows, pairs, size, percent), looks, lambda x, y: _near(x, y, percent))
+    sets = _sets_of(rows, met.select("id").distinct(), size)
+    fine = sets.select(F.col("s_id").alias("k_id"), F.col("s_n").alias("n"), F.col("s_fine").alias("fine"))
+    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), looks, lambda x, y: _near(x, y, percent), fine, lambda x, y: _finely_near(x, y, percent))
     found = components(links)
     # Rows of one doc_id with different texts tie their classes together; else a class has the component of its first row.
     same = member.where("m_id <> class_id").select(F.col("m_id").alias("a"), F.col("class_id").alias("b"))
