@@ -36,8 +36,8 @@ def normalized_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
 def fuzzy_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 90.0) -> DataFrame:
     """Each query's best key by token-set similarity of at least ``threshold``, with its score and confidence.
 
-    Similarity of 90 needs a common token (below 50 the sets may be disjoint), so only pairs that share one are compared; the rarest
-    token of the query that is in the cache at all suffices as a meeting point only for contained sets, hence all are used.
+    Only pairs that share a token are compared: without one, 90 takes two nearly equal words, as a
+    misspelt question of one word.
     """
     asked = queries.select("query_id", normalize(F.col("query")).alias("q")).withColumn("q_token", F.explode(F.array_distinct(words(F.col("q")))))
     keys = normalized_index(cache).withColumn("token", F.explode(F.array_distinct(words(F.col("norm")))))

@@ -163,9 +163,11 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, chunk, drop front matter and the rest, number what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_quality.clean_text(F.col("text")).alias("text"))
-    parts = chunking.chunks(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc")
+    # The chunks are read several times below: they meet the rest through a checkpoint.
+    parts = dedup.cut(chunking.chunks(docs, "doc_id", "text").withColumnRenamed("doc_id", "doc"))
     start = text_quality.body_start(parts)
     rows = parts.join(start, "doc").withColumn("reason", text_quality.drop_reason(F.col("chunk"), F.col("idx") < F.col("start"))).where("reason is null")
+    rows = dedup.cut(rows.select("doc", "idx", "chunk"))
     return sampling.running_ids(rows, "real_%05d", 0, "doc", "idx").select("id", "doc", "idx", F.length("chunk").alias("char_count"))
 
 
