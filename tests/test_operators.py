@@ -246,3 +246,36 @@ def test_log_stream(spark, tmp_path):
     query_log.to_table(query_log.tiers_by_window(query_log.read_log(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     closed = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.n for r in closed) == [2, 2]
+
+
+def test_evaluation_run_and_judgements(spark):
+    from millrace.operators import evaluate
+
+    items = spark.createDataFrame([("a", "the cat sat", "cache"), ("b", "x", "retrieval")], "query_id string, reference string, expected_tier string")
+    results = spark.createDataFrame([("a", "the cat sat", "cache", 1.0)], "query_id string, answer string, answered_by string, confidence double")
+    got = {r.query_id: r for r in evaluate.facts(items, results).collect()}
+    assert got["a"].rouge_l == 1.0 and got["a"].tier_match and got["b"].answered_by == "none" and got["b"].rouge_l == 0.0
+    judged = spark.createDataFrame([("a", "d1", True), ("z", "d2", False)], "query_id string, doc_id string, relevant boolean")
+    known, lost = evaluate.label_overlap(items, judged)
+    assert (known.count(), lost.count()) == (1, 1)
+    hits = spark.createDataFrame([("a", "d1"), ("a", "d3")], "query_id string, doc_id string")
+    assert [r.doc_id for r in evaluate.to_judge(hits, judged).collect()] == ["d3"] and evaluate.to_judge(hits, judged, again=True).count() == 2
+    new = evaluate.judge(judged, spark.createDataFrame([("a", "d1", False)], judged.schema))
+    assert new.where("query_id = 'a'").first().relevant is False and new.count() == 2
+    assert "rouge_l" in evaluate.render(evaluate.facts(items, results))
+
+
+def test_pairs_are_generated_and_gated(spark):
+    from millrace.operators import evaluate
+    from millrace.operators.providers import Backend
+
+    def model(prompt: str) -> str:
+        if "silent" in prompt:
+            return "[]"
+        if "broken" in prompt:
+            return "no json"
+        return '```json\n[{"question": "Which timer?", "answer": "' + "bearer timer starts " * 6 + '"}, {"question": " ", "answer": "x"}]\n```'
+
+    chunks = spark.createDataFrame([("c1", "s", "the bearer timer starts here"), ("c2", "s", "silent"), ("c3", "s", "broken")], "chunk_id string, source string, chunk string")
+    rows = evaluate.generate_pairs(chunks, [Backend("m", model)]).collect()
+    assert [(r.id, r.gate, r.grounding_score) for r in rows] == [("cand_c1_00", None, 1.0)]
