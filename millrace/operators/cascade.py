@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: what a query gets that no tier answers.
 NO_ANSWER = "No tier was able to answer this query."
 
 
