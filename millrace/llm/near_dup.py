@@ -36,16 +36,19 @@ from millrace.llm.components import components
 BINS = 252
 ROWS = 6
 #: Bits of the sketch that spares comparisons: pairs of similarity 0.8 differ in about 25 of 252
-#: bits and in more than 50 with probability under 1e-6; unrelated pairs differ in about 126.
+#: bits and in more than 50 with probability about 1e-5; unrelated pairs differ in about 126.
 SKETCH_MISSES = 50
 _PROBES = 64
+_AT_ONCE = 1 << 20
 #: Rounds of further centres, centres of a bucket in each, and how many of them an id tries.
 ROUNDS, CENTRES, TRIES = 1, 2, 8
 
 
 #: Bits of the finer sketch of sets that share a bucket, one for each bin of a signature of as many
-#: bins, and how many may differ: at similarity 0.8 410 do and more than 506 with probability 3e-7.
+#: bins, and how many may differ: at similarity 0.8 410 do and more than 506 with probability about 1e-5.
 FINE_BITS, FINE_MISSES = 4096, 506
+#: Below so many shingles one of them may own many bits, and no sketch rules a pair out: the sets themselves decide.
+SMALL_SET = 64
 
 
 @cache
@@ -76,10 +79,11 @@ def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
         ok = filled[donor]
         out[todo[ok]] = entry[donor[ok]]
         todo = todo[~ok]
-    # Few bins are filled: go on from the last bin asked to the next filled one.
+    # Few bins are filled: each of the rest takes its first in an order of its own over all bins, so no entry is favoured by the gap before it.
     donors = np.flatnonzero(filled)
-    k = np.searchsorted(donors, asked[-1, todo]) % len(donors)
-    out[todo] = entry[donors[k]]
+    for part in np.array_split(todo, 1 + len(todo) * len(donors) // _AT_ONCE):
+        order = W.mix(part[:, None].astype(np.uint64) << np.uint64(32) | donors.astype(np.uint64))
+        out[part] = entry[donors[order.argmin(axis=1)]]
     return out
 
 
@@ -126,7 +130,7 @@ def _set_rows(size: int, wanted: np.ndarray) -> Callable:
             for first, values, bounds in _sets(b.column(1), size):
                 k = len(bounds) - 1
                 fine = np.zeros((k, FINE_BITS // 8), np.uint8)
-                for i in np.flatnonzero(np.diff(bounds)):
+                for i in np.flatnonzero(np.diff(bounds) >= SMALL_SET):
                     fine[i] = np.packbits((W.mix(signature(values[bounds[i] : bounds[i + 1]], FINE_BITS) * _odd(FINE_BITS)) & np.uint64(1)).astype(np.uint8))
                 fine_lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * (FINE_BITS // 64), pa.int32()), pa.array(fine.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"s_id": b.column(0).slice(first, k), "s_n": pa.array(np.diff(bounds)), "s_set": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))), "s_fine": fine_lists})
@@ -135,19 +139,27 @@ def _set_rows(size: int, wanted: np.ndarray) -> Callable:
 
 
 def _finely_near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and fine sketches allow a similarity of ``percent`` per cent."""
+    """Whether sizes and fine sketches, or the sets of small ones, allow a similarity of ``percent`` per cent."""
     ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
     one, two = F.col(f"{a}_fine"), F.col(f"{b}_fine")
     part = [F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(FINE_BITS // 64)]
-    # The first 256 bits tell most pairs apart: 26 of them differ at similarity 0.8, more than 50 with probability 1e-6.
-    return ratio & (sum(part[1:4], part[0]) <= SKETCH_MISSES) & (sum(part[1:], part[0]) <= FINE_MISSES)
+    # The first 256 bits tell most pairs apart: 26 of them differ at similarity 0.8, more than 50 with probability about 1e-5.
+    sketches = (sum(part[1:4], part[0]) <= SKETCH_MISSES) & (sum(part[1:], part[0]) <= FINE_MISSES)
+    both = F.size(F.array_intersect(f"{a}_small", f"{b}_small"))
+    exact = 100 * both >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n") - both)
+    return ratio & F.when(F.least(f"{a}_n", f"{b}_n") < SMALL_SET, exact).otherwise(sketches)
+
+
+def _fine_looks(sets: DataFrame, percent: int) -> DataFrame:
+    """What :func:`_finely_near` compares: sizes, fine sketches, and the sets of those near enough to a small one in size."""
+    return sets.select(F.col("s_id").alias("k_id"), F.col("s_n").alias("n"), F.col("s_fine").alias("fine"), F.when(F.col("s_n") * percent <= 100 * SMALL_SET, F.col("s_set")).alias("small"))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches of two sides allow a similarity of ``percent`` per cent."""
     ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
     misses = sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(1, 4)), F.bit_count(F.col(f"{a}_sketch")[0].bitwiseXOR(F.col(f"{b}_sketch")[0])))
-    return ratio & (misses <= SKETCH_MISSES)
+    return ratio & ((F.least(f"{a}_n", f"{b}_n") < SMALL_SET) | (misses <= SKETCH_MISSES))
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -243,8 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     met = table_cut(met, "buckets")
     looks = full.select(F.col("doc_id").alias("k_id"), F.col("n_shingles").alias("n"), "sketch")
     sets = _sets_of(rows, met.select("id").distinct(), size)
-    fine = sets.select(F.col("s_id").alias("k_id"), F.col("s_n").alias("n"), F.col("s_fine").alias("fine"))
-    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), looks, lambda x, y: _near(x, y, percent), fine, lambda x, y: _finely_near(x, y, percent))
+    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), looks, lambda x, y: _near(x, y, percent), _fine_looks(sets, percent), lambda x, y: _finely_near(x, y, percent))
     found = components(links)
     # Rows of one doc_id with different texts tie their classes together; else a class has the component of its first row.
     same = member.where("m_id <> class_id").select(F.col("m_id").alias("a"), F.col("class_id").alias("b"))
