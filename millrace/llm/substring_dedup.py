@@ -6,6 +6,10 @@ twice as many words. Starts are chosen by winnowing (of any three sentences in a
 least hash) and all long sentences, so that a passage is cut alike wherever it stands, inside a
 line as well.
 
+Whatever its sentences and lines, SHARED equal words of two texts hold an equal run of RUN words: its
+starts are winnowed over the hashes of SHINGLE words, one at least in each SHARED - RUN + 1 words in a row. Such runs
+are found by one key, the hash of their words; edited passages are left to the lines and sentence runs.
+
 Each paragraph has BANDS MinHash entries over its five-word shingles, and as many bands of two
 neighbouring entries, the last with the first: a pair of similarity 0.8 shares none with
 probability 0.005, a pair of 0.9 with 0.0002. Equal paragraphs are one from the start. Only band keys are counted over
@@ -38,6 +42,8 @@ MIN_WORDS = 24
 SHINGLE = 5
 BANDS = 8
 LONG_SENTENCE = MIN_WORDS // 2
+#: Words that two texts share at least, and length of the runs of which one lies in any such words.
+SHARED, RUN = 51, 32
 #: Bits of the bitmap of common keys: 16 MB whatever the input size.
 KEY_BITS = 1 << 27
 _R = 0xC2B2AE3D27D4EB4F
@@ -53,14 +59,47 @@ def _runs(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return W.mix((total[last] - total[first]) * W._power(_R_INVERSE, len(total))[first] + (last - first).astype(np.uint64))
 
 
+def _total(w: W.Words) -> np.ndarray:
+    """The running sum from which :func:`_runs` takes its hashes."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * W._power(_R, len(w.hash)))])
+
+
+def _sliding(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) of each ``size`` values in a row."""
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        x = of(x[:-step], x[step:])
+        span += step
+    return x
+
+
+def anchored(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each winnowed run of RUN words of a block: first word, word after it, and hash of its words."""
+    n, window = len(w.start), SHARED - RUN + 1
+    if n < SHARED:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    total = _total(w)
+    p = np.arange(n - RUN + 1)
+    h = _runs(total, p, p + SHINGLE)
+    least = _sliding(h, window, np.minimum)
+    doc_end = np.repeat(w.bounds[1:], np.diff(w.bounds))
+    least[p[: len(least)] + SHARED > doc_end[: len(least)]] = 0  # reaches into the next text
+    # A start is chosen if it is least in some window that holds it.
+    chosen = h <= _sliding(np.pad(least, window - 1), window, np.maximum)
+    a = np.flatnonzero(chosen & (p + RUN <= doc_end[: len(p)]))
+    return a, a + RUN, _runs(total, a, a + RUN)
+
+
 def paragraphs(w: W.Words, bands: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each paragraph of a block: first word, word after it, hash of its words, and BANDS band keys."""
     n = len(w.start)
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * W._power(_R, n))])
+    total = _total(w)
     doc_last = np.zeros(n, dtype=bool)
     doc_last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
     lines = np.concatenate([[0], np.cumsum(w.data == 10)])
@@ -105,13 +144,14 @@ def paragraphs(w: W.Words, bands: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys, and 2 for those of several texts of the batch, else 1: runs of one text overlap and share keys, which counts once."""
+    """Band keys and hashes of word runs, and 2 for those of several texts of the batch, else 1: runs of one text overlap and share keys, which counts once."""
     for b in batches:
         found = []
         for w in W.blocks(b.column(0)):
             first, _, _, keys = paragraphs(w)
-            row = np.repeat(np.searchsorted(w.bounds, first, "right") - 1, BANDS)
-            flat = keys.ravel()
+            start, _, run = anchored(w)
+            row = np.searchsorted(w.bounds, np.concatenate([np.repeat(first, BANDS), start]), "right") - 1
+            flat = np.concatenate([keys.ravel(), run])
             order = np.lexsort((flat, row))
             row, flat = row[order], flat[order]
             new = np.ones(len(flat), bool)
@@ -122,8 +162,8 @@ def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": pa.array(key[i : i + 50_000].view(np.int64)), "n": pa.array(np.minimum(n[i : i + 50_000], 2).astype(np.int8))})
 
 
-def _grouped(row: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Paragraphs of one text with equal words as one: a paragraph of each, bounds of its spans, and the spans, those that overlap as one."""
+def _grouped(row: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraphs of one text with equal words as one: a paragraph of each, not a ``bare`` one if there are others, bounds of its spans, and the spans, those that overlap as one."""
     order = np.lexsort((a, full, row))
     row, full, a, b = row[order], full[order], a[order], b[order]
     new = np.ones(len(row), bool)
@@ -135,7 +175,8 @@ def _grouped(row: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     at = np.flatnonzero(cut)
     ends = np.append(at[1:], len(row)) - 1
     first = np.flatnonzero(new)
-    return order[first], np.append(np.searchsorted(at, first), len(at)), a[at], reach[ends] if len(at) else reach
+    unit = order[np.minimum.reduceat(np.arange(len(row)) + len(row) * bare[order], first) % len(row)] if len(row) else order
+    return unit, np.append(np.searchsorted(at, first), len(at)), a[at], reach[ends] if len(at) else reach
 
 
 def _occurrences(common: np.ndarray) -> Callable:
@@ -143,18 +184,22 @@ def _occurrences(common: np.ndarray) -> Callable:
         for batch in batches:
             ids, prints = batch.column(0), batch.column(1)
             for w in W.blocks(batch.column(2)):
-                a, b, full, keys = paragraphs(w)
+                found, runs = paragraphs(w), anchored(w)
+                keys = found[3]
                 hit = in_bitmap(common, keys.ravel().view(np.int64)).reshape(-1, BANDS)
-                on = np.flatnonzero(hit.any(1))
-                row = np.searchsorted(w.bounds, a[on], "right") - 1
+                on, on_run = np.flatnonzero(hit.any(1)), np.flatnonzero(in_bitmap(common, runs[2].view(np.int64)))
+                a, b, full = (np.concatenate([x[on], y[on_run]]) for x, y in zip(found, runs, strict=False))
+                none = np.zeros((len(on_run), BANDS), np.uint64)  # a run has no bands
+                keys, hit = np.concatenate([keys[on], none]), np.concatenate([hit[on], none > 0])
+                row = np.searchsorted(w.bounds, a, "right") - 1
                 base = w.offsets[row]
-                unit, bounds, start, end = _grouped(row, full[on], w.start[a[on]] - base, w.end[b[on] - 1] - base)
+                unit, bounds, start, end = _grouped(row, full, w.start[a] - base, w.end[b - 1] - base, ~hit.any(1))
                 where = pa.array(row[unit] + w.first)
                 ends = pa.array(bounds, pa.int32())
-                on_keys = hit[on][unit]
+                on_keys = hit[unit]
                 ends_of_keys = pa.array(np.concatenate([[0], np.cumsum(on_keys.sum(1))]), pa.int32())
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.array(full[on][unit].view(np.int64)), "doc_id": ids.take(where), "print": prints.take(where), "keys": pa.ListArray.from_arrays(ends_of_keys, pa.array(keys[on][unit][on_keys].view(np.int64))),
+                    "id": pa.array(full[unit].view(np.int64)), "doc_id": ids.take(where), "print": prints.take(where), "keys": pa.ListArray.from_arrays(ends_of_keys, pa.array(keys[unit][on_keys].view(np.int64))),
                     "starts": pa.ListArray.from_arrays(ends, pa.array(start)), "ends": pa.ListArray.from_arrays(ends, pa.array(end)),
                 })
 
@@ -172,8 +217,7 @@ def _unit_sets(wanted: np.ndarray) -> Callable:
                 ids, first = np.unique(full[on], return_index=True)
                 if not len(ids):
                     continue
-                with np.errstate(over="ignore"):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * W._power(_R, len(w.hash)))])
+                total = _total(w)
                 p = np.arange(len(w.hash) - SHINGLE + 1)
                 shingle = (_runs(total, p, p + SHINGLE) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 sets = [np.unique(shingle[x : y - SHINGLE + 1]) for x, y in zip(a[on][first], b[on][first], strict=True)]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.llm import near_dup
+from millrace.llm import near_dup, substring_dedup
 from millrace.llm import words as W
 
 
@@ -36,3 +37,36 @@ def test_small_sets_are_not_ruled_out_by_sketches(spark):
     looks = signed.select(F.col("doc_id").alias("k_id"), F.col("n_shingles").alias("n"), "sketch")
     links = near_dup.link_by_stars(met, lambda p: near_dup.compare_sets(p, sets, 80), looks, lambda x, y: near_dup._near(x, y, 80), near_dup._fine_looks(sets, 80), lambda x, y: near_dup._finely_near(x, y, 80))
     assert sorted((r.a, r.b) for r in links.collect()) == want
+
+
+def _words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_any_shared_words_hold_a_run():
+    rng = random.Random(8)
+    for n, at_least in ((substring_dedup.SHARED, 1), (substring_dedup.SHARED - 1, 0), (300, 10)):
+        for _ in range(30):
+            shared = _words(rng, n)
+            texts = [" ".join(_words(rng, rng.randrange(90)) + shared + _words(rng, rng.randrange(90))) for _ in range(2)]
+            runs = [set(substring_dedup.anchored(next(W.blocks(pa.array([t]))))[2].tolist()) for t in texts]
+            assert len(runs[0] & runs[1]) >= at_least
+    two = next(W.blocks(pa.array([" ".join(_words(rng, 30)), " ".join(_words(rng, 30)), "x " * 400, None])))
+    a, b, _ = substring_dedup.anchored(two)
+    assert len(a) and a.min() >= 60 and b.max() <= 460
+
+
+def test_passages_inside_sentences_are_removed(spark):
+    """Shared passages that start and end inside a sentence, and text without any sentence."""
+    rng = random.Random(9)
+    say = lambda *n: " ".join(" ".join(_words(rng, k)) + "." for k in n)
+    passages = [say(20, 20, 20)[:-1], say(40, 45)[:-1], " ".join(_words(rng, 60)), " ".join(_words(rng, 51))]
+    texts = []
+    for _ in range(2):
+        texts += [" ".join(_words(rng, 17)) + f" {p} " + " ".join(_words(rng, 19)) for p in passages]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
+    for i, p in enumerate(passages):
+        assert out[i] == texts[i]
+        left, own = set(out[i + 4].split()), set(texts[i + 4].split()) - set(p.split())
+        assert own <= left and len(left & set(p.split())) <= len(p.split()) - substring_dedup.RUN
