@@ -177,14 +177,14 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, fine: DataFrame | None = None, finely: Callable[[str, str], Column] | None = None, whole: bool = True) -> DataFrame:
+def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, fine: DataFrame | None = None, finely: Callable[[str, str], Column] | None = None, larger: DataFrame | None = None) -> DataFrame:
     """Confirmed links (a, b) that connect what shares a bucket and is linked, from ``key, id, c_id`` (a table).
 
     First every id is compared with its buckets' centres, then, where components share a bucket, with
     some centres of each bucket, ROUNDS times. Ids of one bucket that are in different components even
     then are compared with each other, so no component is cut in two.
     ``looks`` (k_id and columns) and ``near`` rule out pairs before they are confirmed; ``fine`` and ``finely`` do so in the last comparison.
-    Without ``whole`` ids are compared with the centres only.
+    ``larger``: the rows of ``met`` whose bucket has more than two ids, if ``near`` rules nothing out: in a bucket of two all is compared at first.
     """
 
     def seen(rows: DataFrame, side: str, key: str, looks: DataFrame | None = looks) -> DataFrame:
@@ -196,8 +196,7 @@ def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], loo
     pairs = met.where(F.col("id") != F.col("c_id")).select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
     pairs = table_cut(seen(seen(pairs, "a", "a"), "b", "b").where(allowed("a", "b")).select("a", "b").distinct(), "pairs")
     links = table_cut(confirm(pairs), "links")
-    if not whole:
-        return links
+    met = met if larger is None else larger
 
     def unsettled() -> DataFrame:
         """Rows (key, id, at) of the buckets that hold more than one component."""

@@ -14,8 +14,8 @@ Each paragraph has BANDS MinHash entries over its five-word shingles, and as man
 neighbouring entries, the last with the first: a pair of similarity 0.8 shares none with
 probability 0.005, a pair of 0.9 with 0.0002. Equal paragraphs are one from the start. Only band keys are counted over
 all paragraphs; those that come again are joined, colliding paragraphs are compared with the
-centre of their bucket by exact Jaccard similarity on full shingle sets, and linked ones are
-clustered by components. The first text with a passage of a cluster (by doc_id) keeps it; from the others it is removed.
+centre of their bucket by exact Jaccard similarity on full shingle sets, then those of one bucket that
+are not linked by then with each other, and linked ones are clustered by components. The first text with a passage of a cluster (by doc_id) keeps it; from the others it is removed.
 What repeats within one text only stays.
 
 Defined results: a null or empty text, and one without a long enough paragraph, has nothing to
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -44,6 +44,8 @@ BANDS = 8
 LONG_SENTENCE = MIN_WORDS // 2
 #: Words that two texts share at least, and length of the runs of which one lies in any such words.
 SHARED, RUN = 51, 32
+#: Bits of a set's map, one set by each shingle: two sets differ in as many shingles at least as their maps in bits.
+MAP_BITS = 256
 #: Bits of the bitmap of common keys: 16 MB whatever the input size.
 KEY_BITS = 1 << 27
 _R = 0xC2B2AE3D27D4EB4F
@@ -222,12 +224,22 @@ def _unit_sets(wanted: np.ndarray) -> Callable:
                 shingle = (_runs(total, p, p + SHINGLE) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 sets = [np.unique(shingle[x : y - SHINGLE + 1]) for x, y in zip(a[on][first], b[on][first], strict=True)]
                 n = np.array([len(x) for x in sets], np.int64)
+                bits = np.zeros((len(sets), MAP_BITS), np.uint8)
+                bits[np.repeat(np.arange(len(sets)), n), np.concatenate(sets) % MAP_BITS] = 1
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (MAP_BITS // 64), pa.int32()), pa.array(np.packbits(bits, axis=1).ravel().view(np.int64)))
                 bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                yield pa.RecordBatch.from_pydict({"s_id": pa.array(ids.view(np.int64)), "s_n": pa.array(n), "s_set": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int32)))})
+                yield pa.RecordBatch.from_pydict({"s_id": pa.array(ids.view(np.int64)), "s_n": pa.array(n), "s_set": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int32))), "s_map": maps})
 
     return rows
 
 
+def _may_be_near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and maps of two sides allow a similarity of ``percent`` per cent; never false for a pair that has it."""
+    ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
+    apart = sum((F.bit_count(F.col(f"{a}_map")[i].bitwiseXOR(F.col(f"{b}_map")[i])) for i in range(1, MAP_BITS // 64)), F.bit_count(F.col(f"{a}_map")[0].bitwiseXOR(F.col(f"{b}_map")[0])))
+    return ratio & (apart * (100 + percent) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """doc_id, a print of the text, and the text: what tells rows apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -245,16 +257,14 @@ def find_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     occurrence = table_cut(found, "occurrences")
     keyed = occurrence.select("id", F.explode("keys").alias("key")).distinct().join(common, F.col("key") == F.col("k_key"), "left_semi")
     keyed = table_cut(keyed, "keyed")
-    centre = keyed.groupBy("key").agg(F.min("id").alias("c_id"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("c_key"), "c_id")
-    met = table_cut(keyed.join(centre, F.col("key") == F.col("c_key")).select("key", "id", "c_id"), "met")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("e_id")).distinct()
-        # The bitmap only spares making sets that no pair needs; the joins with the sets are exact.
-        sets = rows.select("text").mapInArrow(_unit_sets(id_bitmap(ends, "e_id")), "s_id long, s_n long, s_set array<int>").dropDuplicates(["s_id"])
-        return compare_sets(pairs, table_cut(sets, "sets"), percent)
-
-    of = components(link_by_stars(met, confirm, whole=False)).select(F.col("node").alias("f_id"), "component")
+    centre = keyed.groupBy("key").agg(F.min("id").alias("c_id"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("c_key"), "c_id", "n")
+    met = table_cut(keyed.join(centre, F.col("key") == F.col("c_key")).select("key", "id", "c_id", "n"), "met")
+    # The bitmap only spares making sets that no pair needs; the joins with the sets are exact.
+    sets = rows.select("text").mapInArrow(_unit_sets(id_bitmap(met.select("id").distinct(), "id")), "s_id long, s_n long, s_set array<int>, s_map array<long>")
+    sets = table_cut(sets.dropDuplicates(["s_id"]), "sets")
+    maps = sets.select(F.col("s_id").alias("k_id"), F.col("s_n").alias("n"), F.col("s_map").alias("map"))
+    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), fine=maps, finely=lambda x, y: _may_be_near(x, y, percent), larger=met.where("n > 2"))
+    of = components(links).select(F.col("node").alias("f_id"), "component")
     unit = occurrence.join(of, F.col("id") == F.col("f_id"), "left").select("doc_id", "print", "starts", "ends", F.coalesce("component", "id").alias("cluster"))
     # The first text with the passage: partial aggregation, however common a passage is.
     first = unit.groupBy("cluster").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.max(F.struct("doc_id", "print")).alias("last")).where("first <> last").select(F.col("cluster").alias("c_cluster"), "first")

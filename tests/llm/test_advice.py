@@ -70,3 +70,22 @@ def test_passages_inside_sentences_are_removed(spark):
         assert out[i] == texts[i]
         left, own = set(out[i + 4].split()), set(texts[i + 4].split()) - set(p.split())
         assert own <= left and len(left & set(p.split())) <= len(p.split()) - substring_dedup.RUN
+
+
+def test_edited_passages_apart_from_the_centre_are_linked(spark):
+    """Variants of boilerplate that share buckets, in pairs of edited copies: no pair may depend on who is the centre."""
+    rng = random.Random(21)
+    base, rows, want = _words(rng, 60), [], []
+    for v in range(120):
+        own = list(base)
+        own[20:23] = _words(rng, 3)  # similarity 0.78 to other variants
+        edited = list(own)
+        edited[rng.choice([2, 57])] = "edited"
+        want.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(edited))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.find_repeats(df).where(f"a = 0 and b >= {min(len(t.encode()) for _, t in rows)}")
+    got = {(r.first_doc_id, r.doc_id) for r in found.collect()}
+    assert len(got & set(want)) >= 118  # a pair shares no bucket with probability below 0.001
