@@ -5,7 +5,9 @@ it, so a text is the sequence of its words, each with the space or line end befo
 words have equal ids. Each process asks the tokenizer for a word once and then copies its ids.
 Texts to which that doesn't apply (other or double white space, special tokens) go to the
 tokenizer whole. The same holds before a mark that follows a letter or digit, which spares the
-memo the words with their full stops. Words are told apart by 64-bit hashes of their bytes.
+memo the words with their full stops. A word found by its hash counts only if its bytes are the
+stored ones; words of more than EXACT bytes, and those whose hash another word has, are looked up by
+their bytes. So ids are the library's whatever collides.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from millrace.llm import words as W
 
 #: Words that the memo holds; when it is full, those that came only once are forgotten. The memo
 #: speeds up and never changes ids.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1 << 19
+#: Bytes of a word that the memo keeps beside its hash, as numbers of eight.
+EXACT = 32
 _SLOTS_A_WORD = 2
 _SPACE, _LINE, _HEAD = 0, 1, 2  #: what stands before a word: a space, a line end, nothing
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?*#$%&|()-")] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_CODES = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CUT = np.zeros(256, dtype=bool)
 _CUT[[10, 32]] = True
 #: Bytes that are white space themselves, and bytes that may begin some in UTF-8.
@@ -98,10 +101,11 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.n, self.used = _Memo(MEMO_WORDS), 1, 0
+        self.memo, self.n, self.used, self.long = _Memo(MEMO_WORDS), 1, 0, {}
+        self.emptied = getattr(self, "emptied", 0) + 1
         size = MEMO_WORDS + 1
         self.hashes, self.starts, self.lengths = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
-        self.again = np.zeros(size, bool)
+        self.tags, self.chars, self.again = np.zeros(size, np.int32), np.zeros((size, EXACT // 8), np.uint64), np.zeros(size, bool)
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -119,12 +123,13 @@ class WordTokenizer:
             raise ValueError("the tokenizer joins words over line ends")
         return ids, at, np.append(at[1:], len(ids))
 
-    def _learn(self, hashes: np.ndarray, kinds: np.ndarray, words: list[str]) -> None:
-        """Ask the library for new words."""
+    def _learn(self, kinds: np.ndarray, words: list[str]) -> np.ndarray:
+        """Ask the library for words; the numbers under which their ids are kept."""
         if self.n + len(words) > MEMO_WORDS:
             self._make_room()
             if self.n + len(words) > MEMO_WORDS:
                 self._forget()
+                return np.zeros(0, np.int32)
         number = np.arange(self.n, self.n + len(words), dtype=np.int32)
         for group, before in ((np.flatnonzero(kinds == _SPACE), " "), (np.flatnonzero(kinds != _SPACE), "")):
             ids, at, end = self._together([words[i] for i in group], before)
@@ -134,22 +139,76 @@ class WordTokenizer:
             skip = (kinds[group] != _LINE).astype(np.int64)  # a word after a line end has the line end's id first
             self.starts[number[group]], self.lengths[number[group]] = self.used + at + skip, end - at - skip
             self.used += len(ids)
-        self.hashes[number] = hashes
-        self.again[number] = False
-        self.memo.add(hashes, number)
+        self.tags[number], self.again[number] = 0, False
         self.n += len(words)
+        return number
+
+    def _enter(self, number: np.ndarray, hashes: np.ndarray, tags: np.ndarray, chars: np.ndarray) -> None:
+        """Let words be found by their hashes, which aren't here and differ from each other."""
+        self.hashes[number], self.tags[number], self.chars[number] = hashes, tags, chars
+        self.memo.add(hashes, number)
 
     def _make_room(self) -> None:
         """Keep the words that have come again."""
-        keep = np.flatnonzero(self.again[: self.n])
-        keep = keep[keep > 0][: MEMO_WORDS // 2]
-        ids, lengths, hashes = self._gather(keep), self.lengths[keep].copy(), self.hashes[keep].copy()
+        keep = np.flatnonzero(self.again[: self.n] & (self.tags[: self.n] > 0))[: MEMO_WORDS // 2]
+        ids, lengths = self._gather(keep), self.lengths[keep].copy()
+        hashes, tags, chars = self.hashes[keep].copy(), self.tags[keep].copy(), self.chars[keep].copy()
         self._forget()
         number = np.arange(1, len(keep) + 1, dtype=np.int32)
         self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
         self.used, self.n = len(ids), len(keep) + 1
-        self.hashes[number], self.lengths[number], self.starts[number] = hashes, lengths, np.cumsum(lengths) - lengths
-        self.memo.add(hashes, number)
+        self.lengths[number], self.starts[number] = lengths, np.cumsum(lengths) - lengths
+        self._enter(number, hashes, tags, chars)
+
+    def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray | None:
+        """The number of each word; None if the memo was emptied for too many new words."""
+        at_once, size = W.eights(data), end - start
+        h = W.hashes(at_once, start, end, kind)
+        h[h == 0] = 1
+        tag = np.where(size <= EXACT, size * 4 + kind + 1, 0).astype(np.int32)  # 0: only by its bytes
+        text: bytes | None = None
+
+        def words(which: np.ndarray) -> list[bytes]:
+            nonlocal text
+            text = data.tobytes() if text is None else text
+            return [text[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+
+        def chars(which: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(which), EXACT // 8), np.uint64)
+            for k in range(EXACT // 8):
+                on = np.flatnonzero(size[which] > 8 * k)
+                w = which[on]
+                out[on, k] = at_once[start[w] + 8 * k] & W._LOW_BYTES[np.minimum(size[w] - 8 * k, 8)]
+            return out
+
+        number = self.memo.find(h)
+        self.again[number] = True
+        new = np.flatnonzero((number == 0) & (tag > 0))
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            learnt = self._learn(kind[first], [x.decode() for x in words(first)])
+            if not len(learnt):
+                return None
+            self._enter(learnt, fresh, tag[first], chars(first))
+            number = self.memo.find(h)
+        number[tag == 0] = 0
+        same = (self.tags[number] == tag) & (number > 0)
+        for k in range(EXACT // 8):
+            on = np.flatnonzero(same & (size > 8 * k))
+            same[on] = self.chars[number[on], k] == at_once[start[on] + 8 * k] & W._LOW_BYTES[np.minimum(size[on] - 8 * k, 8)]
+        other = np.flatnonzero(~same)
+        if len(other):
+            emptied = self.emptied
+            keys = [bytes([k]) + x for k, x in zip(kind[other].tolist(), words(other), strict=True)]
+            unknown = list(dict.fromkeys(x for x in keys if x not in self.long))
+            if unknown:
+                learnt = self._learn(np.array([x[0] for x in unknown]), [x[1:].decode() for x in unknown])
+                if self.emptied != emptied:
+                    return None
+                self.long.update(zip(unknown, learnt.tolist(), strict=True))
+            number[other] = [self.long[x] for x in keys]
+        return number
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         n = self.lengths[numbers].astype(np.int64)
@@ -219,23 +278,8 @@ class WordTokenizer:
         last = data[start - 1]
         kind = np.where(last == 10, _LINE, np.where(last == 32, _SPACE, _HEAD))
         kind[start == doc_start] = _HEAD
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.multiply(_CODES[data], W._power(W._BASE, len(data)), out=total[1:])
-            np.cumsum(total[1:], out=total[1:])
-            h = (total[end] - total[start]) * W._power(W._INVERSE, len(data) + 1)[start]
-            h = W.mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + kind.astype(np.uint64))
-        h[h == 0] = 1
-        number = self.memo.find(h)
-        new = np.flatnonzero(number == 0)
-        self.again[number] = True
-        if len(new):
-            fresh, first = np.unique(h[new], return_index=True)
-            first = new[first]
-            chars = data.tobytes()
-            self._learn(fresh, kind[first], [chars[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-            number = self.memo.find(h)
-        if (number == 0).any():  # the memo was emptied for a block with too many new words
+        number = self._numbers(data, start, end, kind)
+        if number is None:
             return self._pieces(data, offsets, count)
         ids = self._gather(number)
         total = np.concatenate([[0], np.cumsum(self.lengths[number], dtype=np.int64)])

@@ -1,12 +1,14 @@
 """Words, shingles and their hashes for whole Arrow batches at once.
 
-Words are maximal runs of bytes other than ``\\x20 \\x09-\\x0D``, with A-Z lower-cased. A word's
-hash is a polynomial in random byte codes modulo 2**64, found for all words of a batch from one
-running sum, then mixed; equal words have equal hashes in every process.
+Words are maximal runs of bytes other than ``\\x20 \\x09-\\x0D``, with A-Z lower-cased. A word is
+hashed eight bytes at a time, for all words of a batch at once, and each step mixes all bits: words
+of at most eight bytes and equal length never collide, others as random numbers do. Equal words have
+equal hashes in every process.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,31 +17,16 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C55
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes up to which a word is hashed along with others; a longer one by itself.
+LONG_WORD = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For terms: everything but ASCII letters and digits and the bytes of other letters.
 NOT_TERM = np.ones(256, dtype=bool)
 NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES = _CODES[_LOWER]
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept by process."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        have = np.full(size, np.uint64(base), dtype=np.uint64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,7 +50,7 @@ class Words:
     end: np.ndarray  #: byte after each word
     hash: np.ndarray  #: uint64
     bounds: np.ndarray  #: word number at which each document starts, and the end
-    total: np.ndarray  #: running sum of the bytes' codes
+    eights: np.ndarray  #: the eight lower-cased bytes from each place on
 
     @property
     def rows(self) -> int:
@@ -102,20 +89,38 @@ def _words(data: np.ndarray, offsets: np.ndarray, first: int, apart: np.ndarray)
     opens[edges] = inside[edges]
     closes[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.multiply(_CODES[data], _power(_BASE, len(data)), out=total[1:])
-        np.cumsum(total[1:], out=total[1:])
-        h = mix((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start])
-    return Words(data, offsets, first, start, end, h, np.searchsorted(start, offsets), total)
+    at_once = eights(_LOWER[data])
+    return Words(data, offsets, first, start, end, hashes(at_once, start, end), np.searchsorted(start, offsets), at_once)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as one number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes(at_once: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """Hashes of the bytes from each start to before its end, from the numbers of :func:`eights`; ``seed`` below 256."""
+    size = end - start
+    h = mix((size.astype(np.uint64) << np.uint64(8)) + np.asarray(seed, np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    left, k = np.arange(len(start)), 0
+    while len(left):
+        part = at_once[start[left] + 8 * k] & _LOW_BYTES[np.minimum(size[left] - 8 * k, 8)]
+        h[left] = mix(h[left] ^ part)
+        k += 1
+        left = left[(size[left] > 8 * k) & (size[left] <= LONG_WORD)]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        # The first byte of each number is the byte of its place.
+        own = at_once[start[i] : end[i]].astype(np.uint8).tobytes()
+        h[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little"))
+    return h
 
 
 def heads(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words longer than ``size`` bytes, and hashes of their first ``size`` bytes."""
+    """Numbers of the words longer than ``size`` bytes (at most 8), and hashes of their first ``size`` bytes."""
     at = np.flatnonzero(w.end - w.start > size)
     start = w.start[at]
-    with np.errstate(over="ignore"):
-        return at, mix((w.total[start + size] - w.total[start]) * _power(_INVERSE, len(w.data) + 1)[start] + np.uint64(size))
+    return at, hashes(w.eights, start, start + size, 1)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
