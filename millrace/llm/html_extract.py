@@ -2,8 +2,10 @@
 
 A page becomes a tree of block elements. Each block of text passes points for its length and its
 commas to its ancestors, less with each level; a container's points are discounted by its share
-of link text. The best container and those of its siblings that read like the same article are
-kept, without the subtrees that are page furniture.
+of link text. The best container, or the article or main element that it lies in, is kept with those
+of its siblings that read like the same article, and so are, at each level above, containers that score
+like it or have its shape: an article split over several wrappers is one text. Subtrees that are page furniture
+go. A form is furniture unless it holds most of the page's text and few controls, as where a server wraps pages in one.
 
 Defined results: a null or empty page, a page without text, and a page with furniture only give
 an empty text; broken and unclosed markup is read as browsers do, closing what the new tag ends;
@@ -37,7 +39,7 @@ _BLOCK = {
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: Elements that are never part of an article.
-_FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "search"}
+_FURNITURE = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "head", "fieldset", "search"}
 _FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status"}
 #: Words in a class or id that mark page furniture.
 _FURNITURE_WORDS = {
@@ -53,17 +55,20 @@ _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"},
 }
+#: Characters of text for each control from which on a form with most of a page's text is no furniture.
+FORM_TEXT = 100
+_CONTROLS = {"input", "select", "textarea", "button"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "body": set()}
 _NO_P_CLOSE = {"head", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button"}
 
 
 class _Node:
-    __slots__ = ("children", "furniture", "link", "parent", "points", "size", "tag", "words")
+    __slots__ = ("children", "controls", "furniture", "link", "parent", "points", "size", "tag", "words")
 
     def __init__(self, tag: str, parent: _Node | None, furniture: bool = False, words: frozenset = frozenset()):
         self.tag, self.parent, self.furniture, self.words = tag, parent, furniture, words
         self.children: list = []  # nodes, and (text, is a link) pairs
-        self.points, self.size, self.link = 0.0, 0, 0
+        self.points, self.size, self.link, self.controls = 0.0, 0, 0, 0
 
 
 def _marks(attributes: str, tag: str) -> tuple[bool, frozenset]:
@@ -82,6 +87,7 @@ def parse(page: str) -> _Node:
     """The tree of block elements; inline markup leaves only its text and whether it is a link."""
     root = node = _Node("#root", None)
     at, links, n = 0, 0, len(page)
+    forms: list[_Node] = []
     while at < n:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else n
@@ -93,6 +99,8 @@ def parse(page: str) -> _Node:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if tag in _CONTROLS and not closing and 'type="hidden"' not in m[3]:
+            node.controls += 1
         if tag in _RAW and not closing:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -125,11 +133,32 @@ def parse(page: str) -> _Node:
             bad, words = _marks(m[3], tag)
             child = _Node(tag, node, bad or tag in _FURNITURE, words)
             node.children.append(child)
+            if tag == "form":
+                forms.append(child)
             if not m[3].endswith("/") or tag in ("p", "div"):
                 node = child
+    if forms:
+        whole = _held(root)[0]
+        for f in forms:
+            text, controls = _held(f)
+            f.furniture |= 2 * text <= whole or text < FORM_TEXT * controls
     return root
 
 
+def _held(node: _Node) -> tuple[int, int]:
+    """Characters of text and number of controls below a node."""
+    text, controls, stack = 0, 0, [node]
+    while stack:
+        x = stack.pop()
+        controls += x.controls
+        for c in x.children:
+            if type(c) is tuple:
+                text += len(c[0].strip())
+            else:
+                stack.append(c)
+    return text, controls
+
+
 def _clean(text: str) -> str:
     return _SPACES.sub(" ", html.unescape(text)).strip()
 
@@ -176,8 +205,11 @@ def _final(node: _Node) -> float:
     return node.points * bonus * (1 - min(1.0, node.link / node.size) if node.size else 0.0)
 
 
-def _blocks(node: _Node, out: list[str]) -> None:
-    """Append the text blocks below a node in page order; text around a nested block makes blocks of its own."""
+def _blocks(node: _Node, out: list[str], spare: set[int] | None = None) -> None:
+    """Append the text blocks below a node in page order; text around a nested block makes blocks of its own.
+
+    With ``spare``, containers that are mostly links go, but for those numbered in it.
+    """
     stack: list = [node]
     run: list[str] = []
 
@@ -194,13 +226,47 @@ def _blocks(node: _Node, out: list[str]) -> None:
             run.append(x[0])
         elif x is None:
             flush()
-        elif not x.furniture:
+        elif not x.furniture and (spare is None or id(x) in spare or 2 * x.link < x.size or not x.size):
             flush()
             stack.append(None)
             stack.extend(reversed(x.children))
     flush()
 
 
+def _shape(node: _Node) -> tuple:
+    """Tag and class words of a node, and the tags below it by first containers down to the first block of text."""
+    tags, x = [], node
+    while x is not None:
+        tags.append(x.tag)
+        if any(type(c) is tuple and not c[0].isspace() for c in x.children):
+            break
+        x = next((c for c in x.children if type(c) is _Node and not c.furniture), None)
+    return node.words, tuple(tags)
+
+
+def _beside(c: _Node, best: _Node, most: float) -> bool:
+    """Whether a sibling of the best container belongs to its article."""
+    density = c.link / c.size
+    same = bool(c.words) and c.words == best.words
+    return (
+        _final(c) + (0.2 * most if same else 0) >= max(10.0, most * 0.2) and density < 0.5
+        or c.tag == "p" and c.size > 80 and density < 0.25
+        or c.tag in ("h1", "h2", "h3") and density < 0.25
+    )
+
+
+def _above(c: _Node, path: _Node, most: float) -> bool:
+    """Whether a container beside an ancestor (``path``) of the best one is another part of the article."""
+    if c.tag not in ("div", "section", "article", "td", "tr", "table", "tbody") or c.link * 4 >= c.size:
+        return False
+    high, stack = 0.0, [c]
+    while stack:
+        x = stack.pop()
+        high = max(high, _final(x))
+        stack += [k for k in x.children if type(k) is _Node and not k.furniture]
+    return high >= max(10.0, most * 0.2) or high >= 1.5 and _shape(c) == _shape(path)
+
+
 def extract(page: str | None) -> str:
     """The main text of one page: its blocks joined by line ends, empty if there is none."""
     if not page:
@@ -210,29 +276,25 @@ def extract(page: str | None) -> str:
     if not scored:
         return ""
     best = max(scored, key=_final)
-    out: list[str] = []
-    if best.parent is None:
-        _blocks(best, out)
-        return "\n".join(out)
-    # An article split over several containers: lift to what holds most of the page's points.
     most = _final(best)
-    least = max(10.0, most * 0.2)
-    for c in best.parent.children:
-        if type(c) is tuple:
-            continue
-        if c is best:
-            keep = True
-        elif c.furniture or not c.size:
-            keep = False
-        else:
-            density = c.link / c.size
-            same = bool(c.words) and c.words == best.words
-            keep = _final(c) + (0.2 * most if same else 0) >= least and density < 0.5
-            if not keep and c.tag == "p":
-                keep = c.size > 80 and density < 0.25
-            if not keep and c.tag in ("h1", "h2", "h3"):
-                keep = density < 0.25
-        if keep:
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    own = next((k for k, x in enumerate(path) if x.tag in ("article", "main")), 0)
+    out: list[str] = []
+    # From the root down, with the parts before and after the best container in page order.
+    after: list[list[_Node]] = []
+    for k in range(len(path) - 1, own, -1):
+        inner = path[k - 1]
+        kept = [c if c is inner or not c.furniture and c.size and (_beside(c, best, most) if k == 1 else _above(c, inner, most)) else None for c in path[k].children if type(c) is _Node]
+        at = kept.index(inner)
+        for c in kept[:at]:
+            if c is not None:
+                _blocks(c, out)
+        after.append([c for c in kept[at + 1 :] if c is not None])
+    _blocks(path[own], out, {id(x) for x in path[: own + 1]} if own else None)
+    for parts in reversed(after):
+        for c in parts:
             _blocks(c, out)
     return "\n".join(out)
 
