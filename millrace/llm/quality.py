@@ -10,8 +10,8 @@ bound. Features and scores cover all rows in one pass over the texts without a s
 
 Defined results: a null or empty text has features of zeros and gets their score; without any
 labelled row, or with one class only, every score is the share of good rows among them (1 without
-any); a null label is no label; several labels of one document count as their maximum; repeated
-rows give repeated results; other columns do not matter and are passed on by the filter.
+any); a null label is no label; several labels of one document count as their maximum; of rows with one
+doc_id the fit takes the one with the least features; repeated rows give repeated results; other columns do not matter and are passed on by the filter.
 """
 
 from __future__ import annotations
@@ -249,10 +249,10 @@ def label_sample(labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_row
 
 
 def fit(table: DataFrame, sample: DataFrame) -> Model:
-    """Learn from the rows of a feature table that the bounded sample names; at most that many come to the driver."""
-    rows = table.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("doc_id", "x", "label").toArrow()
+    """Learn from the rows of a feature table that the bounded sample names; at most one row for each of its ids comes to the driver."""
+    rows = table.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).toArrow()
     x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-    order = np.lexsort((*x.T[:4], rows["doc_id"].to_numpy()))  # the same fit however rows arrived
+    order = np.argsort(rows["doc_id"].to_numpy())  # the same fit however rows arrived
     return learn(x[order], rows["label"].to_numpy()[order].astype(float))
 
 

@@ -2,7 +2,9 @@
 
 Terms are a text's distinct words and the first four, five and six bytes of longer ones, hashed to
 buckets. The machine has a weight for each chosen bucket and a vector whose inner products weigh
-pairs, so that two terms together can say more than the sum of both.
+pairs, so that two terms together can say more than the sum of both. Buckets are chosen by what their
+presence says about the label, and among the commonest ones by what they say in pairs beyond what each says
+alone: a term may matter only beside another.
 
 The fit uses at most FIT_ROWS labelled rows of each class, chosen by a hash of doc_id; that is the
 documented bound. Scores cover all rows in one pass without a shuffle.
@@ -10,7 +12,8 @@ documented bound. Scores cover all rows in one pass without a shuffle.
 Defined results: a null or empty text has no term and gets the score of the intercept; without
 any labelled row, or with one class only, every score is the share of toxic rows among them (0
 without any); a null label is no label; several labels of one document count as their maximum;
-repeated rows give repeated results; other columns do not matter.
+of rows with one doc_id the fit takes the least text; repeated rows give repeated results; other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from millrace.llm.common import ship, table_cut
 FIT_ROWS = 4000  #: labelled rows of each class that are learned from, at most
 FIT_PARTITIONS = 8
 BUCKETS = 1 << 24
-FEATURES = 2048  #: buckets with a weight, at most
+FEATURES = 2048  #: buckets with a weight for what they say alone, at most
+#: Common buckets that are tested in pairs, in how many texts of the sample they are at least, and how many of them are chosen at most.
+PAIR_TERMS, PAIR_TEXTS, PAIR_FEATURES = 1024, 20, 256
 EVIDENCE = 4.0  #: square root of the likelihood ratio that a bucket needs
 HEADS = (4, 5, 6)
 FACTORS = 8
@@ -112,8 +117,8 @@ def _known_terms(machine: Machine) -> Callable:
     return known
 
 
-def _choose(counts: DataFrame, n0: int, n1: int) -> np.ndarray:
-    """The buckets whose presence says most about the label, by the likelihood ratio; at most FEATURES rows come back."""
+def _choose(counts: DataFrame, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose presence says most about the label, by the likelihood ratio, and the commonest ones that not nearly all texts have; at most FEATURES and PAIR_TERMS rows come back."""
     c = counts.groupBy("bucket").agg(F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("a"), F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("b"))
     a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     total = n0 + n1
@@ -123,7 +128,35 @@ def _choose(counts: DataFrame, n0: int, n1: int) -> np.ndarray:
 
     g = 2 * (part(a, (a + b) * n0 / total) + part(b, (a + b) * n1 / total) + part(n0 - a, (total - a - b) * F.lit(n0 / total)) + part(n1 - b, (total - a - b) * F.lit(n1 / total)))
     best = c.select("bucket", g.alias("g")).where(F.col("g") >= EVIDENCE**2).orderBy(F.desc("g"), "bucket").limit(FEATURES)
-    return np.sort(np.array([r["bucket"] for r in best.collect()], dtype=np.int64))
+    common = c.select("bucket", (a + b).alias("m")).where((F.col("m") >= PAIR_TEXTS) & (F.col("m") <= 0.95 * total)).orderBy(F.desc("m"), "bucket").limit(PAIR_TERMS)
+    return tuple(np.sort(np.array([r["bucket"] for r in x.collect()], dtype=np.int64)) for x in (best, common))
+
+
+def _ratio(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio of a cell's counts of both labels against the share of label 1 in all."""
+    n = np.maximum(a + b, 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(a > 0, a * np.log(a / (n * (1 - share))), 0) + np.where(b > 0, b * np.log(b / (n * share)), 0))
+
+
+def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of a 0-1 matrix that say more about y in some pair than both of it alone; at most PAIR_FEATURES, the strongest first."""
+    if x.shape[1] < 2:
+        return np.zeros(0, np.int64)
+    share, n = float(y.mean()), [float((y == 0).sum()), float((y == 1).sum())]
+    own = [x[y == c].sum(0).astype(float) for c in (0, 1)]
+    both = [(x[y == c].T @ x[y == c]).astype(float) for c in (0, 1)]
+    alone = _ratio(own[0], own[1], share) + _ratio(n[0] - own[0], n[1] - own[1], share)
+    cells = [both, [o[:, None] - z for o, z in zip(own, both, strict=True)], [o[None, :] - z for o, z in zip(own, both, strict=True)], [m - o[:, None] - o[None, :] + z for m, o, z in zip(n, own, both, strict=True)]]
+    more = sum(_ratio(*c, share) for c in cells) - alone[:, None] - alone[None, :]
+    np.fill_diagonal(more, 0)
+    # Words and their beginnings go together: pairs of which one nearly implies the other say nothing as pairs.
+    least = np.minimum(sum(own)[:, None], sum(own)[None, :])
+    more[sum(both) > 0.8 * least] = 0
+    best = more.max(0)
+    bound = EVIDENCE**2 + 4 * np.log(x.shape[1])  # more pairs are tried than terms
+    order = np.argsort(-best, kind="stable")[:PAIR_FEATURES]
+    return order[best[order] >= bound]
 
 
 def _learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 40, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
@@ -160,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # At most 2 * fit_rows ids: the bound of the broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample[0].unionByName(sample[1])), F.col("d_id") == F.col("l_id"))
-    rows = rows.select("text", "label").repartition(FIT_PARTITIONS)
+    # One text for each id, whatever rows repeat: what comes to the driver is bounded by the sample.
+    rows = rows.groupBy("d_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label")).select("text", "label").repartition(FIT_PARTITIONS)
     rows = table_cut(rows, "toxic-fit")
     got = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = got.get(0, 0), got.get(1, 0)
@@ -168,12 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
         return Machine(bias=float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    machine = Machine(buckets=_choose(rows.mapInArrow(_count_terms, "label long, bucket long, n long"), n0, n1))
+    alone, common = _choose(rows.mapInArrow(_count_terms, "label long, bucket long, n long"), n0, n1)
+    machine = Machine(buckets=np.union1d(alone, common))
     found = rows.mapInArrow(_known_terms(machine), "label long, terms array<int>").toArrow()
     y = found["label"].to_numpy().astype(float)
     x = np.zeros((len(y), len(machine.buckets)), dtype=np.float32)
     lists = found["terms"].combine_chunks()
     x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = 1
+    tested = np.flatnonzero(np.isin(machine.buckets, common))
+    keep = np.union1d(np.flatnonzero(np.isin(machine.buckets, alone)), tested[_paired(x[:, tested], y)])
+    machine.buckets, x = machine.buckets[keep], np.ascontiguousarray(x[:, keep])
     order = np.lexsort((x @ np.sqrt(np.arange(2, 2 + x.shape[1], dtype=np.float32)), y))  # the same fit however rows arrived
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0)
     weight = np.sqrt(weight)  # halfway to the labels' own shares: rare toxic texts keep their say
