@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, is_dataclass, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -42,3 +46,36 @@ class Settings:
 
 #: The tiers that can answer, in order, and the one for no answer.
 TIERS = ("cache", "retrieval", "generative", "none")
+
+#: Start of the names of environment variables that set single values, as MILLRACE__CACHE__FUZZY_THRESHOLD.
+PREFIX = "MILLRACE__"
+
+
+def _changed(value, given: Mapping):
+    """A settings value with what is given in place of its own; unknown names are an error."""
+    known = {f.name: getattr(value, f.name) for f in fields(value)}
+    unknown = set(given) - set(known)
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+
+    def one(old, new):
+        if is_dataclass(old):
+            return _changed(old, new)
+        return tuple(new) if isinstance(old, tuple) else type(old)(new) if isinstance(old, (int, float)) and not isinstance(old, bool) else new
+
+    return replace(value, **{k: one(known[k], v) for k, v in given.items()})
+
+
+def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Settings:
+    """The settings of a JSON file, if one is named, and of environment variables, which outweigh it. Values in variables are JSON or text."""
+    out = _changed(Settings(), json.loads(Path(path).read_text()) if path else {})
+    for name, text in sorted((os.environ if env is None else env).items()):
+        if name.startswith(PREFIX):
+            try:
+                value = json.loads(text)
+            except ValueError:
+                value = text
+            for part in reversed(name[len(PREFIX) :].lower().split("__")):
+                value = {part: value}
+            out = _changed(out, value)
+    return out

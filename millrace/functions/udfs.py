@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -174,6 +176,30 @@ def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
     return v / n if n else v
 
 
+@lru_cache(1 << 18)
+def _term_place(term: str) -> tuple[int, float]:
+    h = hashlib.md5(term.encode()).hexdigest()
+    return int(h[:2], 16), 1.0 if int(h[2], 16) >= 8 else -1.0
+
+
+def hashed_terms(tokens: ColumnOrName, dim: int = 64) -> Column:
+    """Unit vectors of signed terms, hashed by MD5 as any engine can: the offline stand-in for an encoder of texts. ``dim`` divides 256; no term gives zeros."""
+
+    @F.pandas_udf("array<double>")
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for terms in lists:
+            v = np.zeros(dim)
+            for t in terms if terms is not None else ():
+                place, sign = _term_place(t)
+                v[place % dim] += sign
+            n = np.sqrt((v * v).sum())
+            out.append(v / n if n else v)
+        return pd.Series(out, dtype=object)
+
+    return run(tokens)
+
+
 def hashed_vectors(text: ColumnOrName) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

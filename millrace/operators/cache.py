@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scores import fuzzy_confidence
 from millrace.functions.text import normalize, strip, words
 from millrace.functions.udfs import token_set_ratio_udf
+from millrace.storage import table_cut
 
 
 def upsert(cache: DataFrame, added: DataFrame) -> DataFrame:
@@ -33,19 +34,80 @@ def normalized_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(normalized_index(cache), F.col("k") == F.col("norm")).select("query_id", F.col("question").alias("matched_key"), "answer", "source")
 
 
+def _token_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``key, token, whole``: the distinct tokens of a normalised text, and the length of all of them with a space between."""
+    tokens = F.array_distinct(words(F.col(key)))
+    return rows.select(key, F.explode(tokens).alias("token"), (F.aggregate(tokens, F.lit(0), lambda n, x: n + F.length(x) + 1) - 1).alias("whole"))
+
+
+def _rare_first(rows: DataFrame, key: str, df: DataFrame, share: float) -> DataFrame:
+    """Of each text the rarest tokens, by ``df``, that make up more than ``share`` of its length."""
+    rows = rows.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    before = F.sum(F.length("token") + 1).over(Window.partitionBy(key).orderBy("df", "token")) - F.length("token") - 1
+    return rows.withColumn("before", before).where(F.col("before") <= share * (F.col("whole") + 1)).select(key, "token")
+
+
+def _token_candidates(asked: DataFrame, keys: DataFrame, t: float) -> DataFrame:
+    """Pairs (q, norm) that may reach ``t`` because common tokens make up nearly all of one side.
+
+    The common tokens against a side of length n reach t only if what the side has beyond them is at most 2 (1 - t) / (2 - t) of n:
+    so one of its rarest tokens that make up more is common.
+    """
+    share = 2 * (1 - t) / (2 - t)
+    q, k = _token_rows(asked, "q"), _token_rows(keys, "norm")
+    df = k.groupBy("token").agg(F.count("*").alias("df"))
+    return _rare_first(q, "q", df, share).join(k.select("norm", "token"), "token").select("q", "norm").unionByName(_rare_first(k, "norm", df, share).join(q.select("q", "token"), "token").select("q", "norm")).distinct()
+
+
+def _piece_candidates(asked: DataFrame, keys: DataFrame, t: float) -> DataFrame:
+    """Pairs (q, norm) that may reach ``t`` by the edit distance of both sides' tokens.
+
+    Sides of lengths n and m then differ in at most (1 - t) (n + m) characters, at most c n with c = 2 (1 - t) / t. Cut into more pieces
+    than that, within tokens, one piece stands unchanged within a token of the other side; the rarest c n + 1 pieces do.
+    """
+    c = 2 * (1 - t) / t
+    width = int(1 / c - 1) if c > 0 else 64
+    q, k = _token_rows(asked, "q"), _token_rows(keys, "norm")
+    near = (F.col("k_whole") * t <= F.col("whole") * (2 - t)) & (F.col("whole") * t <= F.col("k_whole") * (2 - t))
+    if width < 1:  # so low a threshold leaves no whole pieces: lengths alone decide
+        wholes = lambda rows, key, name: rows.groupBy(key).agg(F.max("whole").alias(name))
+        return F.broadcast(wholes(q, "q", "whole")).join(wholes(k, "norm", "k_whole"), near).select("q", "norm")
+    n = F.ceil(F.length("token") / width).cast("int")
+
+    def cut(i: Column) -> Column:
+        first = F.floor(i * F.length("token") / n).cast("int")
+        return F.col("token").substr(first + 1, F.floor((i + 1) * F.length("token") / n).cast("int") - first)
+
+    pieces = q.select("q", "whole", "token", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), cut)).alias("at", "piece"))
+
+    def parts(size: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.length("token") - size + 1), lambda i: F.col("token").substr(i, F.lit(size)))
+        return F.when(F.length("token") >= size, some).otherwise(F.array().cast("array<string>"))
+
+    held = k.select("norm", F.col("whole").alias("k_whole"), F.explode(F.concat(*[parts(size) for size in range(1, width + 1)])).alias("piece")).distinct()
+    df = held.groupBy("piece").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("df", "token", "at"))
+    rare = pieces.join(df, "piece", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", place).where(F.col("place") <= F.floor(c * F.col("whole") + 1e-9) + 1)
+    return rare.where("df > 0").select("q", "whole", "piece").distinct().join(held, "piece").where(near).select("q", "norm").distinct()
+
+
 def fuzzy_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """Each query's best key by token-set similarity of at least ``threshold``, with its score and confidence.
+    """Each query's best key by token-set similarity of at least ``threshold``, with its score and confidence; ties by the key.
 
-    Only pairs that share a token are compared: without one, 90 takes two nearly equal words, as a
-    misspelt question of one word.
+    Exact: the pairs that are scored hold all that can reach the threshold, by common tokens or by unchanged pieces of tokens. Queries with a full
+    score by common tokens need no pieces.
     """
-    asked = queries.select("query_id", normalize(F.col("query")).alias("q")).withColumn("q_token", F.explode(F.array_distinct(words(F.col("q")))))
-    keys = normalized_index(cache).withColumn("token", F.explode(F.array_distinct(words(F.col("norm")))))
-    pairs = asked.join(keys, F.col("q_token") == F.col("token")).select("query_id", "q", "norm", "question", "answer", "source").distinct()
-    scored = pairs.withColumn("score", token_set_ratio_udf("q", "norm")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "question")
-    best = scored.withColumn("place", F.row_number().over(w)).where("place = 1")
-    return best.select("query_id", F.col("question").alias("matched_key"), "answer", "source", "score", fuzzy_confidence(F.col("score"), threshold).alias("confidence"))
+    asked = table_cut(queries.select("query_id", normalize(F.col("query")).alias("q")), "asked")
+    texts = asked.select("q").distinct()
+    index = table_cut(normalized_index(cache), "keys")
+    norms, t = index.select("norm"), threshold / 100
+    scored = lambda pairs: pairs.withColumn("score", token_set_ratio_udf("q", "norm")).where(F.col("score") >= threshold)
+    first = table_cut(scored(_token_candidates(texts, norms, t)), "scored")
+    rest = texts.join(first.where("score >= 100").select("q").distinct(), "q", "left_anti")
+    pairs = first.unionByName(scored(_piece_candidates(rest, norms, t).join(first, ["q", "norm"], "left_anti")))
+    # The largest score and then the least key, by partial aggregation.
+    won = pairs.join(index, "norm").groupBy("q").agg(F.min_by(F.struct("question", "answer", "source", "score"), F.struct(-F.round("score", 9), F.col("question"))).alias("k"))
+    return asked.join(won, "q").select("query_id", F.col("k.question").alias("matched_key"), "k.answer", "k.source", "k.score", fuzzy_confidence(F.col("k.score"), threshold).alias("confidence"))
 
 
 def lookup(queries: DataFrame, cache: DataFrame, threshold: float = 90.0, fuzzy: bool = True) -> DataFrame:

@@ -2,17 +2,16 @@
 
 This is the first maximal independent set of the similarity graph and not its components: of a
 chain A~B~C without A~C, A and C stay. Rounds settle every row whose earlier neighbours are
-settled; the graph meets the next round through a checkpoint.
+settled; the graph meets the next round through a table.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bind, words
+from millrace.storage import table_cut
 
 THRESHOLD = 0.85
 SHINGLE = 5
@@ -20,11 +19,7 @@ PERMUTATIONS, BANDS = 128, 32
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``, or in a temporary one where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+    return table_cut(df, "dedup")
 
 
 def shingle_set(text: Column, size: int = SHINGLE) -> Column:
@@ -39,13 +34,17 @@ def minhash(shingles: Column, permutations: int = PERMUTATIONS) -> Column:
 
 
 def minhash_candidates(docs: DataFrame, key: str, text: str, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """Pairs (a < b) that share a band; each bucket's least id is compared with the others, so pairs grow with the rows."""
+    """The buckets that more than one text is in: ``bucket, id, centre``.
+
+    Two texts are candidates if they share a bucket; candidate pairs are named by membership, for a bucket's pairs grow with its
+    square. ``centre`` is the bucket's least id. Each bucket is one band of the signature.
+    """
     rows = permutations // bands
     signed = docs.select(F.col(key).alias("id"), minhash(shingle_set(F.col(text)), permutations).alias("sig"))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.array_join(F.transform(F.slice(F.col("sig"), b * rows + 1, rows), lambda x: x.cast("string")), ",")))
-    keyed = signed.select("id", F.explode(band).alias("bucket"))
-    centre = keyed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("c_bucket"), "a")
-    return keyed.join(centre, F.col("bucket") == F.col("c_bucket")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    keyed = cut(signed.select("id", F.explode(band).alias("bucket")).distinct())
+    centre = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
+    return keyed.join(centre, "bucket").select("bucket", "id", "centre")
 
 
 def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
@@ -57,7 +56,7 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRES
     """
     sets = docs.select(F.col(key).alias("id"), F.transform(shingle_set(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
     sets = sets.select("id", F.array_sort(F.array_distinct("s")).alias("s")).withColumn("k", F.xxhash64("s"))
-    # Texts with equal sets are one class, named by its least id; the sets meet the joins below through a checkpoint.
+    # Texts with equal sets are one class, named by its least id; the sets meet the joins below through a table.
     named = cut(sets.groupBy("k").agg(F.min("id").alias("rep"), F.first("s").alias("s"), F.collect_list("id").alias("ids")))
     same = named.select("rep", "s", "ids")
     tokens = named.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))

@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.config import TIERS
 from millrace.functions.text import json_array
 from millrace.functions.udfs import rouge_l_udf, token_match_f1_udf
 from millrace.operators import metrics
+from millrace.operators.cascade import Tier, route
 from millrace.operators.providers import Backend, generate
+from millrace.operators.sampling import not_yet_done
 from millrace.operators.validate import grounding, kb_gate, usable_pairs, utility, utility_reasons
+from millrace.sources.sinks import write_lines
+from millrace.storage import table_cut
 
 PAIR = "array<struct<question: string, answer: string>>"
 EXCERPT_CHARS = 2000
 
 
+ITEM = "query_id string, query string, reference string, expected_tier string, tags array<string>"
+JUDGEMENT = "query_id string, doc_ids array<string>"
+
+
+def eval_items(spark: SparkSession, rows: Sequence[tuple] = ()) -> DataFrame:
+    """An eval set from literal rows of ITEM; ids must differ and tiers be ones that answer."""
+    if len({r[0] for r in rows}) < len(rows):
+        raise ValueError("eval items must have different ids")
+    if bad := {r[3] for r in rows} - set(TIERS[:-1]):
+        raise ValueError(f"unknown tiers: {', '.join(sorted(bad))}")
+    return spark.createDataFrame(list(rows), ITEM)
+
+
+def by_tier(items: DataFrame, tier: str) -> DataFrame:
+    return items.where(F.col("expected_tier") == tier)
+
+
+def committed_judgements(spark: SparkSession) -> DataFrame:
+    """The judgements that come with the engine: none, with their types."""
+    return spark.createDataFrame([], JUDGEMENT)
+
+
+def run(items: DataFrame, tiers: list[Tier]) -> DataFrame:
+    """Route every eval item (query_id, query, reference, expected_tier) through the tiers and score the answers: :func:`facts` with backend."""
+    routed = table_cut(route(items.select("query_id", "query"), tiers), "routed")
+    backend = routed.select(F.col("query_id").alias("b_id"), F.get_json_object("details", "$.backend").alias("backend"))
+    return facts(items, routed).join(backend, F.col("query_id") == F.col("b_id"), "left").drop("b_id")
+
+
 def facts(items: DataFrame, results: DataFrame) -> DataFrame:
     """One row for each eval item (query_id, reference, expected_tier) with its result (query_id, answer, answered_by, confidence).
 
@@ -52,19 +86,40 @@ def excerpt_prompt(chunk: Column) -> Column:
     return F.concat(F.lit("Write question and answer pairs about this excerpt as a JSON array of objects with question and answer:\n"), F.substring(chunk, 1, EXCERPT_CHARS))
 
 
-def generate_pairs(chunks: DataFrame, backends: Sequence[Backend]) -> DataFrame:
-    """Checked candidates from chunks (chunk_id, source, chunk): a row for each pair that a model gives.
+def generate_pairs(chunks: DataFrame, backends: Sequence[Backend], calls_a_minute: int | None = None, tasks: int = 1) -> DataFrame:
+    """Checked candidates from chunks (chunk_id, source, chunk): a row for each pair that a model gives, with the tokens that its chunk took.
 
-    An answer that can't be read gives no pair, like an empty array; ids count every emitted pair of a chunk.
+    An answer that can't be read is asked for again; an empty array says that there is nothing. Ids count every emitted pair of a chunk.
     """
-    asked = chunks.withColumn("made", generate(excerpt_prompt(F.col("chunk")), backends))
-    rows = asked.select("chunk_id", "source", "chunk", F.posexplode(json_array(F.col("made.answer"), PAIR)).alias("k", "pair")).select("chunk_id", "source", "chunk", "k", "pair.question", "pair.answer")
+    made = generate(excerpt_prompt(F.col("chunk")), backends, calls_a_minute, readable=True, tasks=tasks)
+    asked = table_cut(chunks.select("chunk_id", "source", "chunk", made.alias("made")), "made")
+    return check_pairs(asked)
+
+
+def generate_in_batches(chunks: DataFrame, backends: Sequence[Backend], path: str, batches: int, run: str, done: DataFrame | None = None) -> int:
+    """Generate candidates for the chunks that aren't done (``done``: source_chunk_id) and append them to ``path`` batch by batch, so that what is written
+    stays if a later batch fails. Ends before the next batch once a quota is exhausted. The number of batches written."""
+    if done is not None:
+        chunks = not_yet_done(chunks, done, "chunk_id", "source_chunk_id")
+    made = generate(excerpt_prompt(F.col("chunk")), backends, readable=True)
+    for k in range(batches):
+        part = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == k)
+        asked = table_cut(part.select("chunk_id", "source", "chunk", made.alias("made")), "made")
+        write_lines(check_pairs(asked).withColumn("run_started_at", F.lit(run)), path, append=True)
+        if not asked.where(F.array_contains("made.failures", "quota")).isEmpty():
+            return k + 1
+    return batches
+
+
+def check_pairs(asked: DataFrame) -> DataFrame:
+    """The pairs in a model's answers (chunk_id, source, chunk, made), checked and gated."""
+    rows = asked.select("chunk_id", "source", "chunk", "made.tokens_used", F.posexplode(json_array(F.col("made.answer"), PAIR)).alias("k", "pair")).select("chunk_id", "source", "chunk", "tokens_used", "k", "pair.question", "pair.answer")
     rows = usable_pairs(rows).withColumn("id", F.format_string("cand_%s_%02d", F.col("chunk_id").cast("string"), F.col("k")))
     g, u = grounding(F.col("answer"), F.col("chunk")), utility(F.col("question"), F.col("answer"))
     rows = rows.withColumn("grounding", g).withColumn("utility_score", u).withColumn("reject_reasons", utility_reasons(F.col("question"), F.col("answer")))
     # The bound is tested on the exact share; what is stored has three digits.
     rows = rows.withColumn("answer_in_chunk", F.col("grounding") >= 0.60).withColumn("gate", kb_gate(F.col("answer_in_chunk"), F.col("grounding"), F.col("utility_score")))
-    return rows.select("id", F.col("chunk_id").alias("source_chunk_id"), "source", "question", "answer", "answer_in_chunk", F.round("grounding", 3).alias("grounding_score"), "utility_score", "reject_reasons", "gate")
+    return rows.select("id", F.col("chunk_id").alias("source_chunk_id"), "source", "question", "answer", "answer_in_chunk", F.round("grounding", 3).alias("grounding_score"), "utility_score", "reject_reasons", "gate", "tokens_used")
 
 
 def render(report: DataFrame, title: str = "Evaluation") -> str:

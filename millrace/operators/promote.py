@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scores import edit_distance
 from millrace.functions.text import word_count
 from millrace.operators.dedup import greedy
+from millrace.storage import table_cut
 
 # The gates.
 CONFIDENCE_LEAST, WORDS_LEAST, DISTANCE_MOST = 0.60, 50, 0.30
@@ -19,7 +19,7 @@ def first_gates(confidence: Column, answer: Column) -> Column:
 
 
 def near_questions(left: DataFrame, right: DataFrame, most: float = DISTANCE_MOST) -> DataFrame:
-    """``a, b`` of texts (id, q) whose edit distance is at most ``most`` of the longer one, a of ``left`` and b of ``right``.
+    """``a, b`` of texts (id, q) whose edit distance is at most ``most`` of the longer one, a of ``left`` and b of ``right``; an empty b meets the least empty a only.
 
     By pieces: within k edits, one of k + 1 even pieces of the shorter text stands unchanged in the longer one, shifted by at
     most k. Texts meet on length and the piece's place and content; only such pairs are measured.
@@ -30,14 +30,19 @@ def near_questions(left: DataFrame, right: DataFrame, most: float = DISTANCE_MOS
     k = F.floor(F.col("n") * (most / (1 - most))).cast("int")
     width = F.greatest(F.lit(1), F.floor(F.col("n") / (k + 1)).cast("int"))
     short = lambda c, n: F.transform(F.sequence(F.lit(0), F.least(k, F.greatest(F.lit(0), F.floor(n / width).cast("int") - 1))), lambda i: F.struct(width.alias("w"), c.substr(i * width + 1, width).alias("g")))
-    pieces = r.where("n > 0").select("b", "y", "n", F.explode(short(F.col("y"), F.col("n"))).alias("p")).select("b", "y", "n", "p.w", "p.g")
+    pieces = r.where("n > 0").select("b", "n", F.explode(short(F.col("y"), F.col("n"))).alias("p")).select("b", "n", "p.w", "p.g").distinct()
     widths = pieces.select(F.col("w").alias("gw")).distinct()
-    grams = l.where("m > 0").join(F.broadcast(widths), F.col("m") >= F.col("gw")).select("a", "x", "m", "gw", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("gw") + 1), lambda i: F.col("x").substr(i, F.col("gw"))))).alias("gg"))
+    grams = l.where("m > 0").join(F.broadcast(widths), F.col("m") >= F.col("gw")).select("a", "m", "gw", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("gw") + 1), lambda i: F.col("x").substr(i, F.col("gw"))))).alias("gg"))
     ok = (F.col("w") == F.col("gw")) & (F.col("g") == F.col("gg")) & (F.abs(F.col("m") - F.col("n")) <= most * F.greatest("m", "n"))
-    met = pieces.join(grams, ok).select("a", "x", "b", "y").distinct()
-    found = met.where(edit_distance(F.col("x"), F.col("y")) <= most).select("a", "b")
-    empty = l.where("m = 0").join(r.where("n = 0")).select("a", "b")
-    return found.unionByName(empty)
+    # Ids meet first; texts join the pairs that are left, and their distance is given up beyond what is allowed.
+    met = table_cut(pieces.join(grams, ok).select("a", "b").distinct(), "met")
+    one, two = l.select(F.col("a").alias("l_id"), "x", "m").distinct(), r.select(F.col("b").alias("r_id"), "y", "n").distinct()
+    pairs = met.join(one, F.col("a") == F.col("l_id")).join(two, F.col("b") == F.col("r_id"))
+    allowed = F.floor(most * F.greatest("m", "n") + 1e-9).cast("int")
+    found = pairs.where(F.expr("levenshtein(x, y)") <= allowed).select("a", "b").distinct()
+    # Empty texts are all alike: the first of the left side stands for them, one row.
+    first = F.broadcast(l.where("m = 0").agg(F.min("a").alias("a")).where("a is not null"))
+    return found.unionByName(r.where("n = 0").crossJoin(first).select("a", "b"))
 
 
 def promote(candidates: DataFrame, keys: DataFrame, most: float = DISTANCE_MOST) -> DataFrame:
@@ -50,8 +55,10 @@ def promote(candidates: DataFrame, keys: DataFrame, most: float = DISTANCE_MOST)
     skipped = ~F.coalesce("answer_in_chunk", F.lit(True))
     rows = candidates.withColumn("gate", F.when(skipped, "skipped").otherwise(first_gates(F.col("confidence"), F.col("answer"))))
     passing = rows.where("gate is null").select(F.col("ordinal").cast("long").alias("id"), F.col("question").alias("q"))
-    live = keys.select(F.lit(-1).cast("long").alias("id"), F.col("question").alias("q"))
+    passing = table_cut(passing, "passing")
+    live = keys.select(F.xxhash64("question").alias("id"), F.col("question").alias("q")).distinct()
     blocked = near_questions(live, passing, most).select(F.col("b").alias("id")).distinct()
+    blocked = table_cut(blocked, "blocked")
     free = passing.join(blocked, "id", "left_anti")
     pairs = near_questions(free, free, most)
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -6,6 +6,9 @@ and, like all of this, never fails a task: failures become part of the result.
 
 from __future__ import annotations
 
+import json
+import re
+import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
@@ -23,6 +26,10 @@ class RateLimited(Exception):
     """Not worth a retry now."""
 
 
+class QuotaExhausted(RateLimited):
+    """Not worth any further call."""
+
+
 @dataclass(frozen=True)
 class Backend:
     name: str
@@ -63,11 +70,59 @@ def run_chain(backends: Sequence[Backend], prompt: str, sleep: Callable[[float],
         try:
             answer, retries = with_retries(b.generate, prompt, sleep=sleep)
             return {"backend": b.name, "answer": answer, "tokens_used": len(answer.split()), "retry_count": retries, "failures": failures}
-        except Exception as e:  # any failure leads to the next backend
+        except QuotaExhausted:
+            raise
+        except Exception as e:  # any other failure leads to the next backend
             failures.append(f"{b.name}: {type(e).__name__}: {e}")
     return {"backend": None, "answer": None, "tokens_used": 0, "retry_count": 0, "failures": failures}
 
 
+def with_timeout(generate: Generator, seconds: float) -> Generator:
+    """``generate`` that raises TimeoutError after ``seconds``, as a local model may take too long; the late call is left to end by itself."""
+
+    def run(prompt: str) -> str:
+        out: list = []
+
+        def call() -> None:
+            try:
+                out.append((True, generate(prompt)))
+            except Exception as e:  # handed to the caller below
+                out.append((False, e))
+
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not out:
+            raise TimeoutError(f"no answer in {seconds} s")
+        ok, value = out[0]
+        if not ok:
+            raise value
+        return value
+
+    return run
+
+
+def array_in(answer: str | None) -> list | None:
+    """The JSON array in a model's answer, from the first bracket to the last; None if there is none to read."""
+    found = re.search(r"\[.*\]", answer or "", re.S)
+    try:
+        value = json.loads(found[0]) if found else None
+    except ValueError:
+        return None
+    return value if isinstance(value, list) else None
+
+
+def until_readable(backends: Sequence[Backend], prompt: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The first result whose answer holds a JSON array, an empty one too; tokens of all attempts are counted. None readable: a null answer."""
+    tokens = 0
+    for _ in range(attempts):
+        got = run_chain(backends, prompt, sleep)
+        tokens += got["tokens_used"]
+        if got["answer"] is None or array_in(got["answer"]) is not None:
+            return got | {"tokens_used": tokens}
+    return got | {"tokens_used": tokens, "answer": None, "failures": [*got["failures"], "unreadable"]}
+
+
 class SlidingLimit:
     """At most ``calls`` in any ``seconds``; for one partition's loop."""
 
@@ -85,18 +140,54 @@ class SlidingLimit:
         self.log.append(now)
 
 
-def generate(prompt: Column, backends: Sequence[Backend], calls_a_minute: int | None = None) -> Column:
-    """A struct RESULT for each prompt, by batches; not deterministic, so no filter moves below it and it isn't run twice."""
+def generate(prompt: Column, backends: Sequence[Backend], calls_a_minute: int | None = None, readable: bool = False, tasks: int = 1) -> Column:
+    """A struct RESULT for each prompt, by batches; not deterministic, so no filter moves below it and it isn't run twice.
+
+    ``calls_a_minute`` is the whole job's: each of the ``tasks`` that run at once has its share. ``readable``: answers must hold a JSON array,
+    or the backend is asked again. When a quota is exhausted, a task asks nothing more: the rest has the failure "quota" and stays to be done.
+    """
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        limit = SlidingLimit(calls_a_minute) if calls_a_minute else None
+        limit = SlidingLimit(max(1, calls_a_minute // tasks)) if calls_a_minute else None
+        spent = {"backend": None, "answer": None, "tokens_used": 0, "retry_count": 0, "failures": ["quota"]}
+        over = False
         for prompts in batches:
             rows = []
             for p in prompts:
-                if limit:
+                if limit and not over:
                     limit.wait()
-                rows.append(run_chain(backends, p or ""))
+                try:
+                    rows.append(spent if over else (until_readable if readable else run_chain)(backends, p or ""))
+                except QuotaExhausted:
+                    over = True
+                    rows.append(spent)
             yield pd.DataFrame(rows, columns=["backend", "answer", "tokens_used", "retry_count", "failures"])
 
     return run.asNondeterministic()(prompt)
+
+
+def encoder(encode: Callable[[list[str]], Sequence[Sequence[float]]], prefix: str = "") -> Callable[[Column], Column]:
+    """A column of vectors from a model that takes texts in batches; queries of some models need a prefix."""
+
+    def apply(text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([list(map(float, v)) for v in encode([prefix + (t or "") for t in texts])], dtype=object)
+
+        return run(text)
+
+    return apply
+
+
+def pair_scorer(score: Callable[[list[str], list[str]], Sequence[float]]) -> Callable[[Column, Column], Column]:
+    """A column of scores from a model that takes pairs of query and passage in batches, for reranking."""
+
+    def apply(query: Column, passage: Column) -> Column:
+        @F.pandas_udf("double")
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(score([x or "" for x in a], [x or "" for x in b]), dtype=float)
+
+        return run(query, passage)
+
+    return apply

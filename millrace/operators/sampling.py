@@ -15,9 +15,26 @@ def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def nested_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows; those of a smaller n are among them."""
-    return rows.orderBy(hash_order(key, seed), key).limit(n)
+#: Rows up to which a sample is taken as one ordered list; larger ones are cut by the first digits of the hash.
+ONE_LIST = 100_000
+DIGITS = 4
+
+
+def nested_sample(rows: DataFrame, key: str, n: int, seed: int = 42, one_list: int = ONE_LIST) -> DataFrame:
+    """n rows; those of a smaller n are among them.
+
+    Of a large sample, whole ranges of the hash are taken by a filter, up to the range in which the n-th row is; only in that one are rows put in order.
+    """
+    order = hash_order(key, seed)
+    if n <= one_list:
+        return rows.orderBy(order, key).limit(n)
+    head = F.substring(order, 1, DIGITS)
+    taken = 0
+    for r in sorted(rows.groupBy(head.alias("head")).agg(F.count("*").alias("n")).collect(), key=lambda r: (r["head"] is not None, r["head"])):  # at most 16 ** DIGITS rows
+        if taken + r["n"] > n:
+            return rows.where(head < r["head"]).unionByName(rows.where(head == r["head"]).orderBy(order, key).limit(n - taken))
+        taken += r["n"]
+    return rows
 
 
 def fraction_sample(rows: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:

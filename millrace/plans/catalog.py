@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.config import RetrievalSettings
+from millrace.config import RetrievalSettings, Settings
 from millrace.functions import scores, text
-from millrace.functions.udfs import rouge_l_udf, token_match_f1_udf
-from millrace.operators import cache, cascade, chunking, dedup, metrics, promote, prompts, retrieval, sampling, text_quality, validate
+from millrace.functions.udfs import hashed_terms, rouge_l_udf, token_match_f1_udf
+from millrace.operators import cache, cascade, chunking, dedup, evaluate, metrics, promote, prompts, retrieval, sampling, text_quality, tiers, validate
+from millrace.operators.providers import Backend, RateLimited
+from millrace.sources import readers, sinks
+from millrace.storage import scratch_path, table_cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,11 +65,15 @@ def _sigmoid(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END)"
 
 
+# DuckDB's distance counts bytes: letters beyond ASCII are put into one byte each first, which leaves the distance of characters.
+_ONE_BYTE = lambda x: f"translate(lower({x}), 'ßàáâäçèéêëíîïñóôöùúûü', '{''.join(map(chr, [*range(1, 9), *range(14, 27)]))}')"
+
+
 # Roles of the test tables
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +104,28 @@ _PAIRS = """(SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer, k.c
 
 
 def _cache_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """First lines: every fifth document's is a cache key, the others' are queries."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.split("text", "\n")[0].alias("line"))
-    keys = d.where("doc_id % 5 = 0").select(F.col("line").alias("question"), F.concat(F.lit("doc "), F.col("doc_id")).alias("answer"), "source", F.col("doc_id").alias("ordinal"))
+    """Whole texts: every fifth document's is a cache key, the others' are queries."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    keys = d.where("doc_id % 5 = 0").select(F.col("text").alias("question"), F.concat(F.lit("doc "), F.col("doc_id")).alias("answer"), "source", F.col("doc_id").alias("ordinal"))
     latest = cache.upsert(keys.limit(0), keys)
-    return d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("query_id"), F.col("line").alias("query"), "lang"), latest
+    return d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "lang"), latest
+
+
+_CACHE = "(SELECT text AS question, arg_max('doc ' || doc_id, doc_id) AS answer, arg_max(source, doc_id) AS source, max(doc_id) AS ordinal FROM documents WHERE doc_id % 5 = 0 GROUP BY 1)"
+_ASKED_TEXTS = "(SELECT doc_id AS query_id, text AS query, lang FROM documents WHERE doc_id % 5 <> 0)"
 
 
-_CACHE = "(SELECT split_part(text, chr(10), 1) AS question, arg_max('doc ' || doc_id, doc_id) AS answer, arg_max(source, doc_id) AS source, max(doc_id) AS ordinal FROM documents WHERE doc_id % 5 = 0 GROUP BY 1)"
-_ASKED_LINES = "(SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query, lang FROM documents WHERE doc_id % 5 <> 0)"
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and cache keys: users' turns of even conversations are keys; all users' turns are asked, by conversation as they are, in lower case with a mark, or with their words in reverse."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    said = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("conv_id") % 3 == 1, F.concat(F.lower("text"), F.lit(" !"))).otherwise(F.array_join(F.reverse(text.words(F.col("text"))), " "))
+    keys = c.where("conv_id % 2 = 0").select(F.col("text").alias("question"), F.concat(F.lit("turn "), F.col("query_id")).alias("answer"), F.concat(F.lit("conv "), F.col("conv_id")).alias("source"), F.col("query_id").alias("ordinal"))
+    return c.select("query_id", said.alias("query")), cache.upsert(keys.limit(0), keys)
+
+
+_TURNS = f"""(SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN lower(text) || ' !' ELSE array_to_string(list_reverse({_words('text')}), ' ') END AS query FROM conversations WHERE role = 'user')"""
+_TURN_KEYS = """(SELECT text AS question, arg_max('turn ' || (conv_id * 1000 + turn), conv_id * 1000 + turn) AS answer, arg_max('conv ' || conv_id, conv_id * 1000 + turn) AS source, max(conv_id * 1000 + turn) AS ordinal
+  FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY 1)"""
 
 
 # Text
@@ -184,7 +204,7 @@ tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS w F
 
 def _bm25_sql(p: str, column: str, k: int) -> str:
     parts = f"{p}t AS (SELECT doc_id, {_tokens(column)} AS toks FROM documents), " + _BM25_PARTS.replace("{p}", p).replace("dl AS (SELECT doc_id", f"{p}dl AS (SELECT doc_id").replace(", st AS", f", {p}st AS").replace("\ntf AS", f"\n{p}tf AS").replace(", df AS (", f", {p}df AS (")
-    return f"""{parts}, {p}q AS (SELECT item_id AS query_id, unnest({_tokens("text[1:80]")}) AS w FROM benchmark),
+    return f"""{parts}, {p}q AS (SELECT item_id AS query_id, unnest({_tokens("text")}) AS w FROM benchmark),
 {p}s AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM {p}q JOIN {p}df USING (w) JOIN {p}tf USING (w) JOIN {p}dl USING (doc_id), {p}st GROUP BY ALL),
 {p}hits AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM {p}s WHERE score > 0) WHERE rank < {k})"""
@@ -201,45 +221,65 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT w AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS w FROM documents) GROUP BY w")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings, _, _ = retrieval.bm25_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.bm25_index(table(spark, sf_dir, "documents")).postings().groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 _DOT = "list_sum(list_transform(range(1, {n}), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))"
 
 
-def _dense_sql(name: str, dims: int, k: int, extra: str = "") -> str:
-    return f"""{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_DOT.replace('{n}', str(dims + 1))} AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.replace('{n}', str(dims + 1))}, 9) DESC, v.vec_id) - 1 AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND q.vec_id <> v.vec_id {extra}) WHERE rank < {k})"""
+_DENSE_SQL = f"""SELECT query_id, doc_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_DOT.replace('{n}', '65')} AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.replace('{n}', '65')}, 9) DESC, v.vec_id) - 1 AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) WHERE rank < 20"""
+
 
+@query(f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({_DENSE_SQL})")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return _rounded(retrieval.dense(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), v, 20, exclude_self=True))
 
-def _dense(spark: SparkSession, sf_dir: str, dims: int = 64, k: int = 20) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, dims).alias("v"))
-    q = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return retrieval.dense(q, v, k, exclude_self=True)
 
+def _encode(c: Column) -> Column:
+    return hashed_terms(text.tokenize(c))
 
-@query(f"WITH {_dense_sql('hits', 64, 20)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits")
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_dense(spark, sf_dir))
+
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, retrieval.Index, DataFrame]:
+    """The benchmark's whole texts as queries, the documents, their sparse index, and their vectors by hashed terms."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = table_cut(docs.select("doc_id", _encode(F.col("text")).alias("v")), "vectors")
+    return _asked(spark, sf_dir), docs, retrieval.bm25_index(docs), vectors
+
+
+def _vectors_sql(name: str, key: str, source: str, column: str = "text") -> str:
+    """Normalised sums of signed terms by dimension."""
+    return f"""{name} AS (SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (SELECT id, ('0x' || md5(w)[1:2])::INT % 64 AS dim, sum(CASE WHEN ('0x' || md5(w)[3:3])::INT >= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+  FROM (SELECT {key} AS id, unnest({_tokens(column)}) AS w FROM {source}) GROUP BY ALL))"""
+
+
+def _near_sql(name: str, source: str, key: str, column: str, k: int = 20) -> str:
+    return f"""{_vectors_sql(f'{name}_d', 'doc_id', 'documents')}, {_vectors_sql(f'{name}_q', key, source, column)},
+{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM
+  (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS score FROM {name}_q q JOIN {name}_d d USING (dim) GROUP BY ALL)) WHERE rank < {k})"""
 
 
 _FUSED = """fused AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, doc_id) - 1 AS rank FROM
   (SELECT query_id, doc_id, sum(1.0 / (60 + rank + 1)) AS score, min({'l': l, 'r': rank}) AS seen FROM (SELECT *, 0 AS l FROM one UNION ALL SELECT *, 1 FROM two) GROUP BY ALL))"""
+_BOTH = f"{_bm25_sql('', 'text', 20)}, one AS (SELECT * FROM hits), {_near_sql('two', 'benchmark', 'item_id', 'text')}, {_FUSED}"
 
 
-@query(f"WITH {_dense_sql('one', 64, 20)}, {_dense_sql('two', 32, 20)}, {_FUSED} SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fused WHERE rank < 10")
+@query(f"WITH {_BOTH} SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fused WHERE rank < 10")
 def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.fuse([_dense(spark, sf_dir), _dense(spark, sf_dir, 32)], 60, 10)
+    asked, _, index, vectors = _searches(spark, sf_dir)
+    near = retrieval.dense(asked.select("query_id", _encode(F.col("query")).alias("q")), vectors, 20)
+    hits = retrieval.fuse([retrieval.bm25_search(index, asked, 20), near], 60, 10)
     return hits.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _LEXICAL = f"(CASE WHEN len(list_distinct({_tokens('query')})) > 0 THEN 4.0 * len(list_intersect(list_distinct({_tokens('query')}), {_tokens('text')})) / len(list_distinct({_tokens('query')})) - 2.0 ELSE -2.0 END)"
 
 
-def _rerank_sql(name: str, hits: str, k: int) -> str:
+def _rerank_sql(name: str, hits: str, k: int, asked: str = "(SELECT item_id AS query_id, text AS query FROM benchmark)") -> str:
     return f"""{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM
-  (SELECT h.query_id, h.doc_id, {_LEXICAL} AS score FROM {hits} h JOIN documents USING (doc_id) JOIN (SELECT item_id AS query_id, text[1:80] AS query FROM benchmark) USING (query_id))) WHERE rank < {k})"""
+  (SELECT h.query_id, h.doc_id, {_LEXICAL} AS score FROM {hits} h JOIN documents USING (doc_id) JOIN {asked} USING (query_id))) WHERE rank < {k})"""
 
 
 @query(f"WITH {_bm25_sql('', 'text', 20)}, {_rerank_sql('reranked', 'hits', 10)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM reranked")
@@ -248,18 +288,25 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.rerank(retrieval.bm25(asked, docs, 20), asked, docs, 10))
 
 
-_HYBRID = f"WITH {_bm25_sql('x_', 'text', 20)}, {_bm25_sql('y_', 'text[1:400]', 20)}, one AS (SELECT * FROM x_hits), two AS (SELECT * FROM y_hits), {_FUSED}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 5)}"
+@query(f"WITH {_bm25_sql('', 'text', 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits")
+def bm25_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written once, loaded, and searched."""
+    path = scratch_path(spark, "saved-index")
+    retrieval.bm25_index(table(spark, sf_dir, "documents"), path=path)
+    return _rounded(retrieval.bm25_search(retrieval.load_index(spark, path), _asked(spark, sf_dir), 5))
+
+
+_HYBRID = f"WITH {_BOTH}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 5)}"
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked, s = table(spark, sf_dir, "documents"), _asked(spark, sf_dir), RetrievalSettings()
-    second = retrieval.bm25(asked, docs, s.dense_top_k, text=F.substring("text", 1, 400))
-    return retrieval.hybrid(asked, docs, second, s)
+    asked, docs, index, vectors = _searches(spark, sf_dir)
+    return retrieval.hybrid(asked, index, vectors, docs, _encode, RetrievalSettings())
 
 
 @query(f"{_HYBRID} SELECT query_id, doc_id AS best_doc_id, round(score, 6) AS logit, round({_sigmoid('score')}, 6) AS confidence, score >= 0.2 AS passed FROM reranked WHERE rank = 0")
 def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: two sparse lists fused, reranked and gated for a batch of queries."""
+    """Flagship: sparse and dense hits fused, reranked and gated for a batch of queries."""
     g = retrieval.gate(_hybrid(spark, sf_dir), RetrievalSettings().min_rerank_score)
     return g.select("query_id", "best_doc_id", F.round("logit", 6).alias("logit"), F.round("confidence", 6).alias("confidence"), "passed")
 
@@ -271,18 +318,23 @@ def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_dense_sql('one', 64, 10)}, {_dense_sql('two', 32, 10)}, {_FUSED}, every AS (SELECT 'dense' AS config, query_id, doc_id, rank FROM one UNION ALL SELECT 'half', query_id, doc_id, rank FROM two
-  UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM fused WHERE rank < 10),
-rel AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 20), cnt AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+    f"""WITH {_BOTH}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 10)}, every AS (SELECT 'bm25' AS config, query_id, doc_id, rank FROM one UNION ALL SELECT 'dense', query_id, doc_id, rank FROM two
+  UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM top UNION ALL SELECT 'rrf+rerank', query_id, doc_id, rank FROM reranked),
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), cnt AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
 per AS (SELECT config, e.query_id, count(*) FILTER (r.doc_id IS NOT NULL AND rank < 1) AS h1, count(*) FILTER (r.doc_id IS NOT NULL AND rank < 5) AS h5, min(CASE WHEN r.doc_id IS NOT NULL THEN rank END) AS f
   FROM every e LEFT JOIN rel r ON e.query_id = r.query_id AND e.doc_id = r.doc_id GROUP BY ALL)
 SELECT config, round(avg(coalesce(h1 / n, 0)), 6) AS recall_1, round(avg(coalesce(h5 / n, 0)), 6) AS recall_5, round(avg(coalesce(1 / (f + 1), 0)), 6) AS mrr, count(*) AS n_queries FROM per LEFT JOIN cnt USING (query_id) GROUP BY config"""
 )
 def recall_mrr_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = _dense(spark, sf_dir, k=10), _dense(spark, sf_dir, 32, 10)
-    e = table(spark, sf_dir, "embeddings")
-    relevant = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("d_label")), F.col("label") == F.col("d_label")).where("query_id <> doc_id")
-    out = retrieval.ablation({"dense": one, "half": two, "rrf": retrieval.fuse([one, two], 60, 10)}, relevant.select("query_id", "doc_id"))
+    """Sparse, dense, fused and reranked hits; a document is relevant if it holds the whole query."""
+    asked, docs, index, vectors = _searches(spark, sf_dir)
+    sparse = table_cut(retrieval.bm25_search(index, asked, 20), "sparse")
+    near = table_cut(retrieval.dense(asked.select("query_id", _encode(F.col("query")).alias("q")), vectors, 20), "dense")
+    fused = table_cut(retrieval.fuse([sparse, near], 60, 10), "fused")
+    configs = {"bm25": sparse, "dense": near, "rrf": fused, "rrf+rerank": table_cut(retrieval.rerank(fused, asked, docs, 10), "reranked")}
+    # The benchmark is the stated set of queries, against all documents.
+    relevant = docs.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    out = retrieval.ablation(configs, relevant)
     return out.select("config", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr")], "n_queries")
 
 
@@ -295,7 +347,7 @@ def sigmoid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cache and cascade
 
 
-@query(f"SELECT query_id, question AS matched_key, answer, c.source FROM {_ASKED_LINES} q JOIN {_CACHE} c ON {_strip('query')} = question")
+@query(f"SELECT query_id, question AS matched_key, answer, c.source FROM {_ASKED_TEXTS} q JOIN {_CACHE} c ON {_strip('query')} = question")
 def cache_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, keys = _cache_roles(spark, sf_dir)
     return cache.exact_lookup(asked, keys)
@@ -304,41 +356,89 @@ def cache_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORM_INDEX = f"(SELECT {_norm('question')} AS norm, arg_max(question, ordinal) AS question, arg_max(answer, ordinal) AS answer, arg_max(source, ordinal) AS source FROM {_CACHE} GROUP BY 1)"
 
 
-@query(f"SELECT query_id, question AS matched_key, answer, n.source FROM {_ASKED_LINES} q JOIN {_NORM_INDEX} n ON {_norm('query')} = norm")
+@query(f"SELECT query_id, question AS matched_key, answer, n.source FROM {_ASKED_TEXTS} q JOIN {_NORM_INDEX} n ON {_norm('query')} = norm")
 def cache_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, keys = _cache_roles(spark, sf_dir)
     return cache.normalized_lookup(asked, keys)
 
 
-@query()
+_TURN_INDEX = f"(SELECT {_norm('question')} AS norm, arg_max(question, ordinal) AS question, arg_max(answer, ordinal) AS answer, arg_max(source, ordinal) AS source FROM {_TURN_KEYS} GROUP BY 1)"
+# One token set within the other is a full score; no two turns of the tables come near the threshold otherwise.
+_LOOKED_UP = f"""asked AS (SELECT * FROM {_TURNS}), idx AS (SELECT *, list_distinct({_words('norm')}) AS kt FROM {_TURN_INDEX}), qn AS (SELECT query_id, list_distinct({_words(_norm('query'))}) AS qt FROM asked),
+fz AS (SELECT query_id, arg_min({{'question': question, 'answer': answer, 'source': i.source}}, question) AS k FROM qn JOIN idx i ON len(qt) > 0 AND len(kt) > 0 AND len(list_intersect(qt, kt)) = least(len(qt), len(kt)) GROUP BY 1),
+looked AS (SELECT a.query_id, CASE WHEN e.answer IS NOT NULL THEN 'exact' WHEN n.answer IS NOT NULL THEN 'normalized' WHEN fz.k IS NOT NULL THEN 'fuzzy' END AS match_type, coalesce(e.question, n.question, fz.k.question) AS matched_key,
+  coalesce(e.answer, n.answer, fz.k.answer) AS answer, coalesce(e.source, n.source, fz.k.source) AS source, CASE WHEN e.answer IS NOT NULL THEN 1.0 WHEN n.answer IS NOT NULL THEN 0.95 WHEN fz.k IS NOT NULL THEN 0.95 ELSE 0 END::DOUBLE AS confidence
+  FROM asked a LEFT JOIN {_TURN_KEYS} e ON {_strip('query')} = e.question LEFT JOIN {_TURN_INDEX} n ON {_norm('query')} = n.norm LEFT JOIN fz ON a.query_id = fz.query_id)"""
+
+
+@query(f"WITH {_LOOKED_UP} SELECT * FROM looked")
 def cache_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's queries against the cache keys."""
-    _, keys = _cache_roles(spark, sf_dir)
-    return cache.lookup(_asked(spark, sf_dir), keys)
+    """All three steps of the lookup: users' turns, as they are, changed and reversed, against those of even conversations."""
+    return cache.lookup(*_turns(spark, sf_dir))
 
 
-@query(
-    f"""WITH q AS (SELECT * FROM {_ASKED_LINES}), c AS (SELECT query_id, coalesce(e.answer, n.answer) AS answer, CASE WHEN e.answer IS NOT NULL THEN 1.0 WHEN n.answer IS NOT NULL THEN 0.95 ELSE 0 END AS conf
-  FROM q LEFT JOIN {_CACHE} e ON {_strip('query')} = e.question LEFT JOIN {_NORM_INDEX} n ON {_norm('query')} = n.norm)
-SELECT query_id, CASE WHEN c.answer IS NOT NULL THEN c.answer WHEN query_id % 3 = 0 THEN 'found ' || query_id WHEN query_id % 7 <> 0 THEN 'made ' || length(query) ELSE 'No tier was able to answer this query.' END AS answer,
-  CASE WHEN c.answer IS NOT NULL THEN 'cache' WHEN query_id % 3 = 0 THEN 'retrieval' WHEN query_id % 7 <> 0 THEN 'generative' ELSE 'none' END AS answered_by,
-  CASE WHEN c.answer IS NOT NULL THEN conf WHEN query_id % 3 = 0 THEN 0.7 WHEN query_id % 7 <> 0 THEN 0.6 ELSE 0 END::DOUBLE AS confidence,
-  CASE WHEN c.answer IS NOT NULL THEN 'cache' WHEN query_id % 3 = 0 THEN 'cache>retrieval' ELSE 'cache>retrieval>generative' END AS trace
-FROM q JOIN c USING (query_id)"""
-)
-def cascade_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, keys = _cache_roles(spark, sf_dir)
+def _length_of(prompt: str) -> str:
+    """An offline backend that says how long its prompt is, and is busy for every fifth length."""
+    if len(prompt) % 5 == 0:
+        raise RateLimited("busy")
+    return f"answer to {len(prompt)} characters"
+
+
+def _second(prompt: str) -> str:
+    """Another, busy for every third length."""
+    if len(prompt) % 3 == 0:
+        raise RateLimited("busy")
+    return f"second answer to {len(prompt)}"
+
+
+_BACKENDS = (Backend("primary", _length_of), Backend("secondary", _second))
 
-    def found(pending: DataFrame) -> DataFrame:
-        hit = F.pmod("query_id", F.lit(3)) == 0
-        # Others get an answer of too little confidence, which leaves them to the next tier.
-        return pending.select("query_id", F.concat(F.lit("found "), F.col("query_id")).alias("answer"), F.when(hit, 0.7).otherwise(0.4).alias("confidence"))
 
-    def made(pending: DataFrame) -> DataFrame:
-        return pending.select("query_id", F.when(F.pmod("query_id", F.lit(7)) != 0, F.concat(F.lit("made "), F.length("query"))).alias("answer"), F.lit(0.6).alias("confidence"))
+def _tiers(spark: SparkSession, sf_dir: str, keys: DataFrame) -> list[cascade.Tier]:
+    _, docs, index, vectors = _searches(spark, sf_dir)
+    return tiers.build(Settings(), keys, tiers.searcher(index, vectors, docs, _encode), docs, _BACKENDS)
 
-    tiers = [cascade.Tier("cache", lambda p: cache.lookup(p, keys, fuzzy=False), 0.85), cascade.Tier("retrieval", found, 0.5), cascade.Tier("generative", made)]
-    return cascade.route(asked, tiers).select("query_id", "answer", "answered_by", "confidence", F.array_join("tier_trace", ">").alias("trace"))
+
+def _tiers_sql(asked: str, looked: str) -> str:
+    """Results of the tiers for ``asked`` (query_id, query), of which ``looked`` (query_id, answer, confidence) is the cache's part."""
+    said = lambda n: f"CASE WHEN {n} % 5 <> 0 THEN 'answer to ' || {n} || ' characters' WHEN {n} % 3 <> 0 THEN 'second answer to ' || {n} END"
+    by = lambda n: f"CASE WHEN {n} % 5 <> 0 THEN 'primary' WHEN {n} % 3 <> 0 THEN 'secondary' END"
+    line = "chr(10)"
+    return f"""pending AS (SELECT query_id, query FROM {asked} JOIN {looked} USING (query_id) WHERE answer IS NULL OR confidence < 0.85),
+{_bm25_sql('', 'text', 20).replace(f'SELECT item_id AS query_id, unnest({_tokens("text")}) AS w FROM benchmark', f'SELECT query_id, unnest({_tokens("query")}) AS w FROM pending')}, one AS (SELECT * FROM hits),
+{_near_sql('two', 'pending', 'query_id', 'query')}, {_FUSED}, top AS (SELECT * FROM fused WHERE rank < 10), {_rerank_sql('reranked', 'top', 5, 'pending')},
+shown AS (SELECT query_id, max(CASE WHEN rank = 0 THEN score END) AS logit, max(CASE WHEN rank = 0 THEN doc_id END) AS best_doc_id,
+  string_agg('[' || CASE WHEN coalesce(source, '') = '' THEN 'unknown spec' ELSE source END || ', chunk ' || doc_id || ']:' || {line} || text, {line} || {line} ORDER BY rank) AS body,
+  list(text[1:800] ORDER BY rank) FILTER (rank < 3 AND text <> '') AS parts FROM reranked JOIN documents USING (doc_id) GROUP BY 1),
+synth AS (SELECT query_id, query, parts, best_doc_id, logit, coalesce({_sigmoid('logit')}, 0) AS conf, CASE WHEN logit >= 0.2 THEN length(body || {line} || {line} || 'Question: ' || query) END AS n FROM pending LEFT JOIN shown USING (query_id)),
+two_said AS (SELECT *, {said('n')} AS said, {by('n')} AS by FROM synth),
+kept AS (SELECT query_id, parts, query, (SELECT count(*) FROM (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE list_sum(list_transform(parts[1:i], lambda x: length(x))) <= 2000) AS m FROM two_said WHERE said IS NULL OR conf < 0.5),
+ask AS (SELECT query_id, length(CASE WHEN coalesce(m, 0) = 0 THEN query ELSE 'Context:' || {line} || array_to_string(parts[1:m], {line} || {line} || '---' || {line}) || {line} || {line} || 'Question: ' || query END) AS n FROM kept),
+routed AS (SELECT a.query_id, CASE WHEN l.answer IS NOT NULL AND l.confidence >= 0.85 THEN l.answer WHEN k.query_id IS NULL THEN t.said ELSE coalesce({said('k.n')}, 'No backend was able to generate an answer.') END AS answer,
+  CASE WHEN l.answer IS NOT NULL AND l.confidence >= 0.85 THEN 'cache' WHEN k.query_id IS NULL THEN 'retrieval' ELSE 'generative' END AS answered_by,
+  round(CASE WHEN l.answer IS NOT NULL AND l.confidence >= 0.85 THEN l.confidence WHEN k.query_id IS NULL THEN t.conf WHEN {said('k.n')} IS NULL THEN 0 ELSE 0.6 END, 6)::DOUBLE AS confidence,
+  CASE WHEN l.answer IS NOT NULL AND l.confidence >= 0.85 THEN 'cache' WHEN k.query_id IS NULL THEN 'cache>retrieval' ELSE 'cache>retrieval>generative' END AS trace,
+  CASE WHEN l.answer IS NOT NULL AND l.confidence >= 0.85 THEN NULL WHEN k.query_id IS NULL THEN t.by ELSE {by('k.n')} END AS backend
+  FROM {asked} a JOIN {looked} l USING (query_id) LEFT JOIN two_said t USING (query_id) LEFT JOIN ask k USING (query_id))"""
+
+
+@query(f"WITH {_LOOKED_UP}, {_tiers_sql('asked', 'looked')} SELECT query_id, answer, answered_by, confidence, trace FROM routed")
+def cascade_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tiers over whole questions: cache, gated synthesis from hybrid search, generation from what was found."""
+    asked, keys = _turns(spark, sf_dir)
+    rows = cascade.route(asked, _tiers(spark, sf_dir, keys))
+    return rows.select("query_id", "answer", "answered_by", F.round("confidence", 6).alias("confidence"), F.array_join("tier_trace", ">").alias("trace"))
+
+
+@query(
+    f"""WITH items AS (SELECT item_id AS query_id, text AS query FROM benchmark), missed AS (SELECT query_id, NULL::VARCHAR AS answer, 0.0::DOUBLE AS confidence FROM items), {_tiers_sql('items', 'missed')}
+SELECT query_id::VARCHAR AS query_id, answered_by, 'retrieval' AS expected_tier, answered_by = 'retrieval' AS tier_match, confidence, backend FROM routed"""
+)
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's whole texts as eval items through all tiers, with a cache that knows none of them."""
+    items = _asked(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"), "query", F.col("query").alias("reference"), F.lit("retrieval").alias("expected_tier"))
+    out = evaluate.run(items, _tiers(spark, sf_dir, _turns(spark, sf_dir)[1].limit(0)))
+    return out.select("query_id", "answered_by", "expected_tier", "tier_match", F.round("confidence", 6).alias("confidence"), "backend")
 
 
 @query(f"SELECT count(*) AS n, (sum(len({_words('answer')})) // greatest(count(*), 1))::BIGINT AS words_mean, count(DISTINCT source) AS n_sources FROM {_CACHE}")
@@ -408,8 +508,6 @@ def log_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS spec, count(*) AS n, (row_number() OVER (ORDER BY count(*) DESC, source))::INTEGER AS place FROM documents GROUP BY source")
 def spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n = table(spark, sf_dir, "documents").groupBy(text.spec_of(F.col("source")).alias("spec")).agg(F.count("*").alias("n"))
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "spec")))
 
@@ -431,7 +529,12 @@ def minhash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.minhash_candidates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SHINGLES}, nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT a AS id FROM near UNION SELECT b FROM near)), before AS (SELECT n.i AS b, list(m.i) AS earlier FROM near JOIN nodes n ON b = n.id JOIN nodes m ON a = m.id GROUP BY 1),
+g AS (SELECT 1::BIGINT AS i, []::BIGINT[] AS k UNION ALL SELECT i + 1, CASE WHEN list_has_any(k, coalesce((SELECT earlier FROM before WHERE b = i), []::BIGINT[])) THEN k ELSE list_append(k, i) END FROM g WHERE i <= (SELECT count(*) FROM nodes)),
+stay AS (SELECT unnest(k) AS i FROM (SELECT k FROM g ORDER BY i DESC LIMIT 1))
+SELECT doc_id, NOT EXISTS (SELECT 1 FROM nodes WHERE id = doc_id AND i NOT IN (FROM stay)) AS kept FROM documents"""
+)
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "kept")
 
@@ -482,11 +585,34 @@ def kb_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.gate_report(rows)
 
 
-@query()
-def promote_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.substring("question", 1, 120).alias("question"), "answer", (F.pmod("conv_id", F.lit(10)) / 10).alias("confidence"), F.lit(None).cast("boolean").alias("answer_in_chunk"))
+_FIRST_GATES = f"CASE WHEN (conv_id % 10) / 10 < 0.60 THEN 'confidence' WHEN len({_words('answer')}) < 50 THEN 'length' END"
+_DISTANCE = f"(CASE WHEN greatest(length(l.question), length(r.question)) > 0 THEN levenshtein({_ONE_BYTE('l.question')}, {_ONE_BYTE('r.question')}) / greatest(length(l.question), length(r.question)) ELSE 0 END)"
+_PROMOTED = f"""rows_ AS (SELECT conv_id * 1000 + turn AS ordinal, question, {_FIRST_GATES} AS g FROM {_PAIRS}), live AS (SELECT question FROM rows_ WHERE ordinal % 11 = 0), cand AS (SELECT * FROM rows_ WHERE ordinal % 11 <> 0),
+passing AS (SELECT ordinal, question FROM cand WHERE g IS NULL), blocked AS (SELECT DISTINCT r.ordinal FROM passing r JOIN live l ON {_DISTANCE} <= 0.30),
+free AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS i FROM passing WHERE ordinal NOT IN (FROM blocked)), near AS (SELECT l.i AS a, r.i AS b FROM free l JOIN free r ON l.i < r.i AND {_DISTANCE} <= 0.30),
+kept_ AS (SELECT 1::BIGINT AS i, []::BIGINT[] AS k UNION ALL SELECT i + 1, CASE WHEN list_has_any(k, coalesce((SELECT list(a) FROM near WHERE b = i), []::BIGINT[])) THEN k ELSE list_append(k, i) END FROM kept_ WHERE i <= (SELECT count(*) FROM free)),
+stay AS (SELECT unnest(k) AS i FROM (SELECT k FROM kept_ ORDER BY i DESC LIMIT 1)), promoted AS (SELECT ordinal FROM free WHERE i IN (FROM stay)),
+gated AS (SELECT ordinal, coalesce(g, CASE WHEN ordinal NOT IN (FROM promoted) THEN 'duplicate' END) AS gate FROM cand)"""
+
+
+def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "question", "answer", (F.pmod("conv_id", F.lit(10)) / 10).alias("confidence"), F.lit(None).cast("boolean").alias("answer_in_chunk"))
     keys = rows.where("ordinal % 11 = 0").select("question")
-    return promote.promote(rows.where("ordinal % 11 <> 0"), keys).select("ordinal", "gate")
+    return promote.promote(rows.where("ordinal % 11 <> 0"), keys)
+
+
+@query(f"WITH RECURSIVE {_PROMOTED} SELECT ordinal, gate FROM gated")
+def promote_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole questions as candidates; those with an ordinal divisible by 11 are live keys."""
+    return _promoted(spark, sf_dir).select("ordinal", "gate")
+
+
+@query(
+    f"""WITH RECURSIVE {_PROMOTED} SELECT count(*) AS n_evaluated, count(*) FILTER (gate IS NULL) AS n_promoted, count(*) FILTER (gate = 'confidence') AS n_confidence,
+  count(*) FILTER (gate = 'length') AS n_length, count(*) FILTER (gate = 'duplicate') AS n_duplicate FROM gated"""
+)
+def promote_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promote.report(_promoted(spark, sf_dir))
 
 
 @query(
@@ -542,18 +668,17 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", found[0]["k"].alias("k"), found.isNotNull().alias("parsed"))
 
 
-@query("SELECT page_id, sha256(html[1:100]) AS sha256 FROM pages")
+@query("SELECT page_id, sha256(html) AS sha256 FROM pages")
 def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.substring("html", 1, 100).cast("binary"), 256).alias("sha256"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 
 @query(
-    r"""SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(a, b) / greatest(length(a), length(b)) ELSE 0 END, 6) AS distance FROM
-  (SELECT doc_id, regexp_replace(lower(text[1:60]), '[^ -~]', '', 'g') AS a, regexp_replace(lower(text[31:90]), '[^ -~]', '', 'g') AS b FROM documents)"""
+    f"""SELECT conv_id, turn, round(CASE WHEN greatest(length(question), length(answer)) > 0 THEN levenshtein({_ONE_BYTE('question')}, {_ONE_BYTE('answer')}) / greatest(length(question), length(answer)) ELSE 0 END, 6) AS distance FROM {_PAIRS}"""
 )
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda at: F.regexp_replace(F.lower(F.substring("text", at, 60)), "[^ -~]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(scores.edit_distance(plain(1), plain(31)), 6).alias("distance"))
+    """Whole questions against whole answers."""
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(scores.edit_distance(F.col("question"), F.col("answer")), 6).alias("distance"))
 
 
 @query(
@@ -564,3 +689,177 @@ SELECT conv_id, CASE WHEN k = 0 THEN 'q' ELSE 'Context:' || chr(10) || array_to_
 def context_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("snippets"))
     return rows.select("conv_id", prompts.context_prompt(F.lit("q"), F.col("snippets")).alias("prompt"))
+
+
+# Files: written to the shared folder and read back
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lines")
+    rows = table(spark, sf_dir, "conversations")
+    sinks.write_lines(rows, path)
+    sinks.write_lines(rows, path, dry_run=True)
+    return readers.strict_lines(spark, path, rows.schema)
+
+
+@query("SELECT (SELECT count(*) FROM events WHERE event_id % 7 <> 0) AS n_good, (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS n_bad, (SELECT count(*) FROM events WHERE event_id % 7 <> 0) AS n_kept, (SELECT sum(event_id)::BIGINT FROM events WHERE event_id % 7 <> 0) AS id_sum")
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which every seventh is cut off: the tolerant reader counts them, the dropping one leaves them out."""
+    path = scratch_path(spark, "damaged")
+    whole = F.to_json(F.struct("event_id", "event_type", "props"))
+    table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, F.expr("substring(to_json(struct(event_id, event_type, props)), 1, 9)")).otherwise(whole).alias("value")).write.text(path)
+    schema = "event_id long, event_type string, props string"
+    good, bad = readers.tolerant_lines(spark, path, schema)
+    kept = readers.dropping_lines(spark, path, schema).agg(F.count("*").alias("n_kept"), F.sum("event_id").alias("id_sum"))
+    return good.agg(F.count("*").alias("n_good")).crossJoin(bad.agg(F.count("*").alias("n_bad"))).crossJoin(kept)  # one row each
+
+
+@query("SELECT label::VARCHAR AS query_id, string_agg(vec_id, ',' ORDER BY vec_id) AS doc_ids FROM embeddings GROUP BY 1")
+def judgements_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "judgements")
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("query_id")).agg(F.transform(F.sort_array(F.collect_list("vec_id")), lambda x: x.cast("string")).alias("doc_ids"))
+    sinks.write_judgements(rows, path)
+    return readers.judgements(spark, path).select("query_id", F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@query(f"SELECT query_id, answered_by, round(confidence, 4) AS confidence, round(latency_ms, 1) AS latency_ms FROM {_LOG}")
+def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log appended in two parts."""
+    path = scratch_path(spark, "log")
+    rows = _log(spark, sf_dir).withColumn("query", F.col("query_id").cast("string")).withColumn("tiers_tried", F.array("answered_by"))
+    for k in range(2):
+        sinks.append_log(rows.where(F.col("query_id") % 2 == k), path)
+    back = readers.strict_lines(spark, path, "ts timestamp, query string, answered_by string, confidence double, latency_ms double, tiers_tried array<string>")
+    return back.select(F.col("query").cast("long").alias("query_id"), "answered_by", "confidence", "latency_ms")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), path)
+    return spark.read.option("header", True).schema("doc_id long, source string, n_chars long").csv(path)
+
+
+# Reports
+
+
+_SPECS = "(VALUES ('23.401'), ('24.301'), ('36.300'), ('36.331'), ('36.413')) c(spec_id)"
+
+
+@query(f"SELECT c.spec_id, coalesce(n::VARCHAR, '—') AS n_chunks FROM {_SPECS} LEFT JOIN (SELECT CASE doc_id % 5 WHEN 0 THEN '36.300' WHEN 1 THEN '36.331' WHEN 2 THEN '24.301' WHEN 3 THEN 'other' END AS spec_id, count(*) AS n FROM documents GROUP BY 1) x ON x.spec_id = c.spec_id")
+def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    spec = F.when(k == 0, "36.300").when(k == 1, "36.331").when(k == 2, "24.301").when(k == 3, "other")
+    return metrics.catalog_counts(readers.catalog(spark), table(spark, sf_dir, "documents").select(spec.alias("spec_id")))
+
+
+_RUNS = "(SELECT strftime(ts, '%Y-%m-%d') AS run, count(*) AS n, round(avg(value), 6) AS match_mean, round(median(value), 6) AS rouge_l_mean, round(min(value), 6) AS p50, round(max(value), 6) AS p95 FROM events GROUP BY 1)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    six = lambda c, name: F.round(c, 6).alias(name)
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run")).agg(F.count("*").alias("n"), six(F.avg("value"), "match_mean"), six(F.median("value"), "rouge_l_mean"), six(F.min("value"), "p50"), six(F.max("value"), "p95"))
+    return days.select("run", "n", "match_mean", F.struct("rouge_l_mean", "match_mean", "p50", "p95").alias("overall"))
+
+
+@query(f"SELECT run, n, rouge_l_mean, match_mean, p50, p95 FROM {_RUNS}")
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.history(_runs(spark, sf_dir))
+
+
+@query(f"SELECT run, match_mean FROM {_RUNS} ORDER BY match_mean DESC, run LIMIT 1")
+def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_run(_runs(spark, sf_dir)).select("run", "match_mean")
+
+
+@query(f"SELECT spec, count(*) AS n, round(100.0 * count(*) / greatest(1, sum(count(*)) OVER ()), 1) AS pct FROM (SELECT 'c' || conv_id % 4 AS spec, grounding_score FROM {_SCORED} WHERE grounding_score >= 0.3) GROUP BY 1")
+def kept_by_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).select(F.concat(F.lit("c"), F.col("conv_id") % 4).alias("spec"), F.when(F.col("grounding_score") < 0.3, "low").alias("gate"))
+    return validate.kept_by_spec(rows)
+
+
+@query("SELECT count(DISTINCT conv_id) AS n_chunks, count(*) AS n_pairs, count(DISTINCT CASE WHEN conv_id % 3 > 0 THEN conv_id % 3 END) + max((conv_id % 3 = 0)::INT) AS n_runs FROM conversations")
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_chunk_id"), F.when(F.col("conv_id") % 3 > 0, (F.col("conv_id") % 3).cast("string")).alias("run_started_at"))
+    return validate.run_counts(rows)
+
+
+@query(f"SELECT query_id, CASE answered_by WHEN 'retrieval' THEN 'synthesis' WHEN 'generative' THEN backend END AS backend, CASE WHEN query_id % 2 = 0 THEN answered_by = 'cache' ELSE answered_by = 'none' END AS tier_match, '[' || answered_by || '] confidence=' || printf('%.2f', confidence) AS line FROM {_LOG}")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = F.when(F.col("query_id") % 2 == 0, "cache").otherwise("none")
+    line = F.regexp_replace(text.summary_line(F.col("answered_by"), F.col("confidence"), F.col("latency_ms")), " latency=.*$", "")
+    return _log(spark, sf_dir).select("query_id", metrics.backend_of(F.col("answered_by"), F.lit("synthesis"), F.col("backend")).alias("backend"), metrics.tier_match(F.col("answered_by"), expected).alias("tier_match"), line.alias("line"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id LIMIT (SELECT (count(*) * 0.25)::BIGINT FROM documents)")
+def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fraction_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.25)
+
+
+# Judgements: labels say which documents are judged, and how
+
+
+@query(
+    """SELECT d.doc_id, coalesce(l.toxic, d.n) AS relevant, l.doc_id IS NULL AS open FROM (SELECT doc_id, (doc_id % 2)::INT AS n FROM documents WHERE doc_id % 3 <> 0 UNION SELECT doc_id, (doc_id % 2)::INT FROM labels) d LEFT JOIN (SELECT doc_id, max(toxic)::INT AS toxic FROM labels GROUP BY 1) l USING (doc_id)"""
+)
+def judgement_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First judgements of documents, those of the labels in their place, and which documents the labels leave open."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    first = docs.where("doc_id % 3 <> 0").select(F.lit("q").alias("query_id"), "doc_id", (F.col("doc_id") % 2).cast("int").alias("relevant"))
+    later = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("relevant")).select(F.lit("q").alias("query_id"), "doc_id", "relevant")
+    judged = evaluate.judge(first, later)
+    still = evaluate.to_judge(judged.select("query_id", "doc_id"), later).select(F.col("doc_id").alias("o_id"))
+    return judged.join(still, F.col("doc_id") == F.col("o_id"), "left").select("doc_id", "relevant", F.col("o_id").isNotNull().alias("open"))
+
+
+@query("SELECT 'known' AS kind, count(*) AS n FROM labels SEMI JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) USING (doc_id) UNION ALL SELECT 'stray', count(*) FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("query_id"))
+    known, stray = evaluate.label_overlap(items, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "query_id"))
+    return known.agg(F.lit("known").alias("kind"), F.count("*").alias("n")).unionByName(stray.agg(F.lit("stray").alias("kind"), F.count("*").alias("n")))
+
+
+@query(
+    f"""SELECT coalesce(f.query_id, c.query_id) AS query_id, coalesce(f.ids, c.ids) AS ids FROM (SELECT source AS query_id, max(doc_id)::VARCHAR AS ids FROM documents WHERE lang <> 'en' GROUP BY 1) c
+  FULL JOIN (SELECT source AS query_id, min(doc_id)::VARCHAR AS ids FROM documents WHERE doc_id % 50 < 9 GROUP BY 1) f ON f.query_id = c.query_id"""
+)
+def judgement_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    made = lambda rows, of: rows.groupBy(F.col("source").alias("query_id")).agg(F.array(of("doc_id").cast("string")).alias("doc_ids"))
+    merged = metrics.judged_union(made(d.where("lang <> 'en'"), F.max), made(d.where("doc_id % 50 < 9"), F.min))
+    return merged.select("query_id", F.array_join("doc_ids", ",").alias("ids"))
+
+
+# Prompts and headings
+
+
+@query(
+    """SELECT conv_id, string_agg('[' || CASE WHEN turn % 3 = 0 THEN 'unknown spec' ELSE 'spec ' || role END || ', chunk ' || turn || ']:' || chr(10) || text[1:200], chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Question: what' AS prompt,
+  string_agg(turn || '/' || CASE WHEN turn % 3 = 0 THEN '' ELSE 'spec ' || role END, ' ' ORDER BY turn) AS cited FROM conversations GROUP BY conv_id"""
+)
+def synthesis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.concat(F.lit("spec "), F.col("role"))).alias("source"), "text")
+    chunks = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "source", "text"))), lambda x: F.struct(x["source"].alias("source"), x["turn"].alias("doc_id"), x["text"].alias("answer"))).alias("chunks"))
+    asked = chunks.select("conv_id", prompts.synthesis_prompt(F.lit("what"), F.col("chunks"), 200).alias("prompt"))
+    hits = c.select(F.col("conv_id").alias("query_id"), F.concat_ws("-", "conv_id", "turn").alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("rank"))
+    cited = retrieval.citations(hits, c.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "source"))
+    shown = F.array_join(F.transform("citations", lambda x: F.concat(F.element_at(F.split(x["doc_id"], "-"), -1), F.lit("/"), x["source"])), " ")
+    return asked.join(cited.select(F.col("query_id").alias("c_id"), shown.alias("cited")), F.col("conv_id") == F.col("c_id")).drop("c_id")
+
+
+# Chunks made of the first words of documents with a numbered heading before them; a source is one text.
+_HEADED = r"(SELECT source AS doc, doc_id AS idx, ((doc_id * 7) % 5 + 1) || '.' || (doc_id % 3) || split_part(split_part(text, '.', 1), chr(10), 1) AS paragraph FROM documents)"
+
+
+@query(
+    rf"""WITH h AS (SELECT doc, idx, {_strip('paragraph')} AS t FROM {_HEADED}),
+c AS (SELECT doc, idx, CASE WHEN length(t) BETWEEN 4 AND 80 AND NOT contains(t[1:50], ':') AND regexp_matches(t, '^[0-9]+(\.[0-9]+)+[A-Z][^\n]*$') AND NOT regexp_matches(t, '[0-9]$') THEN regexp_extract(t, '^([0-9]+)', 1)::INT END AS clause FROM h),
+a AS (SELECT doc, arg_min(clause, idx) AS anchor FROM c WHERE clause IS NOT NULL GROUP BY 1)
+SELECT d.doc, coalesce((SELECT min(idx) FROM c WHERE c.doc = d.doc AND clause <> a.anchor), 0)::BIGINT AS start FROM (SELECT DISTINCT source AS doc FROM documents) d LEFT JOIN a USING (doc)"""
+)
+def heading_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.split(F.split("text", r"\.")[0], "\n")[0]
+    chunk = F.concat((F.col("doc_id") * 7 % 5 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string"), first)
+    out = text_quality.body_start(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("idx"), chunk.alias("chunk")))
+    return out.select("doc", F.col("start").cast("long").alias("start"))

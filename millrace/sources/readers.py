@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from millrace.functions.text import series_name
+from millrace.storage import table_cut
+
 CORRUPT = "_corrupt_record"
 
 
@@ -37,7 +40,8 @@ def tolerant_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     s = _schema(schema)
     if not exists(spark, path):
         return spark.createDataFrame([], s), spark.createDataFrame([], f"{CORRUPT} string")
-    rows = spark.read.schema(StructType([*s.fields]).add(CORRUPT, StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path).cache()
+    rows = spark.read.schema(StructType([*s.fields]).add(CORRUPT, StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    rows = table_cut(rows, "lines")  # what is bad is known only once all columns are read
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
@@ -138,11 +142,18 @@ def file_hashes(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.substring("content", 1, most), 256).alias("sha256"))
 
 
-#: The corpora of the catalog.
+#: The corpora of the catalog, with what each covers and its archive's file.
 CATALOG = (
-    ("36.300", "E-UTRAN overall description"), ("36.331", "RRC protocol"), ("36.413", "S1 application protocol"), ("23.401", "GPRS enhancements for E-UTRAN access"), ("24.301", "NAS protocol for EPS"),
+    ("36.300", "E-UTRA and E-UTRAN Overall Description (Stage 2)", "The system-level map of LTE — how eNodeB, MME, S-GW, and UE fit together, and which protocol layer handles what.", "36300-j20.zip"),
+    ("36.331", "E-UTRA Radio Resource Control (RRC) Protocol Specification", "UE-to-eNodeB signaling — connection setup, handover, measurement reporting, and re-establishment after radio link failure.", "36331-j30.zip"),
+    ("36.413", "E-UTRAN S1 Application Protocol (S1AP)", "eNodeB-to-MME signaling — UE context setup, handover requests, and paging over the S1 interface.", "36413-j20.zip"),
+    ("24.301", "Non-Access-Stratum (NAS) Protocol for EPS", "UE-to-core-network mobility and session management — attach, tracking area update, and the EMM/ESM cause codes seen in reject logs.", "24301-k00.zip"),
+    ("23.401", "GPRS Enhancements for E-UTRAN Access (EPS Architecture)", "The packet-core architecture underneath LTE — bearer and GTP tunnel management, mobility procedures at the system level.", "23401-k00.zip"),
 )
+ARCHIVE = "https://www.3gpp.org/ftp/Specs/archive"
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATALOG), "spec_id string, title string")
+    """``spec_id, title, covers, version_zip, archive_url`` of every corpus; the address follows from the id."""
+    rows = spark.createDataFrame(list(CATALOG), "spec_id string, title string, covers string, version_zip string")
+    return rows.withColumn("archive_url", F.concat_ws("/", F.lit(ARCHIVE), series_name(F.col("spec_id")), "spec_id", F.lit("")))

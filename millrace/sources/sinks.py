@@ -36,8 +36,19 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*cols).write.mode("append").json(path)
 
 
+#: Rows that a report or a file of judgements, one JSON object each, may hold.
+MOST_ENTRIES = 100_000
+
+
+def _bounded(rows: DataFrame, what: str) -> DataFrame:
+    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} {what} for one JSON object: write them as lines")
+    return rows
+
+
 def report_json(overall: DataFrame, distributions: dict[str, DataFrame], per_query: DataFrame) -> DataFrame:
-    """One row with a report as JSON text."""
+    """One row with a report as JSON text; of at most MOST_ENTRIES queries, more are an error."""
+    per_query = _bounded(per_query, "queries")
     whole = overall.select(F.struct(*overall.columns).alias("overall"))
     for name, d in distributions.items():
         whole = whole.crossJoin(d.agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(name)))
@@ -46,8 +57,8 @@ def report_json(overall: DataFrame, distributions: dict[str, DataFrame], per_que
 
 
 def write_judgements(rows: DataFrame, path: str) -> None:
-    """Judgements (query_id, doc_ids) as one object with sorted keys."""
-    entries = rows.agg(F.sort_array(F.collect_list(F.struct("query_id", "doc_ids"))).alias("e"))
+    """Judgements (query_id, doc_ids) as one object with sorted keys; at most MOST_ENTRIES."""
+    entries = _bounded(rows, "judgements").agg(F.sort_array(F.collect_list(F.struct("query_id", "doc_ids"))).alias("e"))
     entries.select(F.to_json(F.map_from_entries("e")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
