@@ -7,6 +7,7 @@ on a cluster that is an error, for executors would write to disks of their own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,7 +39,7 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/millrace/{app}"
-    if not (spark.sparkContext.master or "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master or ""):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
