@@ -7,64 +7,43 @@ re-read and never a recomputation from the start.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
+from millrace.storage import scratch_path, scratch_root, table_cut
+
+__all__ = ["documents", "fresh", "id_bitmap", "in_bitmap", "scramble", "scratch_path", "scratch_root", "ship", "table_cut", "tiles", "xxhash64_long"]
+
 #: Bits held by one row of Spark's bitmap aggregates.
 BITS_PER_BUCKET = 32768
 #: Size of a semi-join bitmap; 2**25 bits are 4 MB whatever the input size.
 BITMAP_BITS = 1 << 25
 #: Rows and bytes of an Arrow batch, at most: a task holds few texts at once whatever their length.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-_own: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return _own[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
-def table_cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here, in replicated storage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once for each application, and keep Arrow batches small."""
+    """Make this package importable on the executors, and keep the session's Arrow batches small from here on."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is not None and not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
-    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace_code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "millrace").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
+    storage.ship(spark)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +96,23 @@ def xxhash64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
     return h
 
 
+def tiles(batches: Iterator[pa.RecordBatch], tags: int) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in the first ``tags`` columns (numbers), each as one table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tag = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(tags)], axis=1)
+        cuts = [0, *(np.flatnonzero((tag[1:] != tag[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and any(held[0].column(c)[0].as_py() != int(tag[a, c]) for c in range(tags)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def scramble(c: Column) -> Column:
     """A bijection of longs by shifts and exclusive ors: random priorities that never collide."""
     c = c.bitwiseXOR(F.shiftleft(c, 13))

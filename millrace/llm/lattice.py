@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import ship, table_cut
+from millrace.llm.common import ship, table_cut, tiles
 from millrace.llm.components import components
 
 COSINE = 0.98
@@ -221,21 +221,8 @@ def _compare(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
 def _comparer(cosine: float) -> Callable:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell and tile; a tile is held whole, and its size is bounded."""
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tag = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((tag[1:] != tag[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and any(held[0].column(c)[0].as_py() != int(tag[a, c]) for c in range(3)):
-                    out = _compare(pa.Table.from_batches(held), cosine)
-                    held = []
-                    if out is not None:
-                        yield out
-                held.append(b.slice(a, z - a))
-        if held:
-            out = _compare(pa.Table.from_batches(held), cosine)
+        for tile in tiles(batches, 3):
+            out = _compare(tile, cosine)
             if out is not None:
                 yield out
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import id_bitmap, in_bitmap, scramble, ship, table_cut
+from millrace.llm.common import fresh, id_bitmap, in_bitmap, scramble, ship, table_cut
 from millrace.llm.components import components
 
 BINS = 252
@@ -42,6 +42,10 @@ _PROBES = 64
 _AT_ONCE = 1 << 20
 #: Rounds of further centres, centres of a bucket in each, and how many of them an id tries.
 ROUNDS, CENTRES, TRIES = 1, 2, 8
+#: Ids of a bucket that one task compares with as many others in the last comparison.
+TILE = 1024
+#: Rows beyond which a class of equal sets may be hot, and how many classes are at most.
+HOT_CLASS, MOST_HOT = 1000, 50_000
 
 
 #: Bits of the finer sketch of sets that share a bucket, one for each bin of a signature of as many
@@ -177,7 +181,7 @@ def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, fine: DataFrame | None = None, finely: Callable[[str, str], Column] | None = None, larger: DataFrame | None = None) -> DataFrame:
+def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], looks: DataFrame | None = None, near: Callable[[str, str], Column] | None = None, fine: DataFrame | None = None, finely: Callable[[str, str], Column] | None = None, larger: DataFrame | None = None, forest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Confirmed links (a, b) that connect what shares a bucket and is linked, from ``key, id, c_id`` (a table).
 
     First every id is compared with its buckets' centres, then, where components share a bucket, with
@@ -185,6 +189,8 @@ def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], loo
     then are compared with each other, so no component is cut in two.
     ``looks`` (k_id and columns) and ``near`` rule out pairs before they are confirmed; ``fine`` and ``finely`` do so in the last comparison.
     ``larger``: the rows of ``met`` whose bucket has more than two ids, if ``near`` rules nothing out: in a bucket of two all is compared at first.
+    ``forest`` compares tiles of buckets (``key, lo, hi, id, at``) by itself, in place of the rounds and the last comparison: links (a, b) that connect what each tile
+    links, as many as its ids at most.
     """
 
     def seen(rows: DataFrame, side: str, key: str, looks: DataFrame | None = looks) -> DataFrame:
@@ -205,7 +211,16 @@ def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], loo
         split = at.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
         return table_cut(at.join(split, F.col("key") == F.col("s_key"), "left_semi").distinct(), "split")
 
+    def dealt(at: DataFrame) -> DataFrame:
+        """The rows of buckets with a column ``chunk``, once for each tile (lo, hi): a large bucket is cut into chunks, and different tasks compare one with itself or two with each other."""
+        sizes = at.groupBy("key").agg(F.expr(f"cast((count(*) + {TILE - 1}) div {TILE} as int)").alias("tiles")).select(F.col("key").alias("t_key"), "tiles")
+        rows = at.join(sizes, F.col("key") == F.col("t_key")).withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        return rows.select(*at.columns, "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+
     at = unsettled()
+    if forest is not None:
+        return links if at.isEmpty() else table_cut(links.unionByName(forest(dealt(at))), "links")
     for r in range(ROUNDS):
         if at.isEmpty():
             return links
@@ -226,11 +241,12 @@ def link_by_stars(met: DataFrame, confirm: Callable[[DataFrame], DataFrame], loo
         at = unsettled()
     # A pair that shares several buckets is compared in the first of them only.
     shared = at.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("all")).select(F.col("id").alias("a_id"), "all")
-    at = table_cut(at.join(shared, F.col("id") == F.col("a_id")).select("key", "id", "at", "all"), "split")
-    x, y = (seen(at.select(*[F.col(c).alias(f"{side}_{c}") for c in at.columns]), side, f"{side}_id", fine) for side in "xy")
+    rows = table_cut(dealt(at.join(shared, F.col("id") == F.col("a_id")).select("key", "id", "at", "all")), "split")
+    x, y = (seen(rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]), side, f"{side}_id", fine) for side in "xy")
     last = (lambda x, y: F.lit(True)) if finely is None else finely
     here = F.col("x_key") == F.array_min(F.array_intersect("x_all", "y_all"))
-    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & last("x", "y") & here)
+    tile = (F.col("x_key") == F.col("y_key")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_hi") == F.col("y_hi")) & ((F.col("x_lo") == F.col("x_hi")) | (F.col("x_chunk") != F.col("y_chunk")))
+    rest = x.join(y, tile & (F.col("x_id") < F.col("y_id")) & (F.col("x_at") != F.col("y_at")) & last("x", "y") & here)
     rest = table_cut(rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     return links if rest.isEmpty() else table_cut(links.unionByName(confirm(rest)), "links")
 
@@ -241,9 +257,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("text"))
     signed = table_cut(rows.mapInArrow(_signer(size), "doc_id long, n_shingles long, set_hash long, keys array<long>, sketch array<long>"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id")).select(F.col("set_hash").alias("c_hash"), F.col("n_shingles").alias("c_n"), "class_id")
-    member = full.select("doc_id", "set_hash", "n_shingles").join(classes, (F.col("set_hash") == F.col("c_hash")) & (F.col("n_shingles") == F.col("c_n"))).select(F.col("doc_id").alias("m_id"), "class_id")
-    member = table_cut(member.distinct(), "members")
+    # Only classes of several rows join; of those the largest, of which there are few, reach the rows by broadcast, so that no task gets a whole one.
+    classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")).where("m > 1").select(F.col("set_hash").alias("c_hash"), F.col("n_shingles").alias("c_n"), "class_id", "m")
+    classes = table_cut(classes, "classes")
+    bound = max(HOT_CLASS, signed.count() // MOST_HOT)  # so at most MOST_HOT classes are hot
+    hot, cold = F.broadcast(classes.where(F.col("m") > bound)), classes.where(F.col("m") <= bound)
+    same = (F.col("set_hash") == F.col("c_hash")) & (F.col("n_shingles") == F.col("c_n"))
+    own = full.select("doc_id", "set_hash", "n_shingles")
+    member = own.join(hot, same).unionByName(own.join(hot, same, "left_anti").join(cold, same, "left"), allowMissingColumns=True)
+    member = table_cut(member.select(F.col("doc_id").alias("m_id"), F.coalesce("class_id", "doc_id").alias("class_id")).distinct(), "members")
     first = full.join(member.where("m_id = class_id").select("m_id").distinct(), F.col("doc_id") == F.col("m_id"), "left_semi")
     first = table_cut(first.select(F.col("doc_id").alias("id"), "keys").distinct(), "firsts")
     # A bucket's centre is its least scrambled id, the same choice in all buckets: few different stars.
@@ -262,7 +284,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     if not ties.isEmpty():
         found = components(links.unionByName(same))
     of_class = found.select(F.col("node").alias("f_id"), "component")
-    of_doc = member.join(of_class, F.col("class_id") == F.col("f_id"), "left").groupBy("m_id").agg(F.min(F.coalesce("component", "class_id")).alias("component"))
+    hot_of = F.broadcast(hot.select(F.col("class_id").alias("h_id")).distinct().join(of_class, F.col("h_id") == F.col("f_id"), "left").select("h_id", "component"))
+    joined = member.join(hot_of, F.col("class_id") == F.col("h_id")).unionByName(member.join(hot_of, F.col("class_id") == F.col("h_id"), "left_anti").join(of_class, F.col("class_id") == F.col("f_id"), "left"), allowMissingColumns=True)
+    of_doc = joined.groupBy("m_id").agg(F.min(F.coalesce("component", "class_id")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(of_doc, (F.col("doc_id") == F.col("m_id")) & (F.col("n_shingles") > 0), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -284,5 +308,6 @@ def _common_keys(bitmap: np.ndarray) -> Callable:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents whose component has a smaller doc_id."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    (gone,) = fresh(docs, "gone_id")
+    lost = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -1,21 +1,19 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-Paragraphs are a text's lines of at least MIN_WORDS words, and runs of sentences: from a chosen
-sentence on, to the end of the sentence with which the run has MIN_WORDS words in three sentences, or
-twice as many words. Starts are chosen by winnowing (of any three sentences in a row, the one of
-least hash) and all long sentences, so that a passage is cut alike wherever it stands, inside a
-line as well.
+Paragraphs are a text's lines of at least MIN_WORDS words. A line of more than LONG_LINE words is also cut
+into segments of sentences, at those whose hash is the least among AROUND on either side: so a long line
+is cut alike wherever its sentences stand, and segments of one line do not overlap.
 
 Whatever its sentences and lines, SHARED equal words of two texts hold an equal run of RUN words: its
 starts are winnowed over the hashes of SHINGLE words, one at least in each SHARED - RUN + 1 words in a row. Such runs
-are found by one key, the hash of their words; edited passages are left to the lines and sentence runs.
+are found by one key, the hash of their words; edited passages are left to the lines and segments.
 
 Each paragraph has BANDS MinHash entries over its five-word shingles, and as many bands of two
 neighbouring entries, the last with the first: a pair of similarity 0.8 shares none with
 probability 0.005, a pair of 0.9 with 0.0002. Equal paragraphs are one from the start. Only band keys are counted over
 all paragraphs; those that come again are joined, colliding paragraphs are compared with the
-centre of their bucket by exact Jaccard similarity on full shingle sets, then those of one bucket that
-are not linked by then with each other, and linked ones are clustered by components. The first text with a passage of a cluster (by doc_id) keeps it; from the others it is removed.
+centre of their bucket by exact Jaccard similarity on full shingle sets; then buckets in which not all is linked are
+compared whole, in tiles of bounded size of which each gives a spanning forest of its links; and linked ones are clustered by components. The first text with a passage of a cluster (by doc_id) keeps it; from the others it is removed.
 What repeats within one text only stays.
 
 Defined results: a null or empty text, and one without a long enough paragraph, has nothing to
@@ -26,45 +24,70 @@ whole; other columns are passed on by the removal.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import id_bitmap, in_bitmap, ship, table_cut
+from millrace.llm.common import fresh, id_bitmap, in_bitmap, ship, table_cut, tiles
 from millrace.llm.components import components
+from millrace.llm.lattice import _forest
 from millrace.llm.near_dup import compare_sets, link_by_stars
 
 MIN_WORDS = 24
 SHINGLE = 5
 BANDS = 8
-LONG_SENTENCE = MIN_WORDS // 2
+#: Words beyond which a line is cut into segments as well, and sentences on either side among which a cut is the least.
+LONG_LINE, AROUND = 160, 3
 #: Words that two texts share at least, and length of the runs of which one lies in any such words.
 SHARED, RUN = 51, 32
-#: Bits of a set's map, one set by each shingle: two sets differ in as many shingles at least as their maps in bits.
-MAP_BITS = 256
+#: Sets of a tile that a value is held by from which on it is counted by a product of matrices, and columns of a matrix.
+MANY, WIDE = 16, 4096
 #: Bits of the bitmap of common keys: 16 MB whatever the input size.
 KEY_BITS = 1 << 27
 _R = 0xC2B2AE3D27D4EB4F
 _R_INVERSE = pow(_R, -1, 1 << 64)
+#: Words up to which a sum tells runs apart; longer ones have a digest each.
+LONG_RUN = 256
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _BAND = np.random.default_rng(613).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _runs(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of the words from first to before last."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, np.uint64(base), dtype=np.uint64)
+    out[:1] = 1
     with np.errstate(over="ignore"):
-        return W.mix((total[last] - total[first]) * W._power(_R_INVERSE, len(total))[first] + (last - first).astype(np.uint64))
+        return np.multiply.accumulate(out, out=out)
 
 
-def _total(w: W.Words) -> np.ndarray:
-    """The running sum from which :func:`_runs` takes its hashes."""
+@dataclass
+class _Sums:
+    """What hashes of runs of a block's words are taken from."""
+
+    words: np.ndarray  #: hashes of the words
+    total: np.ndarray  #: running sum of the words' hashes times powers
+    inverse: np.ndarray
+
+    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the words from first to before last."""
+        with np.errstate(over="ignore"):
+            out = W.mix((self.total[last] - self.total[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+        for i in np.flatnonzero(last - first > LONG_RUN).tolist():
+            out[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(self.words[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little"))
+        return out
+
+
+def _sums(w: W.Words) -> _Sums:
+    n = len(w.hash)
     with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * W._power(_R, len(w.hash)))])
+        return _Sums(w.hash, np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * _powers(_R, n))]), _powers(_R_INVERSE, n + 1))
 
 
 def _sliding(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
@@ -83,16 +106,16 @@ def anchored(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < SHARED:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
-    total = _total(w)
+    sums = _sums(w)
     p = np.arange(n - RUN + 1)
-    h = _runs(total, p, p + SHINGLE)
+    h = sums.runs(p, p + SHINGLE)
     least = _sliding(h, window, np.minimum)
     doc_end = np.repeat(w.bounds[1:], np.diff(w.bounds))
     least[p[: len(least)] + SHARED > doc_end[: len(least)]] = 0  # reaches into the next text
     # A start is chosen if it is least in some window that holds it.
     chosen = h <= _sliding(np.pad(least, window - 1), window, np.maximum)
     a = np.flatnonzero(chosen & (p + RUN <= doc_end[: len(p)]))
-    return a, a + RUN, _runs(total, a, a + RUN)
+    return a, a + RUN, sums.runs(a, a + RUN)
 
 
 def paragraphs(w: W.Words, bands: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,48 +124,42 @@ def paragraphs(w: W.Words, bands: bool = True) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
-    total = _total(w)
-    doc_last = np.zeros(n, dtype=bool)
-    doc_last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
+    sums = _sums(w)
+    line_last = np.zeros(n, dtype=bool)
+    line_last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
     lines = np.concatenate([[0], np.cumsum(w.data == 10)])
-    line_last = doc_last.copy()
     line_last[:-1] |= lines[w.start[1:]] > lines[w.end[:-1]]
-    last = np.flatnonzero(line_last | _STOP[w.data[w.end - 1]]) + 1
-    first = np.concatenate([[0], last[:-1]])
-    doc_end = np.repeat(w.bounds[1:], np.diff(w.bounds))
-    # winnowing of sentences
-    h = _runs(total, first, last) & np.uint64((1 << 62) - 1)
-    same2 = doc_end[first[:-1]] == doc_end[first[1:]] if len(first) > 1 else np.zeros(0, bool)
-    chosen = last - first >= LONG_SENTENCE
-    if len(first) > 2:
-        inside = same2[:-1] & same2[1:]
-        three = np.stack([h[:-2], h[1:-1], h[2:]])
-        chosen[(np.arange(len(first) - 2) + three.argmin(0))[inside]] = True
-    starts_doc = np.ones(len(first), bool)
-    starts_doc[1:] = ~same2
-    chosen |= starts_doc
-    s = np.flatnonzero(chosen)
-    # the sentence with which a run is long enough: by words, and by three sentences or twice the words
-    enough = np.maximum(np.searchsorted(last, first[s] + MIN_WORDS), np.minimum(s + 2, np.searchsorted(last, first[s] + 2 * MIN_WORDS)))
-    ok = enough < len(last)
-    s, enough = s[ok], enough[ok]
-    a, b = first[s], last[enough]
-    ok = b <= doc_end[a]
-    line_b = np.flatnonzero(line_last) + 1
-    line_a = np.concatenate([[0], line_b[:-1]])
-    long_line = line_b - line_a >= MIN_WORDS
-    ab = np.unique(np.stack([np.concatenate([a[ok], line_a[long_line]]), np.concatenate([b[ok], line_b[long_line]])], axis=1), axis=0)
+    b = np.flatnonzero(line_last) + 1
+    a = np.concatenate([[0], b[:-1]])
+    long = b - a > LONG_LINE
+    keep = b - a >= MIN_WORDS
+    parts = [np.stack([a[keep], b[keep]], axis=1)]
+    if long.any():
+        # The sentences of long lines: a cut before each that has the least hash around it.
+        last = np.flatnonzero(line_last | _STOP[w.data[w.end - 1]]) + 1
+        first = np.concatenate([[0], last[:-1]])
+        line = np.searchsorted(b, first, "right")
+        on = long[line]
+        first, last, line = first[on], last[on], line[on]
+        h = np.pad(sums.runs(first, last), AROUND, constant_values=np.uint64(2**64 - 1))
+        cut = h[AROUND : AROUND + len(first)] <= _sliding(h, 2 * AROUND + 1, np.minimum)
+        cut[0] = True
+        cut[1:] |= line[1:] != line[:-1]
+        at = np.flatnonzero(cut)
+        part = np.stack([first[at], last[np.append(at[1:], len(first)) - 1]], axis=1)
+        parts.append(part[part[:, 1] - part[:, 0] >= MIN_WORDS])
+    ab = np.unique(np.concatenate(parts), axis=0)
     a, b = ab[:, 0], ab[:, 1]
     keys = np.zeros((len(a), BANDS), np.uint64)
     if len(a) and bands:
         p = np.arange(n - SHINGLE + 1)
-        shingle = np.append(_runs(total, p, p + SHINGLE), np.uint64(0))
+        shingle = np.append(sums.runs(p, p + SHINGLE), np.uint64(0))
         cuts = np.stack([a, b - SHINGLE + 1], axis=1).ravel()
         with np.errstate(over="ignore"):
             for k in range(BANDS):
                 keys[:, k] = np.minimum.reduceat(W.mix(shingle * _BAND[k]), cuts)[::2]
             keys = W.mix(keys * np.uint64(_R) + np.roll(keys, -1, axis=1) + np.arange(BANDS, dtype=np.uint64))
-    return a, b, _runs(total, a, b), keys
+    return a, b, sums.runs(a, b), keys
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +236,79 @@ def _unit_sets(wanted: np.ndarray) -> Callable:
                 ids, first = np.unique(full[on], return_index=True)
                 if not len(ids):
                     continue
-                total = _total(w)
                 p = np.arange(len(w.hash) - SHINGLE + 1)
-                shingle = (_runs(total, p, p + SHINGLE) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                shingle = (_sums(w).runs(p, p + SHINGLE) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 sets = [np.unique(shingle[x : y - SHINGLE + 1]) for x, y in zip(a[on][first], b[on][first], strict=True)]
                 n = np.array([len(x) for x in sets], np.int64)
-                bits = np.zeros((len(sets), MAP_BITS), np.uint8)
-                bits[np.repeat(np.arange(len(sets)), n), np.concatenate(sets) % MAP_BITS] = 1
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (MAP_BITS // 64), pa.int32()), pa.array(np.packbits(bits, axis=1).ravel().view(np.int64)))
                 bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                yield pa.RecordBatch.from_pydict({"s_id": pa.array(ids.view(np.int64)), "s_n": pa.array(n), "s_set": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int32))), "s_map": maps})
+                yield pa.RecordBatch.from_pydict({"s_id": pa.array(ids.view(np.int64)), "s_n": pa.array(n), "s_set": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int32)))})
 
     return rows
 
 
-def _may_be_near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and maps of two sides allow a similarity of ``percent`` per cent; never false for a pair that has it."""
-    ratio = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * percent
-    apart = sum((F.bit_count(F.col(f"{a}_map")[i].bitwiseXOR(F.col(f"{b}_map")[i])) for i in range(1, MAP_BITS // 64)), F.bit_count(F.col(f"{a}_map")[0].bitwiseXOR(F.col(f"{b}_map")[0])))
-    return ratio & (apart * (100 + percent) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent))
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common, as a matrix."""
+    n, size = len(sets), [len(x) for x in sets]
+    values, which = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    held = np.bincount(which, minlength=len(values))
+    # Common values by a product of matrices, of which the width is bounded by the sets' sizes; rare ones by their pairs.
+    common = np.flatnonzero(held >= MANY)
+    number = np.full(len(values), -1)
+    number[common] = np.arange(len(common))
+    out = np.zeros((n, n), np.float32)
+    on = number[which] >= 0
+    for part in range(0, len(common), WIDE):
+        here = on & (number[which] >= part) & (number[which] < part + WIDE)
+        m = np.zeros((n, min(WIDE, len(common) - part)), np.float32)
+        m[row[here], number[which[here]] - part] = 1
+        out += m @ m.T
+    rare = np.flatnonzero(~on & (held[which] > 1))
+    rare = rare[np.argsort(which[rare], kind="stable")]
+    v, r = which[rare], row[rare]
+    flat = out.ravel()
+    for step in range(1, MANY):  # the holders of a value that are `step` apart in its list
+        same = np.flatnonzero(v[step:] == v[:-step])
+        if not len(same):
+            break
+        pairs = np.concatenate([r[same] * n + r[same + step], r[same + step] * n + r[same]])
+        flat += np.bincount(pairs, minlength=n * n).astype(np.float32)
+    return out
+
+
+def _tile_links(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is linked in a tile and isn't in one component already."""
+    at, chunk = rows["at"].to_numpy(), rows["chunk"].to_numpy()
+    cross = rows["lo"][0].as_py() < rows["hi"][0].as_py()
+    none = np.zeros(0, np.int64)
+    if len(at) < 2 or (at == at[0]).all() or cross and (chunk == chunk[0]).all():
+        return none, none
+    ids, lists = rows["id"].to_numpy(), rows["s_set"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    both = _overlaps(np.split(lists.flatten().to_numpy(), np.cumsum(size)[:-1]))
+    i, j = np.nonzero(100 * both >= percent * (size[:, None] + size[None, :] - both))
+    on = (i < j) & (at[i] != at[j])
+    # One link for each two components that a tile connects will do.
+    name, number = np.unique(at, return_inverse=True)
+    _, first = np.unique(np.minimum(number[i[on]], number[j[on]]) * len(name) + np.maximum(number[i[on]], number[j[on]]), return_index=True)
+    i, j = i[on][first], j[on][first]
+    low = _forest(len(name), number[i], number[j])
+    # A member of each component and one of the component's root: a link of the forest.
+    member = np.zeros(len(name), np.int64)
+    member[number] = ids
+    moved = np.flatnonzero(low != np.arange(len(name)))
+    return member[moved], member[low[moved]]
+
+
+def _forests(percent: int) -> Callable:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket and tile; a tile is held whole, and its size is bounded."""
+        for tile in tiles(batches, 3):
+            a, b = _tile_links(tile, percent)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return link
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -260,10 +331,14 @@ def find_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     centre = keyed.groupBy("key").agg(F.min("id").alias("c_id"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("c_key"), "c_id", "n")
     met = table_cut(keyed.join(centre, F.col("key") == F.col("c_key")).select("key", "id", "c_id", "n"), "met")
     # The bitmap only spares making sets that no pair needs; the joins with the sets are exact.
-    sets = rows.select("text").mapInArrow(_unit_sets(id_bitmap(met.select("id").distinct(), "id")), "s_id long, s_n long, s_set array<int>, s_map array<long>")
+    sets = rows.select("text").mapInArrow(_unit_sets(id_bitmap(met.select("id").distinct(), "id")), "s_id long, s_n long, s_set array<int>")
     sets = table_cut(sets.dropDuplicates(["s_id"]), "sets")
-    maps = sets.select(F.col("s_id").alias("k_id"), F.col("s_n").alias("n"), F.col("s_map").alias("map"))
-    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), fine=maps, finely=lambda x, y: _may_be_near(x, y, percent), larger=met.where("n > 2"))
+
+    def forest(rows: DataFrame) -> DataFrame:
+        held = rows.join(sets.select("s_id", "s_set"), F.col("id") == F.col("s_id")).select("key", "lo", "hi", "chunk", "id", "at", "s_set")
+        return held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_forests(percent), "a long, b long")
+
+    links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), larger=met.where("n > 2"), forest=forest)
     of = components(links).select(F.col("node").alias("f_id"), "component")
     unit = occurrence.join(of, F.col("id") == F.col("f_id"), "left").select("doc_id", "print", "starts", "ends", F.coalesce("component", "id").alias("cluster"))
     # The first text with the passage: partial aggregation, however common a passage is.
@@ -307,8 +382,9 @@ def _cutter(text_at: int, cuts_at: int, chars_at: int | None) -> Callable:
 
 def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated passages cut from ``text`` (and ``n_chars`` counted anew where it was cut)."""
-    spans = merged(find_repeats(docs, percent)).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("mr_cuts")).select(F.col("doc_id").alias("mr_doc"), F.col("print").alias("mr_print"), "mr_cuts")
+    doc, mark, cuts = fresh(docs, "cut_doc", "cut_print", "cuts")
+    spans = merged(find_repeats(docs, percent)).groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias(cuts)).select(F.col("doc_id").alias(doc), F.col("print").alias(mark), cuts)
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    joined = docs.join(table_cut(spans, "spans"), (own_id == F.col("mr_doc")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("mr_print")), "left").drop("mr_doc", "mr_print")
+    joined = docs.join(table_cut(spans, "spans"), (own_id == F.col(doc)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(mark)), "left").drop(doc, mark)
     at = docs.columns.index
     return joined.mapInArrow(_cutter(at("text"), len(docs.columns), at("n_chars") if "n_chars" in docs.columns else None), docs.schema)
