@@ -12,8 +12,9 @@ spread like the others. Every row is kept: where a source runs out, its slots st
 others keep their order and their weights to each other.
 
 Defined results: sources without a target, null ones too, share the weight ``rest`` in one group;
-a null or empty text is a document like others; a null doc_id hashes as the empty string; repeated rows
-take places next to each other; an empty table gives no rows; other columns are passed on.
+a null or empty text is a document like others; a row without doc_id is ordered by all its columns; repeated rows
+take places next to each other; an empty table gives no rows; other columns are passed on, whatever their names, but
+columns named like the four of :func:`mix` are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16
-#: Hexadecimal digits of the hash that name a bucket: 16 ** DIGITS buckets for each source.
-DIGITS = 3
+#: Hexadecimal digits of the hash that name a bucket: 16 ** DIGITS buckets for each source, and more where these would hold more than BUCKET_ROWS rows.
+DIGITS, BUCKET_ROWS = 3, 20_000
+#: The columns of a place: the source's class, block, slot, and place in the block.
+MIXED = ("mix_class", "mix_block", "mix_slot", "mix_place")
 #: Rows of the table of bucket counts up to which it is broadcast (some 40 bytes each).
 SMALL_TABLE = 200_000
 
@@ -45,7 +48,7 @@ def schedule(spark: SparkSession, units: list[int]) -> DataFrame:
     return slots.select(F.col("slot").cast("long").alias("slot"), "class", (F.row_number().over(w) - 1).cast("long").alias("turn"))
 
 
-def mix(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_docs: int = BLOCK_DOCS, digits: int = DIGITS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_docs: int = BLOCK_DOCS, digits: int | None = None) -> DataFrame:
     """``docs`` with ``mix_class``, ``mix_block``, ``mix_slot`` and ``mix_place`` (in the block), not yet in order.
 
     ``targets``: units of weight by source; their number is a parameter and doesn't grow with the rows.
@@ -53,29 +56,34 @@ def mix(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_docs: int
     spark = docs.sparkSession
     names, units = list(targets), [*targets.values(), rest]
     d, n = sum(units), len(units)
+    if digits is None:
+        digits, most = DIGITS, docs.count()
+        while most > BUCKET_ROWS * 16**digits:
+            digits += 1
     # One row for each target: bounded by the parameter.
     table = F.broadcast(spark.createDataFrame([(x, i, units[i]) for i, x in enumerate(names)], "t_source string, t_class int, t_units int"))
-    own = docs.columns
-    rows = docs.join(table, F.col("source").cast("string") == F.col("t_source"), "left").drop("t_source")
+    own = F.struct(*[c for c in docs.columns if c.lower() not in MIXED]).alias("row")  # whatever its names, they meet no others here
+    rows = docs.select(own, F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
+    rows = rows.join(table, F.col("source") == F.col("t_source"), "left").drop("t_source", "source")
     rows = rows.withColumn("t_class", F.coalesce("t_class", F.lit(n - 1))).withColumn("t_units", F.coalesce("t_units", F.lit(rest)))
-    rows = rows.withColumn("t_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("t_bucket", F.substring("t_hash", 1, digits))
+    rows = rows.withColumn("t_hash", F.md5(F.coalesce(F.col("id").cast("string"), F.to_json("row")).cast("binary"))).withColumn("t_bucket", F.substring("t_hash", 1, digits))
     sums = rows.groupBy("t_class", "t_bucket").agg(F.count("*").alias("b_n"))
     by_class = Window.partitionBy("t_class").orderBy("t_bucket")
     before = sums.select(F.col("t_class").alias("b_class"), F.col("t_bucket").alias("b_bucket"), (F.sum("b_n").over(by_class) - F.col("b_n")).alias("b_before"))
     if n * 16**digits <= SMALL_TABLE:
         before = F.broadcast(before)
     rows = rows.join(before, (F.col("t_class") == F.col("b_class")) & (F.col("t_bucket") == F.col("b_bucket")))
-    in_bucket = Window.partitionBy("t_class", "t_bucket").orderBy("t_hash", "doc_id")
+    in_bucket = Window.partitionBy("t_class", "t_bucket").orderBy("t_hash", "id")
     rows = rows.withColumn("t_rank", F.col("b_before") + F.row_number().over(in_bucket) - 1)
     rows = rows.withColumn("mix_block", F.expr(f"t_rank div {block_docs}")).withColumn("mix_place", F.pmod("t_rank", F.lit(block_docs)).cast("int"))
     turns = schedule(spark, units).select(F.col("slot").alias("p_slot"), F.col("class").alias("p_class"), F.col("turn").alias("p_turn"))
     # sum(units) rows: bounded by the parameter.
     rows = rows.join(F.broadcast(turns), (F.col("t_class") == F.col("p_class")) & (F.pmod("mix_block", "t_units") == F.col("p_turn")))
     rows = rows.withColumn("mix_slot", F.expr(f"(mix_block div t_units) * {d}") + F.col("p_slot"))
-    return rows.select(*own, F.col("t_class").alias("mix_class"), "mix_block", "mix_slot", "mix_place")
+    return rows.select("row.*", F.col("t_class").alias("mix_class"), "mix_block", "mix_slot", "mix_place")
 
 
 def interleave(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The rows of ``docs``, all columns and no others, in the mixed order: sorted by slot and place over all partitions."""
-    own = docs.columns
-    return mix(docs, targets, rest, block_docs).orderBy("mix_slot", "mix_place").select(*own)
+    kept = docs.select(F.struct(*docs.columns).alias("whole"), "source", "doc_id")
+    return mix(kept, targets, rest, block_docs).orderBy("mix_slot", "mix_place").select("whole.*")

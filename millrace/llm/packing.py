@@ -3,9 +3,13 @@
 Pieces differ only in length, and there are at most ``capacity`` lengths, so the plan is made from
 their counts on the driver: its size is bounded by the capacity and not by the rows. It is a list
 of (how many sequences, what lengths in each). Rows then find their place by their rank among the
-pieces of equal length, which is counted in hashed buckets: no length, however common, meets in
+pieces of equal length, which is counted in buckets: no length, however common, meets in
 one task.
 
+The order of the ranks is free. By default it is that of a hash; where rows come in an order that counts,
+as after mixing, ranks follow it, and the plan is dealt to WINDOWS parts of equal shares: each part's
+sequences hold pieces from the same part of the order, and sequence numbers ascend with it.
+
 Reduction (Martello and Toth): a set of at most three pieces that contains a given piece and
 dominates all others that could share its sequence is fixed for good and leaves the instance:
 an exact pair, the largest partner if no two others fit beside the piece or if it is at least as large as
@@ -18,11 +22,13 @@ they come; an empty table gives no rows; a null doc_id stays null; other columns
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ship, table_cut
@@ -31,34 +37,60 @@ from millrace.llm.token_files import END_ID, encoded
 CAPACITY = 1024
 #: Hash buckets in which the ranks of equal lengths are counted, for each partition of a shuffle.
 BUCKETS_PER_PARTITION = 4
+#: Parts of the order to which the plan is dealt, and parts of a length's ranks by which rows look for their place.
+WINDOWS = 64
 
-_PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32")])
+_NUMBERS = ("doc_id", "piece", "start", "length", "ids_crc32")
+_PIECES = pa.schema([*((n, pa.int64()) for n in _NUMBERS), ("p_group", pa.string()), ("p_at", pa.int64())])
 
 
 def _cutter(vocabulary: str, end_id: int, capacity: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for doc_id, ids in encoded(batches, vocabulary, end_id):
+        places: list = []
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                places[:] = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+                places.reverse()
+                yield b
+
+        for doc_id, ids in encoded(noted(), vocabulary, end_id):
+            place = places.pop()
             data = ids.astype("<u4")
             start = 0
             for k in range(-(-len(ids) // capacity)):
                 length = (len(ids) - 1) % capacity + 1 if k == 0 else capacity
-                rows.append((doc_id, k, start, length, zlib.crc32(data[start : start + length].tobytes())))
+                rows.append((doc_id, k, start, length, zlib.crc32(data[start : start + length].tobytes()), *place))
                 start += length
             if len(rows) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     return cut
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """Token pieces of ``doc_id, text``: only texts of more than ``capacity`` ids are cut, the first piece is what remains."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, place: tuple[Column, Column] | None = None) -> DataFrame:
+    """Token pieces of ``doc_id, text``: only texts of more than ``capacity`` ids are cut, the first piece is what remains.
+
+    ``place``: a string and a number by which the rows are in order; rows with one string are ranked by one task.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cutter(vocabulary, end_id, capacity), "doc_id long, piece long, start long, length long, ids_crc32 long")
+    group, at = place or (F.lit(None), F.lit(None))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), group.cast("string").alias("p_group"), at.cast("long").alias("p_at"))
+    return rows.mapInArrow(_cutter(vocabulary, end_id, capacity), ", ".join(f"{n} long" for n in _NUMBERS) + ", p_group string, p_at long")
+
+
+def file_order(docs: DataFrame, rows: int = 1 << 16) -> tuple[Column, Column] | None:
+    """The order of a written table's rows, for :func:`pieces`: by file, ``rows`` in a row of it, and row; None if ``docs`` isn't read from files."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return F.concat(file, F.lit("/"), F.lpad((row / rows).cast("long").cast("string"), 12, "0")), row
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
@@ -144,37 +176,59 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     return fixed + best_fit(rest, capacity)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (a table that can be read again)."""
+def deal(made: list[tuple[int, list[tuple[int, int]]]], counts: dict[int, int], windows: int) -> np.ndarray:
+    """The plan as rows (length, part of its ranks, from, to, first rank, each, first sequence, offset) for :func:`pack`.
+
+    Each window gets its share of every group of equal sequences, so ranks and sequences run through the plan together.
+    """
+    slots, used, sequence = [], defaultdict(int), 0
+    step = {length: -(-n // WINDOWS) for length, n in counts.items()}
+    for w in range(windows):
+        for g, (times, lengths) in enumerate(made):
+            shift = g * 40503 % 65536  # shares are rounded at places that differ by group
+            share = ((w + 1) * times * 65536 // windows + shift) // 65536 - (w * times * 65536 // windows + shift) // 65536
+            if not share:
+                continue
+            offset = 0
+            for length, each in lengths:
+                first, last = used[length], used[length] + share * each
+                for part in range(first // step[length], (last - 1) // step[length] + 1):
+                    slots.append((length, part, max(first, part * step[length]), min(last, (part + 1) * step[length]), first, each, sequence, offset))
+                used[length] = last
+                offset += each * length
+            sequence += share
+    return np.array(slots, np.int64).reshape(-1, 8)
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, ordered: bool = False) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (a table that can be read again); ``ordered``: ranks follow ``p_group`` and ``p_at``."""
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    slots, used, sequence = [], dict.fromkeys(counts, 0), 0
-    for times, lengths in plan(counts, capacity):
-        offset = 0
-        for length, each in lengths:
-            slots.append((length, used[length], used[length] + times * each, each, sequence, offset))
-            used[length] += times * each
-            offset += each * length
-        sequence += times
-    slot = spark.createDataFrame(slots, "s_length long, s_from long, s_to long, s_each long, s_sequence long, s_offset long")
+    slots = deal(plan(counts, capacity), counts, WINDOWS if ordered else 1)
+    names = ("s_length", "s_part", "s_from", "s_to", "s_first", "s_each", "s_sequence", "s_offset")
+    slot = spark.createDataFrame(pa.table({n: pa.array(slots[:, k]) for k, n in enumerate(names)}), ", ".join(f"{n} long" for n in names))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut.withColumn("p_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    rows = cut.withColumn("p_bucket", F.col("p_group") if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sums = rows.groupBy("length", "p_bucket").agg(F.count("*").alias("p_n"))
-    by_length = Window.partitionBy("length").orderBy("p_bucket")
-    before = sums.select(F.col("length").alias("b_length"), F.col("p_bucket").alias("b_bucket"), (F.sum("p_n").over(by_length) - F.col("p_n")).alias("p_before"))
-    rows = rows.join(before, (F.col("length") == F.col("b_length")) & (F.col("p_bucket") == F.col("b_bucket")))
-    own = Window.partitionBy("length", "p_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    by_length = Window.partitionBy("length")
+    before = sums.select(
+        F.col("length").alias("b_length"), F.col("p_bucket").alias("b_bucket"), (F.sum("p_n").over(by_length.orderBy("p_bucket")) - F.col("p_n")).alias("p_before"),
+        F.expr(f"(sum(p_n) OVER (PARTITION BY length) + {WINDOWS - 1}) div {WINDOWS}").alias("p_step"),
+    )
+    rows = rows.join(before, (F.col("length") == F.col("b_length")) & F.col("p_bucket").eqNullSafe(F.col("b_bucket")))
+    own = Window.partitionBy("length", "p_bucket").orderBy(*(["p_at"] if ordered else []), "doc_id", "piece", "start", "ids_crc32")
     rows = rows.withColumn("p_rank", F.col("p_before") + F.row_number().over(own) - 1)
-    # The slots are a plan for at most `capacity` lengths: their number doesn't grow with the rows.
-    placed = rows.join(F.broadcast(slot), (F.col("length") == F.col("s_length")) & (F.col("p_rank") >= F.col("s_from")) & (F.col("p_rank") < F.col("s_to")))
-    k = F.col("p_rank") - F.col("s_from")
+    # The slots are a plan for at most `capacity` lengths and WINDOWS parts: their number doesn't grow with the rows.
+    here = (F.col("length") == F.col("s_length")) & (F.expr("p_rank div p_step") == F.col("s_part")) & (F.col("p_rank") >= F.col("s_from")) & (F.col("p_rank") < F.col("s_to"))
+    placed = rows.join(F.broadcast(slot), here)
+    k = F.col("p_rank") - F.col("s_first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("s_sequence") + F.expr("(p_rank - s_from) div s_each")).alias("sequence_id"),
+        (F.col("s_sequence") + F.expr("(p_rank - s_first) div s_each")).alias("sequence_id"),
         (F.col("s_offset") + F.pmod(k, F.col("s_each")) * F.col("length")).alias("offset"),
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """Pack every text of ``doc_id, text`` into sequences of at most ``capacity`` ids."""
-    return pack(table_cut(pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, place: tuple[Column, Column] | None = None) -> DataFrame:
+    """Pack every text of ``doc_id, text`` into sequences of at most ``capacity`` ids; ``place`` as in :func:`pieces`."""
+    return pack(table_cut(pieces(docs, vocabulary, end_id, capacity, place), "pieces"), capacity, place is not None)
