@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in SQL functions only.
 
-A text's paragraphs (its lines, and the sentences of each) are hashed to codes: 44 bits of digest
-and 20 bits of check. The set of codes fills the cells of a sketch: each code is counted and
+A text's paragraphs (its lines, and the sentences of each) are hashed to codes: 44 bits of an MD5 digest
+and 20 bits of check, a quadratic form of the digest, which sums of codes don't keep. The set of codes fills the cells of a sketch: each code is counted and
 combined by exclusive or in one cell of each of three rows. Two sketches subtract cell by cell, and what
 both have cancels; peeling cells that hold one valid code recovers the codes in which the texts
 differ. If peeling gets stuck, the sketch was too small: the codes are dealt by their bits to as
@@ -32,12 +32,13 @@ ROUNDS = 6
 LOAD = 4
 SMALL, LARGE = 8, 16  #: their width, and that of the third try
 CHECK = (1 << 20) - 1
-PARAGRAPH = r"\\n+|(?<=[.!?])\\s+"
+PARAGRAPH = r"(?<=[.!?])\\s+|\\n+"
+_PRIME = 1_048_573  #: below 2**20
 #: First bits of the cells in the three rows: of the fingerprint, of the second and the third try.
 _FIRST, _SECOND, _THIRD = (34, 37, 40), (43, 46, 49), (52, 56, 60)
 _DEAL = 20
 #: Ranges of doc_id for each partition of a shuffle, and their largest number.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 4096
+RANGES_PER_PARTITION, MOST_RANGES = 4, 1 << 16
 _names = count()
 
 
@@ -52,14 +53,21 @@ def _let(value: str, body) -> str:
     return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
+def _check(digest: str) -> str:
+    """SQL: 20 bits of check for a digest of 44 bits; no product exceeds 46 bits."""
+    a, b = f"({digest} % {_PRIME})", f"({digest} div {_PRIME} % {_PRIME})"
+    return f"(({a} * {a} * 7 + {a} * {b} * 13 + {b} * {b} * 31 + {digest} % 977) & {CHECK})"
+
+
 def codes(text: str) -> str:
     """SQL: the distinct codes of a text's paragraphs."""
-    digest = f"(xxhash64(p) & {~CHECK})"
-    return f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), p -> p <> ''), p -> {digest} | (xxhash64({digest}) & {CHECK})))"
+    digest = "cast(conv(substring(md5(cast(p AS binary)), 1, 11), 16, 10) AS bigint)"
+    code = _let(digest, lambda d: f"shiftleft({d}, 20) | {_check(d)}")
+    return f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), p -> p <> ''), p -> {code}))"
 
 
 def _valid(code: str) -> str:
-    return f"({code} <> 0 AND (xxhash64({code} & {~CHECK}) & {CHECK}) = ({code} & {CHECK}))"
+    return f"({code} <> 0 AND {_let(f'shiftrightunsigned({code}, 20)', _check)} = ({code} & {CHECK}))"
 
 
 def sketch(keys: str) -> str:
@@ -144,7 +152,7 @@ def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
 def as_text(text: str, keys: str, cells: str) -> str:
     """SQL: a sketch as text: digest of the whole, number of paragraphs, and the cells."""
     cell = "concat(cast(c.n AS string), '.', hex(c.x))"
-    return f"concat('ibl1-', hex(xxhash64({text})), '-', size({keys}), '-', array_join(transform({cells}, c -> CASE WHEN c.n = 0 THEN '' ELSE {cell} END), ','))"
+    return f"concat('ibl2-', substring(md5(cast({text} AS binary)), 1, 16), '-', size({keys}), '-', array_join(transform({cells}, c -> CASE WHEN c.n = 0 THEN '' ELSE {cell} END), ','))"
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -159,7 +167,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("sid", F.coalesce("doc_id", F.lit(-(2**63))))
     wanted = min(MOST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("sid", [i / wanted for i in range(1, wanted)], 10_000).alias("q")).first()["q"] or []
+    cuts = rows.agg(F.percentile_approx("sid", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted)).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     side = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + side] for i in range(0, len(cuts), side)] or [[2**63 - 1]]

@@ -81,16 +81,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# SQL, written apart from the operators and with constants of its own
+
 
 def _mixing_sql() -> str:
     """The schedule by recursion over the slots of one period, and each row's slot from its rank in its source."""
-    units = [*TARGETS.values(), 1]
-    d, n, block = sum(units), len(units), mixing.BLOCK_DOCS
+    units = [10, 8, 8, 6, 6, 6, 5, 5, 5, 5, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3, 1]  # src0 to src19, and the rest
+    d, n, block = sum(units), len(units), 16
     u = f"[{', '.join(map(str, units))}]"
     due = f"cast(ceil((nxt[i + 1] + 1) * {d} / {u}[i + 1]) AS BIGINT) * 1000 + i"
     best = f"list_min(list_transform(range({n}), lambda i: CASE WHEN nxt[i + 1] * {d} // {u}[i + 1] <= t + 1 THEN {due} END)) % 1000"
     return f"""
-WITH RECURSIVE target(source, class, u) AS (VALUES {', '.join(f"('{s}', {i}, {x})" for i, (s, x) in enumerate(TARGETS.items()))}),
+WITH RECURSIVE target(source, class, u) AS (VALUES {', '.join(f"('src{i}', {i}, {x})" for i, x in enumerate(units[:-1]))}),
 run(t, nxt, pick) AS (
   SELECT -1::BIGINT, list_transform(range({n}), lambda x: 0::BIGINT), -1::BIGINT
   UNION ALL
@@ -109,5 +111,49 @@ FROM ranked JOIN turn ON ranked.class = turn.class AND (r // {block}) % u = turn
 """
 
 
+#: Who reaches whom over links (a, b) from the nodes of a table (id): each node with the least one reachable.
+_REACHED = """both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, far) AS (SELECT id, id FROM nodes UNION SELECT r.node, b.b FROM reach r JOIN both_ways b ON r.far = b.a),
+least_of AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node)"""
+
+_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (SELECT l.vec_id AS a, r.vec_id AS b FROM v l JOIN v r ON l.label = r.label AND l.vec_id < r.vec_id AND len(l.e) = len(r.e) WHERE list_cosine_similarity(l.e, r.e) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_REACHED},
+linked AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least_of ON vec_id = node LEFT JOIN linked ON vec_id = a
+"""
+
+_SHINGLED = "string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+')"
+_NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter({_SHINGLED}, lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a, b FROM (SELECT l.doc_id AS a, r.doc_id AS b, any_value(l.n) AS n, any_value(r.n) AS m, count(*) AS i FROM e l JOIN e r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2) WHERE 100 * i >= 80 * (n + m - i)),
+nodes AS (SELECT doc_id AS id FROM s), {_REACHED}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least_of ON doc_id = node
+"""
+
+
+def _fingerprint_sql() -> str:
+    """Codes of paragraphs as sets; the cells of a sketch are counted and combined from the whole set, and likeness is that of sets."""
+    a, b = "(d % 1048573)", "(d // 1048573 % 1048573)"
+    check = f"(({a} * {a} * 7 + {a} * {b} * 13 + {b} * {b} * 31 + d % 977) % 1048576)"
+    parts = lambda t: f"list_filter(string_split_regex(regexp_replace({t}, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), '\\n+'), lambda p: p <> '')"
+    codes = lambda t: f"list_distinct(list_transform(list_transform({parts(t)}, lambda p: ('0x' || md5(p)[1:11])::UBIGINT), lambda d: d * 1048576 + {check}))"
+    cell = lambda c: f"CASE WHEN len({c}) = 0 THEN '' ELSE len({c}) || '.' || to_hex(list_reduce({c}, lambda x, y: xor(x, y))) END"
+    row = lambda s, bit: f"list_transform(range(8), lambda i: {cell(f'list_filter({s}, lambda k: (k // {1 << bit}::UBIGINT) % 8 = i)')})"
+    shown = lambda t, s: f"'ibl2-' || md5({t})[1:16] || '-' || len({s}) || '-' || array_to_string(list_concat(list_concat({row(s, 34)}, {row(s, 37)}), {row(s, 40)}), ',')"
+    alike = lambda x, y: f"CASE WHEN len({x}) + len({y}) = 0 THEN 1 ELSE 1 - (len({x}) + len({y}) - 2 * len(list_intersect({x}, {y}))) / (len({x}) + len({y})) END::DOUBLE"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM t),
+e AS (SELECT *, text[1:n_chars - n_chars // 4] || CASE WHEN n_chars >= 4 THEN following[1:n_chars // 4] ELSE '' END AS edited FROM n),
+c AS (SELECT *, {codes('text')} AS a, {codes('edited')} AS e, {codes('following')} AS b FROM e)
+SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {shown('text', 'a')} AS fingerprint, {shown('edited', 'e')} AS edited_fingerprint, {alike('a', 'e')} AS near_edited, {alike('a', 'b')} AS near_next FROM c
+"""
+
+
 #: DuckDB SQL for those whose rows SQL can express.
-ORACLE_SQL: dict[str, str] = {"op8_pfair_mixing": _mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_lattice_near_dup": _VECTORS_SQL, "op3_iblt_fingerprint": _fingerprint_sql(), "op7_minhash_near_dup": _NEAR_SQL, "op8_pfair_mixing": _mixing_sql()}
