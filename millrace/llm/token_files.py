@@ -3,7 +3,7 @@
 One shuffle by ranges of doc_id; each task streams its sorted rows and writes a file whenever it
 has gathered FILE_TOKENS ids. A file counts once it is named in the manifest, which Spark commits;
 what a lost or repeated task attempt has written is never read. Files and manifest are in the
-shared folder, so they outlive executors.
+shared folder, so they outlive executors. The folder is on a store that Arrow knows: a mounted one, HDFS, S3, Azure or Google storage.
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows with
 equal doc_id follow each other in the order of their texts; an empty table gives no file and no
@@ -32,6 +32,14 @@ FILES_AT_ONCE = 20_000
 _SLICE = 256
 
 
+def known_uri(uri: str) -> str:
+    """A folder's address as Arrow's file systems name it: Hadoop's names of the same stores are other ones."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://")):
+        if uri.startswith(theirs):
+            return ours + uri[len(theirs) :]
+    return uri
+
+
 def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """doc_id and ids with the end id, row by row, of batches with doc_id and text."""
     from millrace.llm.tokens import tokenizer
@@ -51,7 +59,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, file_tokens: int) -> Call
 
         from millrace.llm.ans import pack
 
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = fs.FileSystem.from_uri(known_uri(folder))
         store.create_dir(path, recursive=True)
         task, number = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
@@ -109,7 +117,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            store, path = fs.FileSystem.from_uri(uri)
+            store, path = fs.FileSystem.from_uri(known_uri(uri))
             with store.open_input_stream(path) as f:
                 data = TokenFile(f.read())
             docs, crcs = [], []
