@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
 again as the next one's docs. The first four return the columns of documents; the mixing stage's
-decision is the order of its rows, in which they are written and which the packing keeps for the
-numbers of its sequences' pieces only as far as lengths allow.
+decision is the order of its rows, in which they are written. The packing reads that order from the files
+and follows it in WINDOWS parts: sequences with ascending numbers hold pieces of ascending parts of it.
+
+Defined results: null and empty texts are documents like others and reach the packing unless the classifier
+rejects them; a null doc_id is no copy of another and stays; of repeated rows the near-duplicate stage, which
+decides by doc_id, keeps all or none; texts of any length are read whole; an empty table gives an empty table
+at each stage; other columns, whatever their names, are passed on up to the packing.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
-    return packing.pack_documents(docs, vocabulary())
+    """Token pieces with their sequence and place, in the order of the rows of ``docs`` where that is a written table."""
+    return packing.pack_documents(docs, vocabulary(), place=packing.file_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
