@@ -14,8 +14,10 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 @pytest.fixture(scope="session")
 def spark():
     from millrace.session import session
+    from millrace.storage import clear_scratch
 
     s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_scratch(s)
     s.stop()

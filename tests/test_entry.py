@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["text_normalize", "bm25_topk", "rrf_topk", "cascade_batch", "drop_reason_counts", "eval_rollup", "stratified_sample", "kb_gates", "context_prompts"]
+NAMES = ["text_normalize", "bm25_topk", "rrf_topk", "cascade_batch", "drop_reason_counts", "eval_rollup", "stratified_sample", "kb_gates", "context_prompts", "bm25_saved_index", "recall_mrr_ablation", "cache_fuzzy", "eval_run", "promote_gates", "dedup_greedy", "damaged_lines", "judgement_upsert", "heading_starts", "synthesis_prompts"]
 
 
 def test_flagship(spark):
