@@ -116,15 +116,13 @@ def search_of(spark, docs):
     return d, tiers.searcher(retrieval.bm25_index(d), vectors, d, encode)
 
 
-def never(prompt):
-    raise AssertionError("no backend may be asked")
-
-
-def busy(prompt):
-    raise providers.RateLimited("busy")
+def test_tiers_together(spark):
+    def never(prompt):
+        raise AssertionError("no backend may be asked")
 
+    def busy(prompt):
+        raise providers.RateLimited("busy")
 
-def test_tiers_together(spark):
     docs = [(1, "alpha beta gamma", "spec a"), (2, "delta eps", None), (3, "the of the of", "spec c")]
     d, search = search_of(spark, docs)
     pending = spark.createDataFrame([(1, "alpha beta gamma", None), (2, "alpha unknown words here", None)], "query_id long, query string, context array<string>")
