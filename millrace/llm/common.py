@@ -7,7 +7,9 @@ re-read and never a recomputation from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,15 @@ from pyspark.sql import functions as F
 from millrace import storage
 from millrace.storage import scratch_path, scratch_root, table_cut
 
-__all__ = ["documents", "fresh", "id_bitmap", "in_bitmap", "scramble", "scratch_path", "scratch_root", "ship", "table_cut", "tiles", "xxhash64_long"]
+__all__ = ["documents", "fresh", "id_bitmap", "in_bitmap", "lean", "scramble", "scratch_path", "scratch_root", "ship", "table_cut", "tiles", "xxhash64_long"]
 
 #: Bits held by one row of Spark's bitmap aggregates.
 BITS_PER_BUCKET = 32768
 #: Size of a semi-join bitmap; 2**25 bits are 4 MB whatever the input size.
 BITMAP_BITS = 1 << 25
 #: Rows and bytes of an Arrow batch, at most: a task holds few texts at once whatever their length.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, and keep the session's Arrow batches small from here on."""
@@ -35,6 +38,20 @@ def ship(spark: SparkSession) -> None:
     storage.ship(spark)
 
 
+def lean(rows: Callable) -> Callable:
+    """``rows`` (batches to batches) that gives freed memory back when a task ends: its worker process lives on for tasks of other stages."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
     have = {c.lower() for c in df.columns}

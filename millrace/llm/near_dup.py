@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import fresh, id_bitmap, in_bitmap, scramble, ship, table_cut
+from millrace.llm.common import fresh, id_bitmap, in_bitmap, lean, scramble, ship, table_cut
 from millrace.llm.components import components
 
 BINS = 252
@@ -169,7 +169,7 @@ def _near(a: str, b: str, percent: int) -> Column:
 def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """The full shingle sets (s_id, s_n, s_set) of the rows whose id is among ``ids`` (id), and perhaps of some others."""
     # The bitmap only spares making and shuffling sets that no pair needs; joins with the sets are exact.
-    return table_cut(rows.where("d_id is not null").mapInArrow(_set_rows(size, id_bitmap(ids, "id")), "s_id long, s_n long, s_set array<long>, s_fine array<long>"), "sets")
+    return table_cut(rows.where("d_id is not null").mapInArrow(lean(_set_rows(size, id_bitmap(ids, "id"))), "s_id long, s_n long, s_set array<long>, s_fine array<long>"), "sets")
 
 
 def compare_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col("text").cast("string").alias("text"))
-    signed = table_cut(rows.mapInArrow(_signer(size), "doc_id long, n_shingles long, set_hash long, keys array<long>, sketch array<long>"), "signed")
+    signed = table_cut(rows.mapInArrow(lean(_signer(size)), "doc_id long, n_shingles long, set_hash long, keys array<long>, sketch array<long>"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # Only classes of several rows join; of those the largest, of which there are few, reach the rows by broadcast, so that no task gets a whole one.
     classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")).where("m > 1").select(F.col("set_hash").alias("c_hash"), F.col("n_shingles").alias("c_n"), "class_id", "m")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     spread = first.select("id", F.explode("keys").alias("key"))
     stars = spread.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", scramble(F.col("id"))).alias("c_id")).where("m > 1").select(F.col("key").alias("c_key"), "c_id")
     stars = table_cut(stars, "stars")
-    met = first.mapInArrow(_common_keys(id_bitmap(stars, "c_key")), "id long, key long").join(stars, F.col("key") == F.col("c_key")).select("key", "id", "c_id")
+    met = first.mapInArrow(lean(_common_keys(id_bitmap(stars, "c_key"))), "id long, key long").join(stars, F.col("key") == F.col("c_key")).select("key", "id", "c_id")
     met = table_cut(met, "buckets")
     looks = full.select(F.col("doc_id").alias("k_id"), F.col("n_shingles").alias("n"), "sketch")
     sets = _sets_of(rows, met.select("id").distinct(), size)

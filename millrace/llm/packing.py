@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ship, table_cut
+from millrace.llm.common import lean, ship, table_cut
 from millrace.llm.token_files import END_ID, encoded
 
 CAPACITY = 1024
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
     ship(docs.sparkSession)
     group, at = place or (F.lit(None), F.lit(None))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), group.cast("string").alias("p_group"), at.cast("long").alias("p_at"))
-    return rows.mapInArrow(_cutter(vocabulary, end_id, capacity), ", ".join(f"{n} long" for n in _NUMBERS) + ", p_group string, p_at long")
+    return rows.mapInArrow(lean(_cutter(vocabulary, end_id, capacity)), ", ".join(f"{n} long" for n in _NUMBERS) + ", p_group string, p_at long")
 
 
 def file_order(docs: DataFrame, rows: int = 1 << 16) -> tuple[Column, Column] | None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import ship, table_cut
+from millrace.llm.common import lean, ship, table_cut
 from millrace.llm.toxicity import remainder
 
 FIT_ROWS = 20_000  #: labelled rows that are learned from, at most
@@ -239,7 +239,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and the features x of every whole text."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_feature_rows, "doc_id long, x array<double>")
+    return rows.mapInArrow(lean(_feature_rows), "doc_id long, x array<double>")
 
 
 def label_sample(labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -285,4 +285,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for b in batches:
             yield b.filter(pa.array(model.score(features(b.column(at).cast(pa.string()))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import fresh, id_bitmap, in_bitmap, ship, table_cut, tiles
+from millrace.llm.common import fresh, id_bitmap, in_bitmap, lean, ship, table_cut, tiles
 from millrace.llm.components import components
 from millrace.llm.lattice import _forest
 from millrace.llm.near_dup import compare_sets, link_by_stars
@@ -321,22 +321,22 @@ def find_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every paragraph to remove: ``doc_id, print, a, b`` (bytes of the text), its cluster, and the first document with it."""
     ship(docs.sparkSession)
     rows = _texts(docs)
-    counts = rows.select("text").mapInArrow(_key_counts, "key long, n byte")
+    counts = rows.select("text").mapInArrow(lean(_key_counts), "key long, n byte")
     common = table_cut(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("key").alias("k_key")), "common")
     # The bitmap only spares shuffling keys that come once; the join is exact.
-    found = rows.mapInArrow(_occurrences(id_bitmap(common, "k_key", KEY_BITS)), "id long, doc_id long, print long, keys array<long>, starts array<long>, ends array<long>")
+    found = rows.mapInArrow(lean(_occurrences(id_bitmap(common, "k_key", KEY_BITS))), "id long, doc_id long, print long, keys array<long>, starts array<long>, ends array<long>")
     occurrence = table_cut(found, "occurrences")
     keyed = occurrence.select("id", F.explode("keys").alias("key")).distinct().join(common, F.col("key") == F.col("k_key"), "left_semi")
     keyed = table_cut(keyed, "keyed")
     centre = keyed.groupBy("key").agg(F.min("id").alias("c_id"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("c_key"), "c_id", "n")
     met = table_cut(keyed.join(centre, F.col("key") == F.col("c_key")).select("key", "id", "c_id", "n"), "met")
     # The bitmap only spares making sets that no pair needs; the joins with the sets are exact.
-    sets = rows.select("text").mapInArrow(_unit_sets(id_bitmap(met.select("id").distinct(), "id")), "s_id long, s_n long, s_set array<int>")
+    sets = rows.select("text").mapInArrow(lean(_unit_sets(id_bitmap(met.select("id").distinct(), "id"))), "s_id long, s_n long, s_set array<int>")
     sets = table_cut(sets.dropDuplicates(["s_id"]), "sets")
 
     def forest(rows: DataFrame) -> DataFrame:
         held = rows.join(sets.select("s_id", "s_set"), F.col("id") == F.col("s_id")).select("key", "lo", "hi", "chunk", "id", "at", "s_set")
-        return held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_forests(percent), "a long, b long")
+        return held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lean(_forests(percent)), "a long, b long")
 
     links = link_by_stars(met, lambda pairs: compare_sets(pairs, sets, percent), larger=met.where("n > 2"), forest=forest)
     of = components(links).select(F.col("node").alias("f_id"), "component")
