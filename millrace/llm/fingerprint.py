@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in SQL functions only.
 
 A text's paragraphs (its lines, and the sentences of each) are hashed to codes: 44 bits of an MD5 digest
-and 20 bits of check, a quadratic form of the digest, which sums of codes don't keep. The set of codes fills the cells of a sketch: each code is counted and
+and 20 bits of check, a product of two parts of the digest, which sums of codes don't keep. The set of codes fills the cells of a sketch: each code is counted and
 combined by exclusive or in one cell of each of three rows. Two sketches subtract cell by cell, and what
 both have cancels; peeling cells that hold one valid code recovers the codes in which the texts
 differ. If peeling gets stuck, the sketch was too small: the codes are dealt by their bits to as
@@ -54,15 +54,14 @@ def _let(value: str, body) -> str:
 
 
 def _check(digest: str) -> str:
-    """SQL: 20 bits of check for a digest of 44 bits; no product exceeds 46 bits."""
-    a, b = f"({digest} % {_PRIME})", f"({digest} div {_PRIME} % {_PRIME})"
-    return f"(({a} * {a} * 7 + {a} * {b} * 13 + {b} * {b} * 31 + {digest} % 977) & {CHECK})"
+    """SQL: 20 bits of check for a digest of 44 bits, from the product of its two halves, which stays below 46 bits."""
+    return f"({digest} % {_PRIME}) * ({digest} div {_PRIME} + 12345) % {_PRIME}"
 
 
 def codes(text: str) -> str:
     """SQL: the distinct codes of a text's paragraphs."""
     digest = "cast(conv(substring(md5(cast(p AS binary)), 1, 11), 16, 10) AS bigint)"
-    code = _let(digest, lambda d: f"shiftleft({d}, 20) | {_check(d)}")
+    code = _let(digest, lambda d: f"shiftleft({d}, 20) | ({_check(d)})")
     return f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), p -> p <> ''), p -> {code}))"
 
 

@@ -138,8 +138,7 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 
 def _fingerprint_sql() -> str:
     """Codes of paragraphs as sets; the cells of a sketch are counted and combined from the whole set, and likeness is that of sets."""
-    a, b = "(d % 1048573)", "(d // 1048573 % 1048573)"
-    check = f"(({a} * {a} * 7 + {a} * {b} * 13 + {b} * {b} * 31 + d % 977) % 1048576)"
+    check = "((d % 1048573) * (d // 1048573 + 12345) % 1048573)"
     parts = lambda t: f"list_filter(string_split_regex(regexp_replace({t}, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), '\\n+'), lambda p: p <> '')"
     codes = lambda t: f"list_distinct(list_transform(list_transform({parts(t)}, lambda p: ('0x' || md5(p)[1:11])::UBIGINT), lambda d: d * 1048576 + {check}))"
     cell = lambda c: f"CASE WHEN len({c}) = 0 THEN '' ELSE len({c}) || '.' || to_hex(list_reduce({c}, lambda x, y: xor(x, y))) END"
