@@ -1,4 +1,4 @@
-"""The ten operators as driver queries: each applies its operator to its whole table."""
+"""The operators as driver queries: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import fingerprint, html_extract, lattice, mixing, near_dup, packing, quality, substring_dedup, token_files, toxicity
+from millrace.llm import fingerprint, html_extract, lattice, mixing, near_dup, packing, quality, sort_means, spelling, stream_packing, substring_dedup, token_files, toxicity
 from millrace.llm.common import documents
 
 
-def vocabulary() -> str:
-    """The public vocabulary file of the queries; the operators take any path."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file of the queries; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(documents(spark, sf_dir), vocabulary()))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_concatenate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_packing.concatenate(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), keep_ids=False).drop("ids")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_near_dup": op1_lattice_near_dup,
     "op2_quality_gam": op2_quality_gam,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mixing": op8_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_files": op10_token_files,
+    "op11_sort_means": op11_sort_means,
+    "op12_concatenate_cut": op12_concatenate_cut,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
@@ -154,5 +169,49 @@ SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {sho
 """
 
 
+def _means_sql() -> str:
+    """Each round's nearest centroids from all distances, and the floors of the means."""
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = lambda i: f"a{i} AS (SELECT row_id, vec_id, v.v AS v, min(({square}, c.c)) AS best FROM v, c{i} c GROUP BY row_id, vec_id, v.v)"
+    means = lambda i: (
+        f"s{i} AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY p) AS v FROM (SELECT best[2] AS c, p, sum(v[p])::DOUBLE AS s, count(*) AS n FROM a{i}, range(1, 65) t(p) GROUP BY 1, 2) GROUP BY c), "
+        f"c{i + 1} AS (SELECT c.c, coalesce(s{i}.v, c.v) AS v FROM c{i} c LEFT JOIN s{i} ON c.c = s{i}.c)"
+    )
+    rounds = ", ".join(f"{nearest(i)}, {means(i)}" for i in range(5))
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40),
+{rounds}, {nearest(5)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON best[2] = c5.c
+"""
+
+
+def _spelling_sql() -> str:
+    """Runs with their CRC-32 byte by byte; near words by what is left of them without one letter."""
+    step = "list_reduce([x::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda h, z: CASE WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END)"
+    octets = "list_transform(range(1, 2 * octet_length(encode(key)), 2), lambda i: ('0x' || hex(encode(key))[i:i + 1])::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda h, x: xor(h // 256, steps[xor(h, x) % 256 + 1])), 4294967295)"
+    without = "left(word, i - 1)"
+    return f"""
+WITH RECURSIVE table_of AS (SELECT list_transform(range(256), lambda x: {step}) AS steps),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {crc} AS h FROM each, table_of),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, {without} || substr(word, i + 1) AS less, {without} || '*' || substr(word, i + 1) AS hole FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one_way AS (SELECT g.word AS a, w.word AS b FROM gaps g JOIN words w ON g.less = w.word),
+near AS (SELECT a, b FROM one_way UNION SELECT b, a FROM one_way UNION SELECT x.word, y.word FROM gaps x JOIN gaps y ON x.hole = y.hole AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near JOIN words ON b = word GROUP BY a),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best ON w.word = a),
+path(word, reached, depth) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT p.word, f.form, depth + 1 FROM path p JOIN formed f ON p.reached = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, depth) AS root FROM path GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 #: DuckDB SQL for those whose rows SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_lattice_near_dup": _VECTORS_SQL, "op3_iblt_fingerprint": _fingerprint_sql(), "op7_minhash_near_dup": _NEAR_SQL, "op8_pfair_mixing": _mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_lattice_near_dup": _VECTORS_SQL, "op3_iblt_fingerprint": _fingerprint_sql(), "op7_minhash_near_dup": _NEAR_SQL, "op8_pfair_mixing": _mixing_sql(), "op11_sort_means": _means_sql(), "op13_spelling_variants": _spelling_sql()}

@@ -5,7 +5,8 @@ it, so a text is the sequence of its words, each with the space or line end befo
 words have equal ids. Each process asks the tokenizer for a word once and then copies its ids.
 Texts to which that doesn't apply (other or double white space, special tokens) go to the
 tokenizer whole. The same holds before a mark that follows a letter or digit, which spares the
-memo the words with their full stops. A word found by its hash counts only if its bytes are the
+memo the words with their full stops. A BPE of word ends that drops white space and lower-cases never looks beyond a word at all:
+its words are what stands between white space of any kind and number. A word found by its hash counts only if its bytes are the
 stored ones; words of more than EXACT bytes, and those whose hash another word has, are looked up by
 their bytes. So ids are the library's whatever collides.
 """
@@ -38,9 +39,25 @@ _OTHER_WHITE = np.zeros(256, dtype=bool)
 _OTHER_WHITE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 _MAYBE_WHITE = np.zeros(256, dtype=bool)
 _MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: White space that separates words where it is dropped.
+_DROPPED = np.zeros(256, dtype=bool)
+_DROPPED[[9, 10, 11, 12, 13, 32]] = True
+#: The steps before the model by which white space is dropped: fixed values of the public vocabulary of word ends.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _kept: dict[str, WordTokenizer] = {}
 
 
+def _drops_space(spec: dict) -> bool:
+    """Whether a vocabulary file describes a BPE of word ends over words between dropped white space."""
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        spec["model"]["type"] == "BPE" and bool(spec["model"].get("end_of_word_suffix")) and (spec.get("normalizer") or {}).get("normalizers") == _NORMAL and spec.get("post_processor") is None
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": _SPLIT} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+        and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", []))
+    )
+
+
 def tokenizer(path: str) -> WordTokenizer:
     """The process's tokenizer for a vocabulary file."""
     if path not in _kept:
@@ -97,6 +114,8 @@ class WordTokenizer:
             and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and len(line) == 1
         )
         self.line = line[0] if line else -1
+        self.spaceless = _drops_space(spec)
+        self.cuts = _DROPPED if self.spaceless else _CUT
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self._forget()
 
@@ -116,6 +135,10 @@ class WordTokenizer:
         """Ids of words from texts with a word on each line: all ids, each word's place (its line end first) and end."""
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.spaceless:
+            own = self.whole(words)
+            end = np.cumsum([len(x) for x in own])
+            return np.concatenate(own), np.append(0, end[:-1]), end
         sep = "\n" + before
         ids = np.concatenate(self.whole([sep + sep.join(words[i : i + 200]) for i in range(0, len(words), 200)]))
         at = np.flatnonzero(ids == self.line)
@@ -136,7 +159,7 @@ class WordTokenizer:
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(ids)] = ids
-            skip = (kinds[group] != _LINE).astype(np.int64)  # a word after a line end has the line end's id first
+            skip = np.int64(0) if self.spaceless else (kinds[group] != _LINE).astype(np.int64)  # a word after a line end has the line end's id first
             self.starts[number[group]], self.lengths[number[group]] = self.used + at + skip, end - at - skip
             self.used += len(ids)
         self.tags[number], self.again[number] = 0, False
@@ -217,6 +240,8 @@ class WordTokenizer:
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Which documents must go to the library whole."""
+        if self.spaceless:
+            return self._special(data, offsets, np.zeros(len(offsets) - 1, bool))
         bad = _OTHER_WHITE[data]
         bad[1:] |= cut[1:] & cut[:-1]
         bounds = offsets[:-1][np.diff(offsets) > 0]
@@ -229,7 +254,10 @@ class WordTokenizer:
             white |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
             bad[maybe] |= white
         count = np.concatenate([[0], np.cumsum(bad)])
-        out = count[offsets[1:]] > count[offsets[:-1]]
+        return self._special(data, offsets, count[offsets[1:]] > count[offsets[:-1]])
+
+    def _special(self, data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """``out``, and the documents that hold a special token."""
         for special in self.special:
             first = np.concatenate([[0], np.cumsum(data == special[0])])
             for i in np.flatnonzero(first[offsets[1:]] > first[offsets[:-1]]):
@@ -254,8 +282,8 @@ class WordTokenizer:
         count = np.zeros(rows, np.int64)
         if not len(data):
             return np.zeros(0, np.uint32), count
-        cut = _CUT[data]
-        odd = self._odd(data, offsets, cut) if self.by_word else np.diff(offsets) > 0
+        cut = self.cuts[data]
+        odd = self._odd(data, offsets, cut) if self.by_word or self.spaceless else np.diff(offsets) > 0
         inside = ~cut
         if odd.any():
             inside &= ~np.repeat(odd, np.diff(offsets))
@@ -278,6 +306,8 @@ class WordTokenizer:
         last = data[start - 1]
         kind = np.where(last == 10, _LINE, np.where(last == 32, _SPACE, _HEAD))
         kind[start == doc_start] = _HEAD
+        if self.spaceless:
+            kind[:] = _HEAD
         number = self._numbers(data, start, end, kind)
         if number is None:
             return self._pieces(data, offsets, count)
