@@ -4,8 +4,7 @@ A word's mask has a bit for each letter: whether the letter comes an odd number
 one replaced letter two, so of three bands of the mask one at least stays equal: words meet where a band is
 equal, with lengths that differ by one at most. So that a band's bucket doesn't grow with the square of
 the vocabulary, it is split further by what one edit can't touch at once: for words whose shorter one has m letters,
-either the first m // 2 letters or the last m - m // 2 are the same. Pairs that meet are tried by the number of bits
-that differ and then by edit distance 1. No pair of near words is lost, whatever the bucket.
+either the first m // 2 letters or the last m - m // 2 are the same. Pairs that meet are verified by edit distance. No pair of near words is lost, whatever the bucket.
 
 Words are counted within each batch, then within a task, then over the corpus; only distinct words go further.
 
@@ -96,8 +95,12 @@ def _counter(min_chars: int, one_in: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = W.raw(b.column(1))
-            if len(data):
-                yield counted(b.column(0).to_pylist(), data, offsets)
+            ids, row = b.column(0).to_pylist(), 0
+            while row < len(ids):
+                to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + W.BLOCK_BYTES, "right")) - 1)
+                if offsets[to] > offsets[row]:
+                    yield counted(ids[row:to], data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
+                row = to
 
     return rows
 
@@ -132,24 +135,26 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b`` for the pairs of distinct words of ``word, n`` that differ by one inserted, deleted or replaced letter; one row for each pair."""
-    rows = words.mapInArrow(lean(_masked), "word string, n long, " + ", ".join(f"m{i} long" for i in range(BANDS))).withColumn("len", F.length("word"))
-    m = F.col("m")  # letters of the shorter word of a pair
+    """``a, b, n_a, n_b`` for the pairs of distinct words of ``word, n`` that differ by one inserted, deleted or replaced letter; one row for each pair.
 
-    def keys(m: Column) -> list[Column]:
+    A word goes out under the keys of its own length, where it meets equally long words and those with one letter more,
+    and those under the keys of the length below. Of a pair of different lengths two bands are equal, so one of the first two is enough.
+    """
+    rows = words.mapInArrow(lean(_masked), "word string, n long, " + ", ".join(f"m{i} long" for i in range(BANDS)))
+    size = F.length("word")
+
+    def keys(m: Column, bands: int) -> Column:
+        """For a shorter word of ``m`` letters. Hashes of 40 bits: what they bring together by chance falls at the verification."""
         half = F.floor(m / 2).cast("int")
-        sides = (F.substring(F.col("word"), F.lit(1), half), F.col("word").substr(F.col("len") - (m - half) + 1, m - half))
-        return [F.xxhash64(m, F.lit(side), F.lit(i), F.col(f"m{i}"), part) for side, part in enumerate(sides) for i in range(BANDS)]
-
-    own = rows.withColumn("m", F.col("len")).withColumn("key", F.explode(F.array(*keys(m))))
-    longer = rows.withColumn("m", F.col("len") - 1).withColumn("key", F.explode(F.array(*keys(m))))
-    keyed = table_cut(own.unionByName(longer), "keyed")
-    x = keyed.where("len = m").select("key", *(F.col(c).alias(f"x_{c}") for c in ("word", "n", "len", "m0", "m1", "m2")))
-    y = keyed.select(F.col("key").alias("y_key"), *(F.col(c).alias(f"y_{c}") for c in ("word", "n", "len", "m", "m0", "m1", "m2")))
-    turned = sum((F.bit_count(F.col(f"x_m{i}").bitwiseXOR(F.col(f"y_m{i}"))) for i in range(BANDS)), F.lit(0))
-    longer_one = F.col("y_len") == F.col("x_len") + 1
-    fits = (F.col("y_m") == F.col("x_len")) & F.when(longer_one, turned == 1).otherwise((F.col("x_word") < F.col("y_word")) & (turned == 2))
-    pairs = x.join(y, (F.col("key") == F.col("y_key")) & fits).where(F.levenshtein("x_word", "y_word", 1) == 1)
+        sides = (F.substring(F.col("word"), F.lit(1), half), F.col("word").substr(size - (m - half) + 1, m - half))
+        return F.array(*[F.shiftrightunsigned(F.xxhash64(m, F.lit(side), F.lit(i), F.col(f"m{i}"), part), 24) for side, part in enumerate(sides) for i in range(bands)])
+
+    def keyed(name: str, k: Column) -> DataFrame:
+        return rows.select(F.explode(k).alias(f"{name}_key"), F.col("word").alias(f"{name}_word"), F.col("n").alias(f"{name}_n"))
+
+    x, y = keyed("x", keys(size, BANDS)), keyed("y", F.concat(keys(size, BANDS), keys(size - 1, 2)))
+    more = F.length("y_word") - F.length("x_word")
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & ((more == 1) | (more == 0) & (F.col("x_word") < F.col("y_word")))).where(F.levenshtein("x_word", "y_word", 1) == 1)
     return pairs.select(F.col("x_word").alias("a"), F.col("y_word").alias("b"), F.col("x_n").alias("n_a"), F.col("y_n").alias("n_b")).distinct()
 
 
