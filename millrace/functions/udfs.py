@@ -16,38 +16,46 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 
-def _common(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by bits: one step for each element of b."""
+def _common(a: list | str, b: list | str, least: float = 0) -> int:
+    """Length of the longest common subsequence, by bits: one step for each element of b. Ends early, with a smaller number, where ``least`` is out of reach."""
     place: dict = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     v = full
-    for x in b:
+    for j, x in enumerate(b, 1):
         u = v & place.get(x, 0)
         v = (v + u | v - u) & full
+        if not j % 16 and len(a) - v.bit_count() + len(b) - j < least:
+            break
     return len(a) - v.bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
     """100 * twice the common subsequence over both lengths; 100 for two empty texts."""
     n = len(a) + len(b)
-    return 100.0 * 2 * _common(list(a), list(b)) / n if n else 100.0
+    return 100.0 * 2 * _common(a, b) / n if n else 100.0
+
 
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Similarity of token sets: the common tokens against each side, and the sides against each other; the best counts.
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity of token sets: the common tokens against each side, and the sides against each other; the best counts."""
+    Both sides begin with the common tokens, so only what differs is aligned. A score below ``least`` may come out lower.
+    """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
-    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
+    both, left, right = x & y, x - y, y - x
     if both and (not left or not right):
         return 100.0
-    common = " ".join(both)
-    one, two = " ".join([*both, *left]), " ".join([*both, *right])
-    best = indel_ratio(one, two)
-    if both:
-        best = max(best, indel_ratio(common, one), indel_ratio(common, two))
+    size = lambda tokens: sum(map(len, tokens)) + max(0, len(tokens) - 1)
+    common = size(both)
+    space = 1 if both else 0
+    n, m = common + space + size(left), common + space + size(right)
+    best = max(200.0 * common / (common + n), 200.0 * common / (common + m)) if both else 0.0
+    need = max(best, least) * (n + m) / 200.0 - common - space
+    if min(n, m) - common - space >= need:  # the most that the sides can have in common
+        best = max(best, 200.0 * (common + space + _common(" ".join(sorted(left)), " ".join(sorted(right)), need - 1e-6)) / (n + m))
     return best
 
 
@@ -67,8 +75,6 @@ def _on_pairs(score: Callable[[str, str], float]) -> Callable[[ColumnOrName, Col
 token_set_ratio_udf = _on_pairs(token_set_ratio)
 
 
-
-
 def _measure(stem: str) -> int:
     """How often a run of vowels is followed by consonants."""
     kinds = "".join("v" if c in "aeiou" or c == "y" and i and stem[i - 1] not in "aeiou" else "c" for i, c in enumerate(stem))

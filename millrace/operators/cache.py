@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.profiles import Profiles, with_profile
 from millrace.functions.scores import fuzzy_confidence
 from millrace.functions.text import normalize, strip, words
-from millrace.functions.udfs import token_set_ratio_udf
-from millrace.storage import table_cut
+from millrace.functions.udfs import token_set_ratio, token_set_ratio_udf
+from millrace.operators.topk import together
+from millrace.storage import scratch_path, ship, table_cut
+
+#: Texts of a block of queries that goes to the tasks, and their characters.
+BLOCK, BLOCK_CHARS = 2000, 4_000_000
 
 
 def upsert(cache: DataFrame, added: DataFrame) -> DataFrame:
@@ -34,6 +43,32 @@ def normalized_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(normalized_index(cache), F.col("k") == F.col("norm")).select("query_id", F.col("question").alias("matched_key"), "answer", "source")
 
 
+@dataclass(frozen=True)
+class KeyIndex:
+    """A written index of cache keys: ``keys`` (norm, question, answer, source, chars, profile: ordered by chars) and ``tokens`` (norm, token, whole)."""
+
+    keys: DataFrame
+    tokens: DataFrame
+
+
+def key_index(cache: DataFrame, path: str | None = None) -> KeyIndex:
+    """Normalise and profile every key once and write the index to ``path`` (a fresh place in the shared folder if there is none).
+
+    Keys lie in files by length, so that a search reads those of lengths that can be near.
+    """
+    spark = cache.sparkSession
+    path = path or scratch_path(spark, "keys")
+    rows = with_profile(normalized_index(cache), "norm")
+    rows.repartitionByRange("chars", "norm").sortWithinPartitions("chars").write.mode("overwrite").parquet(f"{path}/keys")
+    _token_rows(spark.read.parquet(f"{path}/keys"), "norm").write.mode("overwrite").parquet(f"{path}/tokens")
+    return load_key_index(spark, path)
+
+
+def load_key_index(spark: SparkSession, path: str) -> KeyIndex:
+    """An index that :func:`key_index` has written."""
+    return KeyIndex(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/tokens"))
+
+
 def _token_rows(rows: DataFrame, key: str) -> DataFrame:
     """``key, token, whole``: the distinct tokens of a normalised text, and the length of all of them with a space between."""
     tokens = F.array_distinct(words(F.col(key)))
@@ -47,66 +82,82 @@ def _rare_first(rows: DataFrame, key: str, df: DataFrame, share: float) -> DataF
     return rows.withColumn("before", before).where(F.col("before") <= share * (F.col("whole") + 1)).select(key, "token")
 
 
-def _token_candidates(asked: DataFrame, keys: DataFrame, t: float) -> DataFrame:
-    """Pairs (q, norm) that may reach ``t`` because common tokens make up nearly all of one side.
+def _token_candidates(q: DataFrame, k: DataFrame, t: float) -> DataFrame:
+    """Pairs (q, norm) that may reach ``t`` because common tokens make up nearly all of one side; ``q`` and ``k``: rows of tokens.
 
     The common tokens against a side of length n reach t only if what the side has beyond them is at most 2 (1 - t) / (2 - t) of n:
     so one of its rarest tokens that make up more is common.
     """
     share = 2 * (1 - t) / (2 - t)
-    q, k = _token_rows(asked, "q"), _token_rows(keys, "norm")
     df = k.groupBy("token").agg(F.count("*").alias("df"))
     return _rare_first(q, "q", df, share).join(k.select("norm", "token"), "token").select("q", "norm").unionByName(_rare_first(k, "norm", df, share).join(q.select("q", "token"), "token").select("q", "norm")).distinct()
 
 
-def _piece_candidates(asked: DataFrame, keys: DataFrame, t: float) -> DataFrame:
-    """Pairs (q, norm) that may reach ``t`` by the edit distance of both sides' tokens.
+def _length_blocks(texts: DataFrame) -> Iterator[DataFrame]:
+    """``texts`` (q, chars) in blocks of near lengths, of about BLOCK rows and BLOCK_CHARS characters at most.
 
-    Sides of lengths n and m then differ in at most (1 - t) (n + m) characters, at most c n with c = 2 (1 - t) / t. Cut into more pieces
-    than that, within tokens, one piece stands unchanged within a token of the other side; the rarest c n + 1 pieces do.
+    The driver sees a count for each length. A length with more rows than a block holds is dealt out by a hash.
     """
-    c = 2 * (1 - t) / t
-    width = int(1 / c - 1) if c > 0 else 64
-    q, k = _token_rows(asked, "q"), _token_rows(keys, "norm")
-    near = (F.col("k_whole") * t <= F.col("whole") * (2 - t)) & (F.col("whole") * t <= F.col("k_whole") * (2 - t))
-    if width < 1:  # so low a threshold leaves no whole pieces: lengths alone decide
-        wholes = lambda rows, key, name: rows.groupBy(key).agg(F.max("whole").alias(name))
-        return F.broadcast(wholes(q, "q", "whole")).join(wholes(k, "norm", "k_whole"), near).select("q", "norm")
-    n = F.ceil(F.length("token") / width).cast("int")
-
-    def cut(i: Column) -> Column:
-        first = F.floor(i * F.length("token") / n).cast("int")
-        return F.col("token").substr(first + 1, F.floor((i + 1) * F.length("token") / n).cast("int") - first)
-
-    pieces = q.select("q", "whole", "token", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), cut)).alias("at", "piece"))
-
-    def parts(size: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.length("token") - size + 1), lambda i: F.col("token").substr(i, F.lit(size)))
-        return F.when(F.length("token") >= size, some).otherwise(F.array().cast("array<string>"))
-
-    held = k.select("norm", F.col("whole").alias("k_whole"), F.explode(F.concat(*[parts(size) for size in range(1, width + 1)])).alias("piece")).distinct()
-    df = held.groupBy("piece").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("df", "token", "at"))
-    rare = pieces.join(df, "piece", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", place).where(F.col("place") <= F.floor(c * F.col("whole") + 1e-9) + 1)
-    return rare.where("df > 0").select("q", "whole", "piece").distinct().join(held, "piece").where(near).select("q", "norm").distinct()
-
-
-def fuzzy_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 90.0) -> DataFrame:
+    low, rows = None, 0
+    counts = [(r["chars"], r["n"]) for r in texts.groupBy("chars").agg(F.count("*").alias("n")).orderBy("chars").collect()]
+    most = lambda chars: max(1, min(BLOCK, BLOCK_CHARS // max(1, chars)))
+    for i, (chars, n) in enumerate(counts):
+        low, rows = chars if low is None else low, rows + n
+        if i + 1 == len(counts) or rows + counts[i + 1][1] > most(counts[i + 1][0]):
+            block = texts.where(F.col("chars").between(low, chars))
+            parts = -(-rows // most(chars))
+            for p in range(parts):
+                yield block if parts == 1 else block.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
+            low, rows = None, 0
+
+
+def _near_keys(texts: DataFrame, keys: DataFrame, threshold: float) -> DataFrame | None:
+    """``q, norm, score`` of the pairs that reach the threshold by the edit distance of their token sets.
+
+    A pair's edit distance is no less than the difference of its counts of characters, and a third of that of its counts of neighbouring
+    characters, for token sets in whatever order. So a block of queries goes to the keys of near lengths, and only pairs whose counts
+    allow the threshold are scored.
+    """
+    t = threshold / 100
+    ship(texts.sparkSession)
+    parts = []
+    for block in _length_blocks(texts):
+        found = [r["q"] for r in block.select("q").collect()]  # at most about BLOCK texts of BLOCK_CHARS characters in all
+        if not found:
+            continue
+        profiled = Profiles.of(found)
+        low, high = profiled.chars[0] * t / (2 - t), profiled.chars[-1] * (2 - t) / t if t > 0 else float("inf")
+        near = keys.where(F.col("chars").between(int(low), int(min(high, 2**31 - 2)) + 1)).select("norm", "profile")
+
+        def run(batches: Iterator[pa.RecordBatch], profiled: Profiles = profiled) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, out = b.column(0).to_pylist(), []
+                for norm, raw in zip(names, b.column(1), strict=True):
+                    out += [(profiled.texts[i], norm, s) for i in profiled.near(norm, raw.as_py(), t) if (s := token_set_ratio(profiled.texts[i], norm, threshold)) >= threshold]
+                q, n, s = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.string()), "norm": pa.array(n, pa.string()), "score": pa.array(s, pa.float64())})
+
+        parts.append(near.mapInArrow(run, "q string, norm string, score double"))
+    return together(parts) if parts else None
+
+
+def fuzzy_lookup(queries: DataFrame, cache: DataFrame | KeyIndex, threshold: float = 90.0) -> DataFrame:
     """Each query's best key by token-set similarity of at least ``threshold``, with its score and confidence; ties by the key.
 
-    Exact: the pairs that are scored hold all that can reach the threshold, by common tokens or by unchanged pieces of tokens. Queries with a full
-    score by common tokens need no pieces.
+    Exact: the pairs that are scored hold all that can reach the threshold, by common tokens or by near counts of characters. Queries with a full
+    score by common tokens need no further search.
     """
     asked = table_cut(queries.select("query_id", normalize(F.col("query")).alias("q")), "asked")
-    texts = asked.select("q").distinct()
-    index = table_cut(normalized_index(cache), "keys")
-    norms, t = index.select("norm"), threshold / 100
-    scored = lambda pairs: pairs.withColumn("score", token_set_ratio_udf("q", "norm")).where(F.col("score") >= threshold)
-    first = table_cut(scored(_token_candidates(texts, norms, t)), "scored")
-    rest = texts.join(first.where("score >= 100").select("q").distinct(), "q", "left_anti")
-    pairs = first.unionByName(scored(_piece_candidates(rest, norms, t).join(first, ["q", "norm"], "left_anti")))
+    index = cache if isinstance(cache, KeyIndex) else key_index(cache)
+    texts = table_cut(with_profile(asked.select("q").distinct(), "q").drop("profile"), "texts")
+    pairs = _token_candidates(_token_rows(texts, "q"), index.tokens, threshold / 100)
+    pairs = table_cut(pairs.withColumn("score", token_set_ratio_udf("q", "norm")).where(F.col("score") >= threshold), "scored")
+    rest = texts.join(pairs.where("score >= 100").select("q").distinct(), "q", "left_anti").where("chars > 0")
+    near = _near_keys(rest, index.keys, threshold)
+    if near is not None:
+        pairs = pairs.unionByName(near)  # a pair that comes by both ways has the same score
     # The largest score and then the least key, by partial aggregation.
-    won = pairs.join(index, "norm").groupBy("q").agg(F.min_by(F.struct("question", "answer", "source", "score"), F.struct(-F.round("score", 9), F.col("question"))).alias("k"))
+    won = pairs.join(index.keys.select("norm", "question", "answer", "source"), "norm").groupBy("q").agg(F.min_by(F.struct("question", "answer", "source", "score"), F.struct(-F.round("score", 9), F.col("question"))).alias("k"))
     return asked.join(won, "q").select("query_id", F.col("k.question").alias("matched_key"), "k.answer", "k.source", "k.score", fuzzy_confidence(F.col("k.score"), threshold).alias("confidence"))
 
 

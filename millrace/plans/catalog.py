@@ -116,14 +116,21 @@ _ASKED_TEXTS = "(SELECT doc_id AS query_id, text AS query, lang FROM documents W
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and cache keys: users' turns of even conversations are keys; all users' turns are asked, by conversation as they are, in lower case with a mark, or with their words in reverse."""
+    """Queries and cache keys: users' turns of even conversations are keys; all users' turns are asked, by conversation as they are, in lower case with a mark, or with their words in reverse, of these some without one or two characters."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
-    said = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("conv_id") % 3 == 1, F.concat(F.lower("text"), F.lit(" !"))).otherwise(F.array_join(F.reverse(text.words(F.col("text"))), " "))
+    back = F.array_join(F.reverse(text.words(F.col("text"))), " ")
+    without = lambda x, at: F.concat(F.substring(x, F.lit(1), at - 1), x.substr(at + 1, F.length(x)))
+    place = lambda x, part: F.floor(F.length(x) * part / 12).cast("int") + 1
+    one = without(back, place(back, 5))
+    said = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("conv_id") % 3 == 1, F.concat(F.lower("text"), F.lit(" !"))).when(F.col("conv_id") % 9 == 2, back).when(F.col("conv_id") % 9 == 5, one).otherwise(without(one, place(one, 9)))
     keys = c.where("conv_id % 2 = 0").select(F.col("text").alias("question"), F.concat(F.lit("turn "), F.col("query_id")).alias("answer"), F.concat(F.lit("conv "), F.col("conv_id")).alias("source"), F.col("query_id").alias("ordinal"))
     return c.select("query_id", said.alias("query")), cache.upsert(keys.limit(0), keys)
 
 
-_TURNS = f"""(SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN lower(text) || ' !' ELSE array_to_string(list_reverse({_words('text')}), ' ') END AS query FROM conversations WHERE role = 'user')"""
+_BACK = f"array_to_string(list_reverse({_words('text')}), ' ')"
+_TURNS = f"""(SELECT query_id, CASE WHEN conv_id % 9 = 8 THEN one[1:length(one) * 9 // 12] || one[length(one) * 9 // 12 + 2:] WHEN conv_id % 9 = 5 THEN one ELSE query END AS query
+  FROM (SELECT *, query[1:length(query) * 5 // 12] || query[length(query) * 5 // 12 + 2:] AS one
+  FROM (SELECT conv_id, conv_id * 1000 + turn AS query_id, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN lower(text) || ' !' ELSE {_BACK} END AS query FROM conversations WHERE role = 'user')))"""
 _TURN_KEYS = """(SELECT text AS question, arg_max('turn ' || (conv_id * 1000 + turn), conv_id * 1000 + turn) AS answer, arg_max('conv ' || conv_id, conv_id * 1000 + turn) AS source, max(conv_id * 1000 + turn) AS ordinal
   FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 GROUP BY 1)"""
 
@@ -238,6 +245,24 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.dense(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), v, 20, exclude_self=True))
 
 
+@query(f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({_DENSE_SQL})")
+def dense_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a clustered index written once and loaded."""
+    path = scratch_path(spark, "saved-vectors")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    retrieval.dense_index(v, path)
+    asked = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return _rounded(retrieval.dense_search(asked, retrieval.load_dense_index(spark, path), 20, exclude_self=True))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, count(*) OVER () AS n FROM embeddings WHERE vec_id IS NOT NULL")
+def dense_index_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a dense index are numbered without a gap."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    index = retrieval.dense_index(v)
+    return index.vectors.select("ordinal").crossJoin(F.broadcast(index.clusters.agg(F.sum("n").alias("n"))))  # one row
+
+
 def _encode(c: Column) -> Column:
     return hashed_terms(text.tokenize(c))
 
@@ -363,11 +388,41 @@ def cache_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TURN_INDEX = f"(SELECT {_norm('question')} AS norm, arg_max(question, ordinal) AS question, arg_max(answer, ordinal) AS answer, arg_max(source, ordinal) AS source FROM {_TURN_KEYS} GROUP BY 1)"
-# One token set within the other is a full score; no two turns of the tables come near the threshold otherwise.
+# Scores from the definition: the common tokens against each side, and what differs by its longest common subsequence, a bit for each
+# character of one side in four numbers of 120 bits (more is an error). Where the counts of characters or of neighbours leave a pair below 90, no subsequence is sought.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 ßàáâäçèéêëíîïñóôöùúûü"
+_LESS = f"list_sum(list_transform(string_split('{_LETTERS}', ''), lambda x: least(length(ls) - length(replace(ls, x, '')), length(rs) - length(replace(rs, x, ''))))) + least(length(translate(ls, '{_LETTERS}', '')), length(translate(rs, '{_LETTERS}', '')))"
+_FULL = "1329227995784915872903807060280344576::HUGEINT"  # 2 to the 120th
+
+
+def _lcs_sql() -> str:
+    """``ls`` and ``rs``: for each character of rs, the sum of the bits that aren't matched yet and those that match it carries over from number to number."""
+    limb = lambda j: f"coalesce(list_sum(list_transform(range(120), lambda i: CASE WHEN ls[i + {120 * j + 1}] = x THEN pow(2, i)::HUGEINT ELSE 0::HUGEINT END)), 0)::HUGEINT"
+    at = lambda v, z: f"({v} & {z})"
+    total, new = "0::HUGEINT", []
+    for j in range(1, 5):
+        total = f"(v[{j}] + {at(f'v[{j}]', f'z[{j}]')} + {total if j == 1 else f'{total} // {_FULL}'})"
+        new.append(f"(({total} % {_FULL}) | (v[{j}] - {at(f'v[{j}]', f'z[{j}]')}))")
+    start = ", ".join(f"pow(2, greatest(0, least(120, length(ls) - {120 * j})))::HUGEINT - 1" for j in range(4))
+    within = [f"({x} & (pow(2, greatest(0, least(120, length(ls) - {120 * j})))::HUGEINT - 1))" for j, x in enumerate(new)]
+    steps = f"list_transform(string_split(rs, ''), lambda x: [{', '.join(limb(j) for j in range(4))}])"
+    left = f"list_sum(list_transform(list_reduce(list_prepend([{start}], {steps}), lambda v, z: [{', '.join(within)}]), lambda k: bit_count(k)))"
+    return f"CASE WHEN length(ls) > 480 THEN error('too long') ELSE length(ls) - {left} END"
+
+
+_LCS = _lcs_sql()
 _LOOKED_UP = f"""asked AS (SELECT * FROM {_TURNS}), idx AS (SELECT *, list_distinct({_words('norm')}) AS kt FROM {_TURN_INDEX}), qn AS (SELECT query_id, list_distinct({_words(_norm('query'))}) AS qt FROM asked),
-fz AS (SELECT query_id, arg_min({{'question': question, 'answer': answer, 'source': i.source}}, question) AS k FROM qn JOIN idx i ON len(qt) > 0 AND len(kt) > 0 AND len(list_intersect(qt, kt)) = least(len(qt), len(kt)) GROUP BY 1),
+duo AS (SELECT query_id, question, answer, i.source, list_intersect(qt, kt) AS b, list_sort(list_filter(qt, lambda x: NOT list_contains(kt, x))) AS l, list_sort(list_filter(kt, lambda x: NOT list_contains(qt, x))) AS r FROM qn JOIN idx i ON len(qt) > 0 AND len(kt) > 0),
+sized AS (SELECT *, array_to_string(l, ' ') AS ls, array_to_string(r, ' ') AS rs, length(array_to_string(b, ' ')) AS c, length(array_to_string(list_concat(b, l), ' ')) AS n, length(array_to_string(list_concat(b, r), ' ')) AS m, CASE WHEN len(b) > 0 THEN 1 ELSE 0 END AS s FROM duo),
+cand AS (SELECT row_number() OVER () AS pid, * FROM sized WHERE 200 * (c + s + {_LESS}) >= 90 * (n + m)),
+twos AS (SELECT pid, unnest(list_transform(range(1, length(ls) + 2), lambda i: (' ' || ls || ' ')[i:i + 1])) AS g, 1 AS k FROM cand UNION ALL SELECT pid, unnest(list_transform(range(1, length(rs) + 2), lambda i: (' ' || rs || ' ')[i:i + 1])), -1 FROM cand),
+apart AS (SELECT pid, sum(abs(k)) AS apart FROM (SELECT pid, g, sum(k) AS k FROM twos GROUP BY 1, 2) GROUP BY 1),
+close AS (SELECT query_id, question, answer, source, 200 * (c + s + {_LCS}) / (n + m) AS score FROM cand JOIN apart USING (pid) WHERE apart <= 0.3 * (n + m)),
+scored AS (SELECT query_id, question, answer, source, CASE WHEN s = 1 AND (len(l) = 0 OR len(r) = 0) THEN 100 ELSE greatest(200 * s * c / (c + n), 200 * s * c / (c + m)) END AS score FROM sized UNION ALL SELECT * FROM close),
+fz AS (SELECT query_id, arg_min({{'question': question, 'answer': answer, 'source': source, 'score': score}}, (-round(score, 9), question)) AS k FROM scored WHERE score >= 90 GROUP BY 1),
 looked AS (SELECT a.query_id, CASE WHEN e.answer IS NOT NULL THEN 'exact' WHEN n.answer IS NOT NULL THEN 'normalized' WHEN fz.k IS NOT NULL THEN 'fuzzy' END AS match_type, coalesce(e.question, n.question, fz.k.question) AS matched_key,
-  coalesce(e.answer, n.answer, fz.k.answer) AS answer, coalesce(e.source, n.source, fz.k.source) AS source, CASE WHEN e.answer IS NOT NULL THEN 1.0 WHEN n.answer IS NOT NULL THEN 0.95 WHEN fz.k IS NOT NULL THEN 0.95 ELSE 0 END::DOUBLE AS confidence
+  coalesce(e.answer, n.answer, fz.k.answer) AS answer, coalesce(e.source, n.source, fz.k.source) AS source,
+  CASE WHEN e.answer IS NOT NULL THEN 1.0 WHEN n.answer IS NOT NULL THEN 0.95 WHEN fz.k IS NOT NULL THEN round(0.85 + 0.10 * (least(fz.k.score, 100) - 90) / 10, 3) ELSE 0 END::DOUBLE AS confidence
   FROM asked a LEFT JOIN {_TURN_KEYS} e ON {_strip('query')} = e.question LEFT JOIN {_TURN_INDEX} n ON {_norm('query')} = n.norm LEFT JOIN fz ON a.query_id = fz.query_id)"""
 
 

@@ -45,11 +45,12 @@ def brute_bm25(query, docs, floor=False):
 
 @pytest.mark.parametrize("floor", [False, True])
 def test_saved_index_against_brute_force(spark, tmp_path, monkeypatch, floor):
-    monkeypatch.setattr(retrieval, "SPARSE_BLOCK", 2)  # several blocks of queries
-    docs = corpus()
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 4)  # long lists in several blocks
+    monkeypatch.setattr(retrieval, "BUCKETS", 3)
+    docs = corpus(200)
     retrieval.bm25_index(spark.createDataFrame(docs, "doc_id long, text string, source string"), path=str(tmp_path / "index"))
     index = retrieval.load_index(spark, str(tmp_path / "index"))
-    asked = [("a", "alpha beta"), ("b", "the of the"), ("c", "unknown"), ("d", ""), ("e", "zeta"), ("f", "eps gamma")]
+    asked = [("a", "alpha beta"), ("b", "the of the"), ("c", "unknown"), ("d", ""), ("e", "zeta"), ("f", "eps gamma"), ("g", "the of alpha alpha"), ("h", "the"), ("i", "beta the of eps zeta gamma")]
     hits = retrieval.bm25_search(index, spark.createDataFrame(asked, "query_id string, query string"), 7, "okapi_floor" if floor else "documented")
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
@@ -77,6 +78,70 @@ def test_the_rank_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_dense_index_is_exact_and_skips(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "DENSE_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "ORDINAL_ROWS", 50)
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 3) for _ in range(6)] for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in centres[i % 8]]) for i in range(400)] + [(400, None), (401, [1.0]), (402, [float("nan")] * 6), (403, [0.0] * 6)]
+    rows += [(500 + i, rows[i][1]) for i in range(20)]  # ties
+    v = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    retrieval.dense_index(v, str(tmp_path / "dense"), clusters=8)
+    index, report = retrieval.load_dense_index(spark, str(tmp_path / "dense")), {}
+    q = v.where("doc_id % 40 = 3").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    got, want = retrieval.dense_search(q, index, 7, True, report), retrieval.dense(q, v.where("doc_id <> 402"), 7, True)
+    rows_of = lambda d: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in d.collect())
+    assert rows_of(got) == rows_of(want) and report["skipped"] > 0.5
+    assert sorted(r.ordinal for r in index.vectors.select("ordinal").collect()) == list(range(421))
+    plan = index.vectors.where(F.col("cluster").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cluster" in plan
+    assert retrieval.dense_search(q.limit(0), index).count() == 0
+    empty = retrieval.dense_index(v.limit(0))
+    assert retrieval.dense_search(q, empty).count() == 0
+
+
+def test_sparse_search_reads_asked_folders_only(spark):
+    docs = corpus(300)
+    index = retrieval.bm25_index(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    asked = spark.createDataFrame([("a", "alpha"), ("b", "alpha zeta")], "query_id string, query string")
+    seen = []
+    real = retrieval._bounds
+    retrieval._bounds = lambda blocks, *rest: seen.append(blocks._jdf.queryExecution().executedPlan().toString()) or real(blocks, *rest)
+    try:
+        assert retrieval.bm25_search(index, asked, 3).count() == 6
+    finally:
+        retrieval._bounds = real
+    assert "PartitionFilters: [bucket" in seen[0] and "bucket#" in seen[0]
+
+
+def test_common_words_are_looked_up_and_not_read(spark, monkeypatch):
+    """A rare word decides; the word that all texts have is no essential list."""
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 16)
+    rng = random.Random(5)
+    docs = [(i, "the " * rng.randint(1, 4) + ("rare " * (1 + i % 3) if i % 9 == 0 else "other ") + " ".join(rng.choice(WORDS[:5]) for _ in range(4)), "s") for i in range(400)]
+    index = retrieval.bm25_index(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    asked = spark.createDataFrame([("a", "the rare")], "query_id string, query string")
+    weights = retrieval._idf(index, spark.createDataFrame([("a", "the", 1), ("a", "rare", 1)], "query_id string, token string, times long"), "documented")
+    bounded = {r.token: r.essential for r in retrieval._bounds(index.blocks.where(F.col("token").isin("the", "rare")), weights, 5).collect()}
+    assert bounded == {"the": False, "rare": True}
+    hits = retrieval.bm25_search(index, asked, 5).orderBy("rank").collect()
+    texts = {i: t.split() for i, t, _ in docs}
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    score = lambda t: sum(math.log((n - d + 0.5) / (d + 0.5) + 1) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w, d in ((w, sum(w in x for x in texts.values())) for w in ("the", "rare")) if w in t)
+    want = sorted(((-round(score(t), 9), i) for i, t in texts.items()))[:5]
+    assert [(-round(r.score, 9), r.doc_id) for r in hits] == want
+
+
+def test_key_index_is_searched_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "BLOCK", 2)  # several blocks of queries of near lengths
+    keys = spark.createDataFrame([(k, f"a{i}", "s", i) for i, k in enumerate(["how to configure the radio network", "configure radio", "mobility management entity", "mobility managment entities here"])], "question string, answer string, source string, ordinal long")
+    cache.key_index(keys, str(tmp_path / "keys"))
+    asked = spark.createDataFrame([(1, "how to configur the radio network"), (2, "mobility managemnt entity"), (3, "entity mobility management"), (4, "nothing"), (5, "mobility managementt entity"), (6, "")], "query_id long, query string")
+    got = {r.query_id: r for r in cache.fuzzy_lookup(asked, cache.load_key_index(spark, str(tmp_path / "keys"))).collect()}
+    assert got[1].matched_key == "how to configure the radio network" and 90 <= got[1].score < 100 and got[3].score == 100 and set(got) == {1, 2, 3, 5}
+    assert {r.query_id: r.score for r in cache.fuzzy_lookup(asked, keys).collect()} == {k: r.score for k, r in got.items()}
+
+
 def test_fuzzy_lookup_is_exact(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdeg") for _ in range(rng.randint(1, 9))) for _ in range(14)]
