@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -224,14 +224,63 @@ def greedy_match_f1(a: np.ndarray, b: np.ndarray) -> float:
     return float(2 * p * r / (p + r)) if p + r > 0 else 0.0
 
 
-def token_match_f1(prediction: str, reference: str) -> float:
-    """Greedy token matching with hashed character trigrams as token vectors: the offline stand-in for a model's."""
+TokenVectors = Callable[[list[str]], Sequence[np.ndarray]]
+#: Pairs whose vectors are multiplied at once.
+_MATCH_BLOCK = 32
 
-    def vectors(text: str) -> np.ndarray:
-        tokens = (text or " ").lower().split()
-        return np.stack([hashed_vector(" ".join(f"^{t}$"[i : i + 3] for i in range(len(t))), 128) for t in tokens]) if tokens else np.zeros((0, 128))
 
-    return greedy_match_f1(vectors(prediction), vectors(reference))
+def greedy_match_block(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> np.ndarray:
+    """:func:`greedy_match_f1` of many pairs: one product of padded matrices for each block of pairs of near sizes."""
+    out = np.zeros(len(left))
+    size = np.array([len(a) * len(b) for a, b in zip(left, right, strict=True)])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
 
+    def padded(which: np.ndarray, of: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(of[i]) for i in which])
+        m = np.zeros((len(which), n.max(), of[which[0]].shape[1]))
+        for k, i in enumerate(which):
+            m[k, : n[k]] = of[i]
+        return m / np.maximum(np.linalg.norm(m, axis=2, keepdims=True), 1e-12), n
 
-token_match_f1_udf = _on_pairs(token_match_f1)
+    for i in range(0, len(order), _MATCH_BLOCK):
+        which = order[i : i + _MATCH_BLOCK]
+        (a, n), (b, m) = padded(which, left), padded(which, right)
+        s = a @ b.transpose(0, 2, 1)
+        real = (np.arange(a.shape[1])[None, :, None] < n[:, None, None]) & (np.arange(b.shape[1])[None, None, :] < m[:, None, None])
+        s = np.where(real, s, -np.inf)
+        best = lambda x, axis, count: np.where(np.isfinite(x.max(axis)), x.max(axis), 0.0).sum(1) / count
+        p, r = best(s, 2, n), best(s, 1, m)
+        out[which] = np.where(p + r > 0, 2 * p * r / np.where(p + r > 0, p + r, 1.0), 0.0)
+    return out
+
+
+def trigram_vectors(texts: list[str]) -> list[np.ndarray]:
+    """Hashed character trigrams of each token: the offline stand-in for a model's token vectors."""
+    place: dict[str, np.ndarray] = {}
+
+    def vector(t: str) -> np.ndarray:
+        if t not in place:
+            place[t] = hashed_vector(" ".join(f"^{t}$"[i : i + 3] for i in range(len(t))), 128)
+        return place[t]
+
+    split = [(t or " ").lower().split() for t in texts]
+    return [np.stack([vector(t) for t in tokens]) if tokens else np.zeros((0, 128)) for tokens in split]
+
+
+def token_match(provider: TokenVectors = trigram_vectors) -> Callable[[ColumnOrName, ColumnOrName], Column]:
+    """A column of F1 scores by greedy matching of token vectors; ``provider`` gets each distinct text of a batch once and gives a matrix for each, a row for a token."""
+
+    def apply(prediction: ColumnOrName, reference: ColumnOrName) -> Column:
+        @F.pandas_udf("double")
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            texts = list(dict.fromkeys([*x.fillna(""), *y.fillna("")]))
+            found = dict(zip(texts, provider(texts), strict=True))
+            return pd.Series(greedy_match_block([found[t] for t in x.fillna("")], [found[t] for t in y.fillna("")]), dtype=float)
+
+        return run(prediction, reference)
+
+    return apply
+
+
+token_match_f1_udf = token_match()

@@ -7,11 +7,15 @@ settled; the graph meets the next round through a table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bind, words
-from millrace.storage import table_cut
+from millrace.storage import ship, table_cut
 
 THRESHOLD = 0.85
 SHINGLE = 5
@@ -28,9 +32,38 @@ def shingle_set(text: Column, size: int = SHINGLE) -> Column:
     return bind(words(F.lower(text)), lambda w: F.array_distinct(F.when(F.size(w) >= size, runs(w)).otherwise(F.array(F.lower(text)))))
 
 
-def minhash(shingles: Column, permutations: int = PERMUTATIONS) -> Column:
-    """The least hash of a set under each seed."""
-    return bind(shingles, lambda all_of: F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(all_of, lambda x: F.xxhash64(s, x)))))
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of hashes for each seed: two rounds of multiplying and shifting."""
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(29))
+
+
+def _signatures(lists: pa.Array, permutations: int) -> np.ndarray:
+    """The least hash of each list under each seed, by list and seed; lists aren't empty."""
+    h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.concatenate([[0], ends[:-1]])
+    return np.stack([np.minimum.reduceat(_mixed(h, s), starts) for s in range(1, permutations + 1)], axis=1)
+
+
+def signatures(docs: DataFrame, key: str, text: str, permutations: int = PERMUTATIONS) -> DataFrame:
+    """``id, sig``: for each text the least hash of its shingles under each seed, all seeds in one pass over the hashes; null texts have none."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sig = _signatures(part.column(1), permutations).view(np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * permutations, pa.int32()), pa.array(sig.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["id", "sig"])
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.transform(shingle_set(F.col(text)), lambda x: F.xxhash64(x)).alias("s"))
+    return rows.mapInArrow(run, f"id {kind}, sig array<long>")
 
 
 def minhash_candidates(docs: DataFrame, key: str, text: str, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
@@ -40,25 +73,27 @@ def minhash_candidates(docs: DataFrame, key: str, text: str, permutations: int =
     square. ``centre`` is the bucket's least id. Each bucket is one band of the signature.
     """
     rows = permutations // bands
-    signed = docs.select(F.col(key).alias("id"), minhash(shingle_set(F.col(text)), permutations).alias("sig"))
+    signed = signatures(docs, key, text, permutations)
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.array_join(F.transform(F.slice(F.col("sig"), b * rows + 1, rows), lambda x: x.cast("string")), ",")))
     keyed = cut(signed.select("id", F.explode(band).alias("bucket")).distinct())
     centre = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
     return keyed.join(centre, "bucket").select("bucket", "id", "centre")
 
 
-def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """``a, b, jaccard`` of all pairs a < b with a similarity of at least ``threshold``; exact.
+def jaccard_classes(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Texts with equal shingles as classes, and the pairs of classes with a similarity of at least ``threshold``; exact.
 
+    The classes: ``rep, id``, a row for each text, of which ``rep`` is the least id of its class. The pairs: ``a, b, jaccard`` with a < b, of reps. All
+    texts of two classes are as similar as their reps, and those of one class are equal, so nothing is lost and no pair of ids is spelled out.
     By prefixes: a pair of that similarity shares one of each side's first n - ceil(t * n) + 1 shingles
-    in a global order from rare to common, so only those are joined. Equal texts are joined once and
-    spread afterwards.
+    in a global order from rare to common, so only those are joined. A null text is in no class.
     """
-    sets = docs.select(F.col(key).alias("id"), F.transform(shingle_set(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
+    sets = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.transform(shingle_set(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
     sets = sets.select("id", F.array_sort(F.array_distinct("s")).alias("s")).withColumn("k", F.xxhash64("s"))
-    # Texts with equal sets are one class, named by its least id; the sets meet the joins below through a table.
-    named = cut(sets.groupBy("k").agg(F.min("id").alias("rep"), F.first("s").alias("s"), F.collect_list("id").alias("ids")))
-    same = named.select("rep", "s", "ids")
+    sets = cut(sets)
+    # The sets meet the joins below through a table.
+    named = cut(sets.groupBy("k").agg(F.min("id").alias("rep"), F.first("s").alias("s")))
+    members = sets.select("id", F.col("k").alias("m_k")).join(named.select("k", "rep"), F.col("m_k") == F.col("k")).select("rep", "id")
     tokens = named.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
     df = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select(F.col("h").alias("d_h"), "df")
     # Shingles of one text only come first in the order and join nothing: their number moves the prefix.
@@ -68,13 +103,10 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRES
     left, right = (prefix.select(F.col("rep").alias(f"{p}_rep"), F.col("n").alias(f"{p}_n"), F.col("h").alias(f"{p}_h")) for p in "lr")
     close = (F.col("l_h") == F.col("r_h")) & (F.col("l_rep") < F.col("r_rep")) & (F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n"))
     pairs = left.join(right, close).select("l_rep", "r_rep").distinct()
-    one, two = (same.select(F.col("rep").alias(f"{p}_id"), F.col("s").alias(f"{p}_s"), F.col("ids").alias(f"{p}_ids")) for p in "lr")
+    one, two = (named.select(F.col("rep").alias(f"{p}_id"), F.col("s").alias(f"{p}_s")) for p in "lr")
     both = F.size(F.array_intersect("l_s", "r_s"))
     found = pairs.join(one, F.col("l_rep") == F.col("l_id")).join(two, F.col("r_rep") == F.col("r_id")).withColumn("jaccard", both / (F.size("l_s") + F.size("r_s") - both)).where(F.col("jaccard") >= threshold)
-    across = found.select(F.explode("l_ids").alias("x"), "r_ids", "jaccard").select("x", F.explode("r_ids").alias("y"), "jaccard")
-    within = same.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("jaccard")).where("x < y")
-    every = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
-    return every.unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard"))
+    return members, found.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b"), "jaccard")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -91,6 +123,11 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``kept``; by row id and never by text."""
-    verdict = greedy(jaccard_pairs(docs, key, text, threshold)).select(F.col("id").alias("v_id"), F.col("kept").alias("v_kept"))
-    return docs.join(verdict, F.col(key) == F.col("v_id"), "left").withColumn("kept", F.coalesce("v_kept", F.lit(True))).drop("v_id", "v_kept")
+    """``docs`` with ``kept``; by row id and never by text.
+
+    Of a class of equal texts the one with the least id is decided on in the graph of classes: if it stays, the others go because of it, and if it goes, they go
+    because of the same earlier text.
+    """
+    members, pairs = jaccard_classes(docs, key, text, threshold)
+    lost = greedy(pairs).where("not kept").select("id").unionByName(members.where("rep <> id").select("id")).distinct().select(F.col("id").alias("v_id"))
+    return docs.join(lost, F.col(key) == F.col("v_id"), "left").withColumn("kept", F.col("v_id").isNull()).drop("v_id")

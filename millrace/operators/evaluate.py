@@ -15,8 +15,9 @@ from millrace.operators.cascade import Tier, route
 from millrace.operators.providers import Backend, generate
 from millrace.operators.sampling import not_yet_done
 from millrace.operators.validate import grounding, kb_gate, usable_pairs, utility, utility_reasons
+from millrace.sources import ledger
 from millrace.sources.sinks import write_lines
-from millrace.storage import table_cut
+from millrace.storage import scratch_path, table_cut
 
 PAIR = "array<struct<question: string, answer: string>>"
 EXCERPT_CHARS = 2000
@@ -86,7 +87,7 @@ def excerpt_prompt(chunk: Column) -> Column:
     return F.concat(F.lit("Write question and answer pairs about this excerpt as a JSON array of objects with question and answer:\n"), F.substring(chunk, 1, EXCERPT_CHARS))
 
 
-def generate_pairs(chunks: DataFrame, backends: Sequence[Backend], calls_a_minute: int | None = None, tasks: int = 1) -> DataFrame:
+def generate_pairs(chunks: DataFrame, backends: Sequence[Backend], calls_a_minute: int | None = None, tasks: int | None = None) -> DataFrame:
     """Checked candidates from chunks (chunk_id, source, chunk): a row for each pair that a model gives, with the tokens that its chunk took.
 
     An answer that can't be read is asked for again; an empty array says that there is nothing. Ids count every emitted pair of a chunk.
@@ -96,16 +97,46 @@ def generate_pairs(chunks: DataFrame, backends: Sequence[Backend], calls_a_minut
     return check_pairs(asked)
 
 
+CANDIDATE = "id string, source_chunk_id string, source string, question string, answer string, answer_in_chunk boolean, grounding_score double, utility_score double, reject_reasons array<string>, gate string, tokens_used int, run_started_at string"
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`generate_in_batches` has committed to ``path``, each pair once."""
+    return ledger.read_table(spark, path, "pairs", CANDIDATE).drop("batch", "attempt")
+
+
+def asked_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """``chunk_id`` of the chunks that have an answer in a committed batch, those that gave no pair too."""
+    return ledger.read_table(spark, path, "asked", "chunk_id string").select("chunk_id")
+
+
 def generate_in_batches(chunks: DataFrame, backends: Sequence[Backend], path: str, batches: int, run: str, done: DataFrame | None = None) -> int:
-    """Generate candidates for the chunks that aren't done (``done``: source_chunk_id) and append them to ``path`` batch by batch, so that what is written
-    stays if a later batch fails. Ends before the next batch once a quota is exhausted. The number of batches written."""
+    """Generate candidates for the chunks (chunk_id, source, chunk) that aren't done and add them to ``path`` batch by batch; the number of batches written.
+
+    Done are chunks of ``done`` (source_chunk_id) and those that a committed batch has an answer for. A batch counts once its record stands, after all its rows: one that fails
+    half-way leaves nothing that is read, and its chunks are asked again. Chunks are dealt to batches once, so each batch reads its own. Ends
+    before the next batch once a quota is exhausted.
+    """
+    spark = chunks.sparkSession
+    chunks = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "source", "chunk")
     if done is not None:
         chunks = not_yet_done(chunks, done, "chunk_id", "source_chunk_id")
+    chunks = not_yet_done(chunks, asked_chunks(spark, path), "chunk_id", "chunk_id")
+    place = scratch_path(spark, "dealt")
+    chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(batches)).cast("int")).write.partitionBy("part").parquet(place)
+    dealt = spark.read.schema("chunk_id string, source string, chunk string, part int").parquet(place)
     made = generate(excerpt_prompt(F.col("chunk")), backends, readable=True)
     for k in range(batches):
-        part = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == k)
-        asked = table_cut(part.select("chunk_id", "source", "chunk", made.alias("made")), "made")
-        write_lines(check_pairs(asked).withColumn("run_started_at", F.lit(run)), path, append=True)
+        asked = table_cut(dealt.where(F.col("part") == k).select("chunk_id", "source", "chunk", made.alias("made")), "made")
+
+        def write(suffix: str, asked: DataFrame = asked) -> tuple[int, int]:
+            answered = asked.where(F.col("made.answer").isNotNull()).select("chunk_id")
+            pairs = check_pairs(asked).withColumn("run_started_at", F.lit(run))
+            write_lines(answered, f"{path}/asked/{suffix}")
+            write_lines(pairs, f"{path}/pairs/{suffix}")
+            return pairs.count(), answered.count()
+
+        ledger.write_batch(spark, path, write, run)
         if not asked.where(F.array_contains("made.failures", "quota")).isEmpty():
             return k + 1
     return batches

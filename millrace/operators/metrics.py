@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import TIERS
 from millrace.functions.scores import percent
+from millrace.operators.ranks import percentiles
+from millrace.storage import table_cut
+
+
+def _four(c: Column, name: str) -> Column:
+    return F.coalesce(F.round(c, 4), F.lit(0.0)).alias(name)
+
+
+def _with_percentiles(rows: DataFrame, keys: Sequence[str], out: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """``out`` (one row for each group) with exact percentiles of a value, null where a group has none."""
+    found = percentiles(rows, keys, value, list(shares.values()))
+    found = found.select(*[F.col(k).alias(f"j_{i}") for i, k in enumerate(keys)], *[F.col(f"p{i}").alias(name) for i, name in enumerate(shares)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"j_{i}"))
+    return out.join(found, same, "left").drop(*[f"j_{i}" for i in range(len(keys))])
 
 
-def quality(rouge: Column, match: Column) -> list[Column]:
-    """Mean and median of both scores to four digits, 0 for no rows."""
-    four = lambda c, name: F.coalesce(F.round(c, 4), F.lit(0.0)).alias(name)
-    return [four(F.avg(rouge), "rouge_l_mean"), four(F.median(rouge), "rouge_l_median"), four(F.avg(match), "match_mean"), four(F.median(match), "match_median")]
+LATENCY = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
-def latency(seconds: Column) -> list[Column]:
-    """Percentiles with linear interpolation, mean and bounds, in seconds to four digits; 0 for no rows."""
-    four = lambda c, name: F.coalesce(F.round(c, 4), F.lit(0.0)).alias(name)
-    p = [four(F.percentile(seconds, q), f"p{int(q * 100)}") for q in (0.50, 0.95, 0.99)]
-    return [*p, four(F.avg(seconds), "latency_mean"), four(F.min(seconds), "latency_min"), four(F.max(seconds), "latency_max")]
+def latency(rows: DataFrame, seconds: str, *keys: str) -> DataFrame:
+    """``keys ..`` with percentiles (linear interpolation), mean and bounds, in seconds to four digits; 0 for no rows."""
+    out = rows.groupBy(*keys).agg(F.avg(seconds).alias("latency_mean"), F.min(seconds).alias("latency_min"), F.max(seconds).alias("latency_max"))
+    out = _with_percentiles(rows, keys, out, seconds, LATENCY)
+    return out.select(*keys, *[_four(F.col(c), c) for c in (*LATENCY, "latency_mean", "latency_min", "latency_max")])
 
 
 def tier_distribution(rows: DataFrame, column: str = "answered_by") -> DataFrame:
@@ -33,9 +48,16 @@ def tier_distribution(rows: DataFrame, column: str = "answered_by") -> DataFrame
 
 
 def evaluation(rows: DataFrame) -> DataFrame:
-    """Quality and latency of all rows (tier 'overall') and of each tier that occurs, in one pass."""
-    out = rows.rollup("answered_by").agg(*quality(F.col("rouge_l"), F.col("match_f1")), *latency(F.col("latency_sec")), F.count("*").alias("n"), F.grouping("answered_by").alias("whole"))
-    return out.withColumn("tier", F.when(F.col("whole") == 1, "overall").otherwise(F.col("answered_by"))).drop("answered_by", "whole")
+    """Quality and latency of all rows (tier 'overall') and of each tier that occurs; means and medians of both scores to four digits."""
+    rows = table_cut(rows.select(F.explode(F.array(F.lit("overall"), "answered_by")).alias("tier"), "rouge_l", "match_f1", "latency_sec"), "facts")
+    means = [F.avg("rouge_l").alias("rouge_l_mean"), F.avg("match_f1").alias("match_mean"), F.avg("latency_sec").alias("latency_mean"), F.min("latency_sec").alias("latency_min"), F.max("latency_sec").alias("latency_max")]
+    overall = rows.sparkSession.createDataFrame([("overall",)], "tier string")  # is there without any row too
+    out = overall.join(rows.groupBy("tier").agg(*means, F.count("*").alias("n")), "tier", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = _with_percentiles(rows, ["tier"], out, "rouge_l", {"rouge_l_median": 0.5})
+    out = _with_percentiles(rows, ["tier"], out, "match_f1", {"match_median": 0.5})
+    out = _with_percentiles(rows, ["tier"], out, "latency_sec", LATENCY)
+    four = ("rouge_l_mean", "rouge_l_median", "match_mean", "match_median", *LATENCY, "latency_mean", "latency_min", "latency_max")
+    return out.select("tier", *[_four(F.col(c), c) for c in four], "n")
 
 
 def backend_distribution(rows: DataFrame) -> DataFrame:

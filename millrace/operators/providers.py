@@ -12,10 +12,10 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 Generator = Callable[[str], str]
@@ -140,25 +140,46 @@ class SlidingLimit:
         self.log.append(now)
 
 
-def generate(prompt: Column, backends: Sequence[Backend], calls_a_minute: int | None = None, readable: bool = False, tasks: int = 1) -> Column:
+def share_of(calls_a_minute: int, tasks: int) -> SlidingLimit:
+    """The limit of one of ``tasks`` tasks, which together make at most ``calls_a_minute``: whole calls a minute, or one in several minutes."""
+    each = calls_a_minute // tasks
+    return SlidingLimit(each) if each else SlidingLimit(1, 60.0 * tasks / calls_a_minute)
+
+
+def limited(backends: Sequence[Backend], limit: SlidingLimit) -> list[Backend]:
+    """The backends, each call of which waits for its turn; retries and further backends count as calls."""
+
+    def after(call: Generator) -> Generator:
+        def run(prompt: str) -> str:
+            limit.wait()
+            return call(prompt)
+
+        return run
+
+    return [replace(b, generate=after(b.generate)) for b in backends]
+
+
+def generate(prompt: Column, backends: Sequence[Backend], calls_a_minute: int | None = None, readable: bool = False, tasks: int | None = None) -> Column:
     """A struct RESULT for each prompt, by batches; not deterministic, so no filter moves below it and it isn't run twice.
 
-    ``calls_a_minute`` is the whole job's: each of the ``tasks`` that run at once has its share. ``readable``: answers must hold a JSON array,
+    ``calls_a_minute`` is the whole job's, over every call of every backend: each of the ``tasks`` that run at once has its share, be it less than one call a minute.
+    Without ``tasks`` they are as many as the session has cores. ``readable``: answers must hold a JSON array,
     or the backend is asked again. When a quota is exhausted, a task asks nothing more: the rest has the failure "quota" and stays to be done.
     """
 
+    if calls_a_minute and tasks is None:
+        tasks = SparkSession.active().sparkContext.defaultParallelism
+
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        limit = SlidingLimit(max(1, calls_a_minute // tasks)) if calls_a_minute else None
+        asked = limited(backends, share_of(calls_a_minute, tasks)) if calls_a_minute else backends
         spent = {"backend": None, "answer": None, "tokens_used": 0, "retry_count": 0, "failures": ["quota"]}
         over = False
         for prompts in batches:
             rows = []
             for p in prompts:
-                if limit and not over:
-                    limit.wait()
                 try:
-                    rows.append(spent if over else (until_readable if readable else run_chain)(backends, p or ""))
+                    rows.append(spent if over else (until_readable if readable else run_chain)(asked, p or ""))
                 except QuotaExhausted:
                     over = True
                     rows.append(spent)

@@ -527,7 +527,7 @@ def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_type, {_LATENCY} FROM (SELECT event_type, value AS latency_sec FROM events) GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.latency(F.col("value")))
+    return metrics.latency(table(spark, sf_dir, "events"), "value", "event_type")
 
 
 @query(f"SELECT backend, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct, sum(count(*)) OVER ()::BIGINT AS n_llm_calls FROM {_LOG} WHERE backend IS NOT NULL GROUP BY backend")
@@ -574,9 +574,16 @@ e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
 near AS (SELECT a, b, i / (na + nb - i) AS jaccard FROM (SELECT l.doc_id AS a, r.doc_id AS b, any_value(l.n) AS na, any_value(r.n) AS nb, count(*) AS i FROM e l JOIN e r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2) WHERE i / (na + nb - i) >= 0.85)"""
 
 
-@query(f"WITH {_SHINGLES} SELECT a, b, round(jaccard, 6) AS jaccard FROM near")
+@query(
+    f"""WITH {_SHINGLES}, class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sh JOIN documents USING (doc_id) WHERE text IS NOT NULL)
+SELECT 'pair' AS kind, a, b, round(jaccard, 6) AS jaccard FROM near WHERE a IN (SELECT rep FROM class) AND b IN (SELECT rep FROM class)
+UNION ALL SELECT 'member', rep, doc_id, 1.0 FROM class"""
+)
 def shingle_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.jaccard_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of classes of equal texts, named by their least ids, and who is in each class."""
+    members, pairs = dedup.jaccard_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = pairs.select(F.lit("pair").alias("kind"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return rows.unionByName(members.select(F.lit("member").alias("kind"), F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 @query()
@@ -712,6 +719,16 @@ def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.within_budget(rows, "used", 1000, "turn", by=["conv_id"]).select("conv_id", "turn")
 
 
+@query(
+    """SELECT doc_id FROM (SELECT *, max(stop) OVER (ORDER BY doc_id) AS stopped FROM (SELECT *, CASE WHEN i > 0 AND b + b / i > 1000000 THEN 1 ELSE 0 END AS stop FROM
+  (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents))) WHERE stopped = 0"""
+)
+def global_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One budget for all rows in order."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("used"))
+    return sampling.within_budget(rows, "used", 1_000_000, "doc_id").select("doc_id")
+
+
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(rouge_l_udf("answer", "question"), 6).alias("rouge_l"), F.round(token_match_f1_udf("answer", "question"), 6).alias("match_f1"))

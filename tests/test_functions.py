@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import scores, text
-from millrace.functions.udfs import greedy_match_f1, indel_ratio, rouge_l, stem, token_set_ratio
+from millrace.functions import scores, text, udfs
+from millrace.functions.udfs import greedy_match_block, greedy_match_f1, indel_ratio, rouge_l, stem, token_set_ratio
 from millrace.operators.chunking import chunk_text
 from millrace.operators.providers import Backend, RateLimited, SlidingLimit, chain_of, run_chain
 
@@ -113,3 +114,30 @@ def test_sliding_limit():
     for _ in range(3):
         limit.wait()
     assert slept == [60.0]
+
+
+def test_token_vectors_of_a_provider(spark):
+    rng = np.random.default_rng(3)
+    left = [rng.normal(size=(n, 5)) for n in (0, 1, 3, 40, 2, 7, 7)]
+    right = [rng.normal(size=(n, 5)) for n in (4, 1, 0, 3, 90, 7, 6)]
+    left += [np.zeros((2, 5)), -left[1]]
+    right += [rng.normal(size=(3, 5)), left[1]]
+    want = [greedy_match_f1(a, b) for a, b in zip(left, right, strict=True)]
+    assert greedy_match_block(left, right).tolist() == pytest.approx(want, abs=1e-12)
+    monkey = udfs._MATCH_BLOCK
+    udfs._MATCH_BLOCK = 2
+    try:
+        assert greedy_match_block(left, right).tolist() == pytest.approx(want, abs=1e-12)
+    finally:
+        udfs._MATCH_BLOCK = monkey
+
+    def letters(texts):
+        if len(set(texts)) != len(texts):
+            raise ValueError("a text came twice")
+        return [np.array([[t.count("a"), t.count("b"), 1.0] for t in x.split()]).reshape(-1, 3) for x in texts]
+
+    rows = spark.createDataFrame([("aa b", "aa b"), ("aa b", "ba"), (None, "a"), ("", "")], "p string, r string").coalesce(1)
+    got = [r.s for r in rows.select(udfs.token_match(letters)("p", "r").alias("s")).collect()]
+    assert got == pytest.approx([greedy_match_f1(*letters([p])[:1], *letters([r])[:1]) for p, r in (("aa b", "aa b"), ("aa b", "ba"), ("", "a"), ("", ""))])
+    stand_in = [greedy_match_f1(*udfs.trigram_vectors([a, b])) for a, b in (("the cat sat", "the cats sat down"),)]
+    assert spark.createDataFrame([("the cat sat", "the cats sat down")], "p string, r string").select(udfs.token_match_f1_udf("p", "r")).first()[0] == pytest.approx(stand_in[0])

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cache, cascade, dedup, metrics, promote, prompts, retrieval, sampling, text_quality, validate
+from millrace.operators import cache, cascade, dedup, metrics, promote, prompts, ranks, retrieval, sampling, text_quality, validate
 from millrace.sources import readers, sinks
 
 
@@ -121,7 +123,90 @@ def test_jaccard_pairs_are_exact(spark):
     s = [shingles(t) for t in texts]
     want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.6}
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    assert {(r.a, r.b) for r in dedup.jaccard_pairs(docs, "id", "t", 0.6).collect()} == want
+    members, pairs = dedup.jaccard_classes(docs, "id", "t", 0.6)
+    of = {r.id: r.rep for r in members.collect()}
+    near = {(r.a, r.b) for r in pairs.collect()}
+    # Every pair of ids is a pair of classes or lies within one, and none else.
+    assert {(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in near)} == want
+    kept = {r.id: r.kept for r in dedup.deduplicate(docs, "id", "t", 0.6).collect()}
+    stay: list = []
+    for i in range(len(texts)):
+        if not any((j, i) in want for j in stay):
+            stay.append(i)
+    assert [i for i in sorted(kept) if kept[i]] == stay
+
+
+def test_a_class_of_many_equal_texts_is_one_node(spark):
+    n = 100_000
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(39)) + " changed"
+    docs = spark.range(n).select("id", F.when(F.col("id") % 1000 == 7, F.lit(other)).otherwise(F.lit(same)).alias("t")).unionByName(spark.createDataFrame([(n, "alone here"), (n + 1, None)], "id long, t string"))
+    members, pairs = dedup.jaccard_classes(docs, "id", "t")
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 7)] and members.count() == n + 1
+    assert sorted(r.id for r in dedup.deduplicate(docs, "id", "t").where("kept").collect()) == [0, n, n + 1]
+
+
+def test_signatures_estimate_similarity(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    other = base[:225] + [f"v{i}" for i in range(75)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base).upper()), (4, None), (5, "short"), (6, "")], "id long, t string")
+    sig = {r.id: r.sig for r in dedup.signatures(docs, "id", "t", 512).collect()}
+    assert set(sig) == {1, 2, 3, 5, 6} and sig[1] == sig[3] and len(sig[5]) == 512 and len(set(sig[1])) == 512
+    true = 221 / (296 + 296 - 221)
+    assert np.mean(np.array(sig[1]) == np.array(sig[2])) == pytest.approx(true, abs=0.07)
+    hashes = spark.createDataFrame([(1, " ".join(base))], "id long, t string").select(F.explode(F.transform(dedup.shingle_set(F.col("t")), lambda x: F.xxhash64(x)))).collect()
+    h = np.array([r[0] for r in hashes], np.int64).view(np.uint64)
+    assert sig[1] == [int(dedup._mixed(h, s).min().view(np.int64)) for s in range(1, 513)]
+    met = {(r.id, r.centre) for r in dedup.minhash_candidates(docs, "id", "t").collect()}
+    assert (3, 1) in met and not any(i == 5 for i, _ in met)
+
+
+@pytest.mark.parametrize("few", [1, 3, 4096])
+def test_percentiles_by_selection(spark, few, monkeypatch):
+    monkeypatch.setattr(ranks, "STEPS", 4)
+    rng = random.Random(few)
+    data = [("a", rng.gauss(0, 1) * 10 ** rng.randint(-3, 6)) for _ in range(200)] + [("b", float(rng.randint(0, 3))) for _ in range(100)] + [("c", 5.0), ("d", None), (None, 1.5), (None, -2.0), ("e", float("inf")), ("e", 1.0), ("a", 1e300)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(4)
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {r.k: [r[f"p{i}"] for i in range(5)] for r in ranks.percentiles(df, ["k"], "x", shares, few).collect()}
+    assert "d" not in got
+    for k in ("a", "b", "c", None):
+        xs = sorted(x for j, x in data if j == k)
+        assert got[k] == pytest.approx(np.percentile(xs, [100 * p for p in shares]).tolist(), rel=1e-12)
+    assert got["e"][0] == 1.0 and got["e"][4] == 1.7976931348623157e308
+
+
+def test_percentile_plans_hold_no_group_in_one_task(spark):
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), F.rand(3).alias("x"))
+    out = metrics.latency(df, "x", "k")
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 3
+
+
+@pytest.mark.parametrize("one_list", [1, 20, 100_000])
+def test_stratified_sample_by_ranges(spark, one_list):
+    data = [(i, "abc"[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2]) for i in range(300)] + [(400 + i, None) for i in range(20)] + [(7, "a")]
+    rows = spark.createDataFrame(data, "id long, s string")
+    order = lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest()
+    sizes = {s: [i for i, t in data if t == s] for s in ("a", "b", "c", None)}
+    k = {r.stratum: r.k for r in sampling.apportion(rows.groupBy(F.col("s").alias("stratum")).agg(F.count("*").alias("n"), F.min("id").alias("first")), 60).collect()}
+    want = sorted((i, s or "") for s, ids in sizes.items() for i in sorted(ids, key=lambda i: (order(i), i))[: k[s]])
+    out = sampling.stratified_sample(rows, "id", "s", 60, one_list=one_list)
+    assert sorted((r.id, r.s or "") for r in out.collect()) == want
+
+
+@pytest.mark.parametrize("budget", [1, 50, 2000, 10**9])
+def test_one_budget_by_ranges(spark, budget):
+    rng = random.Random(budget)
+    data = [(f"k{i:04d}", rng.randint(0, 30)) for i in range(200)]
+    got = sampling.within_budget(spark.createDataFrame(data, "id string, used long").repartition(5), "used", budget, "id", range_rows=20)
+    keep, before = [], 0
+    for i, (k, u) in enumerate(data):
+        if i and before + before / i > budget:
+            break
+        keep.append(k)
+        before += u
+    assert sorted(r.id for r in got.collect()) == keep
+    assert sampling.within_budget(spark.createDataFrame(data[:0], "id string, used long"), "used", budget, "id").count() == 0
 
 
 def test_grounding_counts_repeats(spark):
@@ -185,9 +270,9 @@ def test_sampling(spark):
 
 def test_percentiles_and_distribution(spark):
     rows = spark.createDataFrame([("cache", 1.0), ("cache", 2.0), ("generative", 100.0)], "answered_by string, x double")
-    r = rows.agg(*metrics.latency(F.col("x"))).first()
+    r = metrics.latency(rows, "x").first()
     assert (r.p50, r.latency_max) == (2.0, 100.0) and r.p95 == pytest.approx(90.2)
-    assert rows.limit(0).agg(*metrics.latency(F.col("x"))).first().p99 == 0.0
+    assert metrics.latency(rows.limit(0), "x").first().p99 == 0.0
     assert {x.tier: x.n for x in metrics.tier_distribution(rows).collect()} == {"cache": 2, "retrieval": 0, "generative": 1, "none": 0}
     for n, want in {1: (0, 0, 0), 2: (0, 1, 1), 5: (1, 2, 3)}.items():
         q = metrics.nearest_rank_quartiles(spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("v0")), "v0", "k").first()

@@ -17,7 +17,7 @@ from millrace.functions.udfs import hashed_terms, token_set_ratio
 from millrace.log import logger
 from millrace.operators import cache, cascade, evaluate, metrics, providers, retrieval, sampling, tiers, topk
 from millrace.operators.chunking import chunk_text, spans
-from millrace.sources import readers, sinks
+from millrace.sources import ledger, readers, sinks
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "the", "of"]
 
@@ -262,15 +262,63 @@ def test_generation_stops_at_the_quota_and_goes_on_later(spark, tmp_path):
 
     path = str(tmp_path / "out")
     assert evaluate.generate_in_batches(chunks, [providers.Backend("one", spent)], path, 4, "run 1") < 4
-    schema = "id string, source_chunk_id string, run_started_at string"
-    assert readers.dropping_lines(spark, path, schema).count() == 0
+    assert evaluate.candidates(spark, path).count() == 0 and evaluate.asked_chunks(spark, path).count() == 0
     first = chunks.where("chunk_id < 'c2'")
     assert evaluate.generate_in_batches(first, [providers.Backend("one", pair)], path, 2, "run 2") == 2
-    done = readers.dropping_lines(spark, path, schema)
-    n = done.count()
-    evaluate.generate_in_batches(chunks, [providers.Backend("one", pair)], path, 2, "run 3", storage.table_cut(done, "done"))
-    rows = readers.dropping_lines(spark, path, schema).collect()
+    n = evaluate.candidates(spark, path).count()
+    evaluate.generate_in_batches(chunks, [providers.Backend("one", pair)], path, 2, "run 3")
+    rows = evaluate.candidates(spark, path).collect()
     assert 0 < n < len(rows) == len({r.id for r in rows}) == 12 and {r.run_started_at for r in rows} == {"run 2", "run 3"}
+    more = chunks.unionByName(spark.createDataFrame([("c99", "s", "new")], "chunk_id string, source string, chunk string"))
+    evaluate.generate_in_batches(more, [providers.Backend("one", pair)], path, 1, "run 4", spark.createDataFrame([("c99",)], "source_chunk_id string"))
+    assert evaluate.candidates(spark, path).count() == 12
+
+
+def test_a_batch_that_fails_half_way_counts_once(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", "s", f"text {i} of the chunk") for i in range(30)], "chunk_id string, source string, chunk string")
+    path = str(tmp_path / "out")
+    backend = [providers.Backend("one", lambda p: "[]" if "text 7 " in p else '[{"question": "What is it?", "answer": "It is text."}]')]
+    real, calls = evaluate.write_lines, []
+
+    def failing(rows, to, *rest, **more):
+        calls.append(to)
+        real(rows, to, *rest, **more)
+        if len(calls) == 4:  # the pairs of the second batch are written, its record isn't
+            raise OSError("the driver dies here")
+
+    monkeypatch.setattr(evaluate, "write_lines", failing)
+    with pytest.raises(OSError):
+        evaluate.generate_in_batches(chunks, backend, path, 3, "run 1")
+    half = {r.source_chunk_id for r in evaluate.candidates(spark, path).collect()}
+    assert 0 < len(half) < 29 and ledger.records(spark, path).count() == 1
+    monkeypatch.setattr(evaluate, "write_lines", real)
+    assert evaluate.generate_in_batches(chunks, backend, path, 3, "run 1") == 3
+    rows = evaluate.candidates(spark, path).collect()
+    assert sorted(r.source_chunk_id for r in rows) == sorted(f"c{i}" for i in range(30) if i != 7) and len({r.id for r in rows}) == 29
+    assert evaluate.asked_chunks(spark, path).distinct().count() == 30  # an empty answer is one
+    told = ledger.records(spark, path).collect()
+    assert sorted(r.batch for r in told) == [1, 2, 3, 4] and sum(r.rows for r in told) == 29 and sum(r.asked for r in told) == 30
+    assert evaluate.generate_in_batches(chunks, backend, path, 1, "run 2") == 1 and evaluate.candidates(spark, path).count() == 29
+
+
+def test_a_limit_holds_for_the_whole_job():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    part = providers.share_of(6, 24)  # a quarter of a call a minute
+    assert (part.calls, part.seconds) == (1, 240.0) and providers.share_of(60, 8).calls == 7
+    part.clock, part.sleep = lambda: now[0], sleep
+    tries = []
+
+    def fails(prompt):
+        tries.append(now[0])
+        raise ValueError("no")
+
+    got = providers.run_chain(providers.limited([providers.Backend("a", fails), providers.Backend("b", str.upper)], part), "p", sleep=lambda s: None)
+    assert got["answer"] == "P" and tries == [0.0, 240.0, 480.0] and now[0] == 720.0  # retries and the second backend wait too
 
 
 def test_providers_of_models(spark):
