@@ -5,7 +5,8 @@ commas to its ancestors, less with each level; a container's points are discount
 of link text. The best container, or the article or main element that it lies in, is kept with those
 of its siblings that read like the same article, and so are, at each level above, containers that score
 like it or have its shape: an article split over several wrappers is one text. Subtrees that are page furniture
-go. A form is furniture unless it holds most of the page's text and few controls, as where a server wraps pages in one.
+go. A form is furniture unless it holds most of the page's plain text, which stands in no furniture and beside no visible control: a server may wrap pages in one. The same
+goes for an element whose class has words of an article and of furniture at once.
 
 Defined results: a null or empty page, a page without text, and a page with furniture only give
 an empty text; broken and unclosed markup is read as browsers do, closing what the new tag ends;
@@ -44,19 +45,19 @@ _FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "sea
 #: Words in a class or id that mark page furniture.
 _FURNITURE_WORDS = {
     "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "advertorial", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
-    "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "commentlist", "consent", "feedback", "reactions", "responses", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
     "notice", "notices", "notification", "pager", "pagination", "popup", "popups", "promo", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
-#: Words of an article's own container, which outweigh the ones above.
+#: Of these, words that name a part of an article too, where a word of an article stands beside them.
+_LAYOUT_WORDS = {"banner", "header", "masthead", "skip"}
+#: Words of an article's own container.
 _ARTICLE_WORDS = {"article", "content", "main", "post", "story", "entry", "body"}
 #: An opening tag that closes an open element of the second set.
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "body": {"head"},
 }
-#: Characters of text for each control from which on a form with most of a page's text is no furniture.
-FORM_TEXT = 100
 _CONTROLS = {"input", "select", "textarea", "button"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "body": set()}
 _NO_P_CLOSE = {"head", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button"}
@@ -71,23 +72,29 @@ class _Node:
         self.points, self.size, self.link, self.controls = 0.0, 0, 0, 0
 
 
-def _marks(attributes: str, tag: str) -> tuple[bool, frozenset]:
-    """Whether the attributes mark page furniture, and the words of class and id."""
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
+
+
+def _marks(attributes: str, tag: str) -> tuple[bool, bool, frozenset]:
+    """Whether the attributes mark page furniture for sure, whether they do beside words of an article, and the words of class and id."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, frozenset()
-    a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+        return False, False, frozenset()
+    a = _attributes(attributes)
     words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    bad = bool(words & _FURNITURE_WORDS) and not (words & _ARTICLE_WORDS and not words & {"comment", "comments", "ad", "ads", "advert", "sidebar", "footer", "nav", "related"})
+    marked, article = words & _FURNITURE_WORDS, bool(words & _ARTICLE_WORDS)
+    bad = bool(marked) and not article
     bad |= a.get("role", "").lower() in _FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
     bad |= bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
-    return bad and tag not in ("body", "html", "article", "main"), words
+    own = tag in ("body", "html", "article", "main")
+    return bad and not own, article and bool(marked - _LAYOUT_WORDS) and not own, words
 
 
 def parse(page: str) -> _Node:
     """The tree of block elements; inline markup leaves only its text and whether it is a link."""
     root = node = _Node("#root", None)
     at, links, n = 0, 0, len(page)
-    forms: list[_Node] = []
+    open_to_doubt: list[_Node] = []
     while at < n:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else n
@@ -99,7 +106,7 @@ def parse(page: str) -> _Node:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in _CONTROLS and not closing and 'type="hidden"' not in m[3]:
+        if tag in _CONTROLS and not closing and (tag != "input" or _attributes(m[3]).get("type", "").strip().lower() != "hidden"):
             node.controls += 1
         if tag in _RAW and not closing:
             if not m[3].endswith("/"):
@@ -130,33 +137,31 @@ def parse(page: str) -> _Node:
                     up = up.parent
                 while up is not root and up.tag in _CLOSES[tag]:
                     node = up = up.parent
-            bad, words = _marks(m[3], tag)
+            bad, mixed, words = _marks(m[3], tag)
             child = _Node(tag, node, bad or tag in _FURNITURE, words)
             node.children.append(child)
-            if tag == "form":
-                forms.append(child)
+            if (tag == "form" or mixed) and not child.furniture:
+                open_to_doubt.append(child)
             if not m[3].endswith("/") or tag in ("p", "div"):
                 node = child
-    if forms:
-        whole = _held(root)[0]
-        for f in forms:
-            text, controls = _held(f)
-            f.furniture |= 2 * text <= whole or text < FORM_TEXT * controls
+    if open_to_doubt:
+        whole = _plain(root)
+        for x in open_to_doubt:
+            x.furniture = 2 * _plain(x) <= whole
     return root
 
 
-def _held(node: _Node) -> tuple[int, int]:
-    """Characters of text and number of controls below a node."""
-    text, controls, stack = 0, 0, [node]
+def _plain(node: _Node) -> int:
+    """Characters below a node that stand in no furniture and in no element with a visible control of its own."""
+    text, stack = 0, [node]
     while stack:
         x = stack.pop()
-        controls += x.controls
         for c in x.children:
             if type(c) is tuple:
-                text += len(c[0].strip())
-            else:
+                text += 0 if x.controls else len(c[0].strip())
+            elif not c.furniture:
                 stack.append(c)
-    return text, controls
+    return text
 
 
 def _clean(text: str) -> str:
