@@ -3,8 +3,9 @@
 Terms are a text's distinct words and the first four, five and six bytes of longer ones, hashed to
 buckets. The machine has a weight for each chosen bucket and a vector whose inner products weigh
 pairs, so that two terms together can say more than the sum of both. Buckets are chosen by what their
-presence says about the label, and among the commonest ones by what they say in pairs beyond what each says
-alone: a term may matter only beside another.
+presence says about the label, and those of words by what they say in pairs beyond what each says
+alone: a term may matter only beside another. All pairs of words that enough texts of the sample have are counted, in tiles
+that tasks work off.
 
 The fit uses at most FIT_ROWS labelled rows of each class, chosen by a hash of doc_id; that is the
 documented bound. Scores cover all rows in one pass without a shuffle.
@@ -23,18 +24,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.common import ship, table_cut
+from millrace.llm.common import lean, ship, table_cut
 
 FIT_ROWS = 4000  #: labelled rows of each class that are learned from, at most
 FIT_PARTITIONS = 8
 BUCKETS = 1 << 24
 FEATURES = 2048  #: buckets with a weight for what they say alone, at most
-#: Common buckets that are tested in pairs, in how many texts of the sample they are at least, and how many of them are chosen at most.
-PAIR_TERMS, PAIR_TEXTS, PAIR_FEATURES = 1024, 20, 256
+#: Words are tested in pairs that this many texts of the sample have, and one in PAIR_SHARE of them at least; of those that say something in a pair at most PAIR_FEATURES are chosen, the strongest.
+PAIR_TEXTS, PAIR_SHARE, PAIR_FEATURES = 20, 200, 1024
+#: Words by words of a tile.
+PAIR_TILE = 512
 EVIDENCE = 4.0  #: square root of the likelihood ratio that a bucket needs
 HEADS = (4, 5, 6)
 FACTORS = 8
@@ -45,12 +48,12 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))
 
 
-def terms(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def terms(texts: pa.Array, sizes: tuple[int, ...] = HEADS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For blocks of documents: the first row, and parallel arrays of row and bucket of each term, not yet distinct."""
     for w in W.blocks(texts, W.NOT_TERM):
         doc = w.doc
         rows, hashes = [doc], [w.hash]
-        for size in HEADS:
+        for size in sizes:
             at, h = W.heads(w, size)
             rows.append(doc[at])
             hashes.append(h)
@@ -89,12 +92,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_terms(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...] = HEADS) -> Iterator[pa.RecordBatch]:
     """How many texts of each label have a bucket: label, bucket, n; a row for each bucket and task."""
     found: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for b in batches:
         label = b.column(1).to_numpy(zero_copy_only=False)
-        for first, row, bucket in terms(b.column(0)):
+        for first, row, bucket in terms(b.column(0), sizes):
             pairs = np.unique(row * BUCKETS + bucket)
             y = label[pairs // BUCKETS + first]
             for c in (0, 1):
@@ -107,6 +110,11 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"label": pa.array(np.full(len(part), c), pa.int64()), "bucket": pa.array(part), "n": pa.array(n[i : i + 100_000], pa.int64())})
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`_count_terms` without the beginnings of words."""
+    return _count_terms(batches, ())
+
+
 def _known_terms(machine: Machine) -> Callable:
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,8 +125,8 @@ def _known_terms(machine: Machine) -> Callable:
     return known
 
 
-def _choose(counts: DataFrame, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets whose presence says most about the label, by the likelihood ratio, and the commonest ones that not nearly all texts have; at most FEATURES and PAIR_TERMS rows come back."""
+def _choose(counts: DataFrame, n0: int, n1: int) -> np.ndarray:
+    """The buckets whose presence says most about the label, by the likelihood ratio; at most FEATURES rows come back."""
     c = counts.groupBy("bucket").agg(F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("a"), F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("b"))
     a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     total = n0 + n1
@@ -128,8 +136,13 @@ def _choose(counts: DataFrame, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray
 
     g = 2 * (part(a, (a + b) * n0 / total) + part(b, (a + b) * n1 / total) + part(n0 - a, (total - a - b) * F.lit(n0 / total)) + part(n1 - b, (total - a - b) * F.lit(n1 / total)))
     best = c.select("bucket", g.alias("g")).where(F.col("g") >= EVIDENCE**2).orderBy(F.desc("g"), "bucket").limit(FEATURES)
-    common = c.select("bucket", (a + b).alias("m")).where((F.col("m") >= PAIR_TEXTS) & (F.col("m") <= 0.95 * total)).orderBy(F.desc("m"), "bucket").limit(PAIR_TERMS)
-    return tuple(np.sort(np.array([r["bucket"] for r in x.collect()], dtype=np.int64)) for x in (best, common))
+    return np.sort(np.array([r["bucket"] for r in best.collect()], dtype=np.int64))
+
+
+def _frequent_words(counts: DataFrame, total: int) -> np.ndarray:
+    """The buckets of all words that are tested in pairs. Each is in one of PAIR_SHARE texts of the sample at least, which bounds their number by the sample's words."""
+    c = counts.groupBy("bucket").agg(F.sum("n").alias("m")).where((F.col("m") >= max(PAIR_TEXTS, total / PAIR_SHARE)) & (F.col("m") <= 0.95 * total))
+    return np.sort(np.array([r["bucket"] for r in c.select("bucket").collect()], dtype=np.int64))
 
 
 def _ratio(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
@@ -139,24 +152,53 @@ def _ratio(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
         return 2 * (np.where(a > 0, a * np.log(a / (n * (1 - share))), 0) + np.where(b > 0, b * np.log(b / (n * share)), 0))
 
 
-def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Columns of a 0-1 matrix that say more about y in some pair than both of it alone; at most PAIR_FEATURES, the strongest first."""
-    if x.shape[1] < 2:
-        return np.zeros(0, np.int64)
+def _beyond(left: np.ndarray, right: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What pairs of columns of two 0-1 matrices (by text and word) say about y beyond both words alone, by word and word."""
     share, n = float(y.mean()), [float((y == 0).sum()), float((y == 1).sum())]
-    own = [x[y == c].sum(0).astype(float) for c in (0, 1)]
-    both = [(x[y == c].T @ x[y == c]).astype(float) for c in (0, 1)]
-    alone = _ratio(own[0], own[1], share) + _ratio(n[0] - own[0], n[1] - own[1], share)
-    cells = [both, [o[:, None] - z for o, z in zip(own, both, strict=True)], [o[None, :] - z for o, z in zip(own, both, strict=True)], [m - o[:, None] - o[None, :] + z for m, o, z in zip(n, own, both, strict=True)]]
-    more = sum(_ratio(*c, share) for c in cells) - alone[:, None] - alone[None, :]
-    np.fill_diagonal(more, 0)
-    # Words and their beginnings go together: pairs of which one nearly implies the other say nothing as pairs.
-    least = np.minimum(sum(own)[:, None], sum(own)[None, :])
-    more[sum(both) > 0.8 * least] = 0
-    best = more.max(0)
-    bound = EVIDENCE**2 + 4 * np.log(x.shape[1])  # more pairs are tried than terms
-    order = np.argsort(-best, kind="stable")[:PAIR_FEATURES]
-    return order[best[order] >= bound]
+    one, two = ([x[y == c].sum(0).astype(float) for c in (0, 1)] for x in (left, right))
+    both = [(left[y == c].T @ right[y == c]).astype(float) for c in (0, 1)]
+    alone = [_ratio(o[0], o[1], share) + _ratio(n[0] - o[0], n[1] - o[1], share) for o in (one, two)]
+    cells = [both, [o[:, None] - z for o, z in zip(one, both, strict=True)], [o[None, :] - z for o, z in zip(two, both, strict=True)], [m - o[:, None] - p[None, :] + z for m, o, p, z in zip(n, one, two, both, strict=True)]]
+    more = sum(_ratio(*c, share) for c in cells) - alone[0][:, None] - alone[1][None, :]
+    # Words that nearly imply each other say nothing as a pair.
+    more[sum(both) > 0.8 * np.minimum(sum(one)[:, None], sum(two)[None, :])] = 0
+    return more
+
+
+def _tile_scores(bits: np.ndarray, y: np.ndarray) -> Callable:
+    """For tiles (i, j) of words: word, best; what each says at most in a pair of the tile. ``bits``: by word, a bit for each text."""
+
+    def block(k: int) -> np.ndarray:
+        return np.unpackbits(bits[k * PAIR_TILE : (k + 1) * PAIR_TILE], axis=1, count=len(y)).T.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                more = _beyond(block(i), block(j), y)
+                if i == j:
+                    np.fill_diagonal(more, 0)
+                word = np.concatenate([np.arange(more.shape[0]) + i * PAIR_TILE, np.arange(more.shape[1]) + j * PAIR_TILE])
+                yield pa.RecordBatch.from_pydict({"word": pa.array(word), "best": pa.array(np.concatenate([more.max(1), more.max(0)]))})
+
+    return run
+
+
+def _paired(spark: SparkSession, rows: np.ndarray, words: np.ndarray, m: int, y: np.ndarray) -> np.ndarray:
+    """Of m words those that say more in some pair than both of it alone; at most PAIR_FEATURES. ``rows`` and ``words``: who has what, in parallel.
+
+    The sample's bits go to the tasks: at most 2 * FIT_ROWS of them for a word.
+    """
+    if m < 2:
+        return np.zeros(0, np.int64)
+    bits = np.zeros((m, -(-len(y) // 8)), np.uint8)
+    np.bitwise_or.at(bits, (words, rows >> 3), (128 >> (rows & 7)).astype(np.uint8))
+    n = -(-m // PAIR_TILE)
+    tiles = [(i, j) for i in range(n) for j in range(i, n)]
+    dealt = spark.createDataFrame(tiles, "i int, j int").repartition(min(len(tiles), 256))
+    best = dealt.mapInArrow(lean(_tile_scores(bits, y)), "word long, best double").groupBy("word").agg(F.max("best").alias("best"))
+    bound = EVIDENCE**2 + 4 * np.log(m)  # more pairs are tried than words
+    found = best.where(F.col("best") >= float(bound)).orderBy(F.desc("best"), "word").limit(PAIR_FEATURES).select("word").collect()
+    return np.array([r["word"] for r in found], np.int64)
 
 
 def _learn(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 40, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
@@ -202,16 +244,25 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
         return Machine(bias=float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    alone, common = _choose(rows.mapInArrow(_count_terms, "label long, bucket long, n long"), n0, n1)
-    machine = Machine(buckets=np.union1d(alone, common))
-    found = rows.mapInArrow(_known_terms(machine), "label long, terms array<int>").toArrow()
+    alone = _choose(rows.mapInArrow(lean(_count_terms), "label long, bucket long, n long"), n0, n1)
+    frequent = _frequent_words(rows.mapInArrow(lean(_count_words), "label long, bucket long, n long"), n0 + n1)
+    machine = Machine(buckets=np.union1d(alone, frequent))
+    found = rows.mapInArrow(lean(_known_terms(machine)), "label long, terms array<int>").toArrow()
     y = found["label"].to_numpy().astype(float)
-    x = np.zeros((len(y), len(machine.buckets)), dtype=np.float32)
     lists = found["terms"].combine_chunks()
-    x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()] = 1
-    tested = np.flatnonzero(np.isin(machine.buckets, common))
-    keep = np.union1d(np.flatnonzero(np.isin(machine.buckets, alone)), tested[_paired(x[:, tested], y)])
-    machine.buckets, x = machine.buckets[keep], np.ascontiguousarray(x[:, keep])
+    row, term = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy().astype(np.int64)
+    # Words that are frequent only, and those that say something alone too: pairs are sought among both.
+    tested = np.full(len(machine.buckets), -1)
+    at = np.flatnonzero(np.isin(machine.buckets, frequent))
+    tested[at] = np.arange(len(at))
+    on = tested[term] >= 0
+    keep = np.union1d(np.flatnonzero(np.isin(machine.buckets, alone)), at[_paired(docs.sparkSession, row[on], tested[term[on]], len(at), y)])
+    place = np.full(len(machine.buckets), -1)
+    place[keep] = np.arange(len(keep))
+    on = place[term] >= 0
+    x = np.zeros((len(y), len(keep)), dtype=np.float32)
+    x[row[on], place[term[on]]] = 1
+    machine.buckets = machine.buckets[keep]
     order = np.lexsort((x @ np.sqrt(np.arange(2, 2 + x.shape[1], dtype=np.float32)), y))  # the same fit however rows arrived
     weight = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0)
     weight = np.sqrt(weight)  # halfway to the labels' own shares: rare toxic texts keep their say
