@@ -42,6 +42,7 @@ class Settings:
     retrieval: RetrievalSettings = field(default_factory=RetrievalSettings)
     generative: GenerativeSettings = field(default_factory=GenerativeSettings)
     enabled_tiers: tuple[str, ...] = ("cache", "retrieval", "generative")
+    kb_path: str = ""  #: the knowledge base that is searched
 
 
 #: The tiers that can answer, in order, and the one for no answer.
@@ -79,3 +80,15 @@ def load(path: str | None = None, env: Mapping[str, str] | None = None) -> Setti
                 value = {part: value}
             out = _changed(out, value)
     return out
+
+
+class Current:
+    """The settings of a process, read once: ``get`` gives the same value until it is asked to read again."""
+
+    def __init__(self, path: str | None = None, env: Mapping[str, str] | None = None):
+        self.path, self.env, self.value = path, env, None
+
+    def get(self, again: bool = False) -> Settings:
+        if self.value is None or again:
+            self.value = load(self.path, self.env)
+        return self.value

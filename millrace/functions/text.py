@@ -93,3 +93,14 @@ def spec_of(source: Column, prefix: str = "3GPP TS ") -> Column:
 
 def summary_line(tier: Column, confidence: Column, latency: Column) -> Column:
     return F.format_string("[%s] confidence=%.2f latency=%.3fs", tier, confidence, latency)
+
+
+def entry(m: Column, key: str, default: object) -> Column:
+    """A map's value, or the default where the map or the key is missing."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+def merged(m: Column, more: Column) -> Column:
+    """Both maps in one; of keys in both the second map's values. A null map counts as empty, two make null."""
+    both = F.map_zip_with(m, more, lambda _, a, b: F.coalesce(b, a))
+    return F.when(m.isNull(), more).when(more.isNull(), m).otherwise(both)

@@ -159,3 +159,17 @@ def render(report: DataFrame, title: str = "Evaluation") -> str:
     width = [max(len(x) for x in col) for col in zip(report.columns, *rows, strict=True)]
     line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, width, strict=True)).rstrip()
     return "\n".join([title, "=" * len(title), line(report.columns), line(["-" * w for w in width]), *map(line, rows)])
+
+
+def render_run(overall: DataFrame, tiers: DataFrame, backends: DataFrame, title: str = "Evaluation") -> str:
+    """An evaluation as text: the rows of all tiers and of each (:func:`metrics.evaluation`), the shares of the tiers and of the backends, a part for each."""
+    first = F.when(F.col("tier") == "overall", 0).otherwise(1)
+    parts = [render(overall.orderBy(first, "tier"), title), render(tiers, "Answered by"), render(backends.orderBy(F.desc("n"), "backend"), "Backends")]
+    return "\n\n".join(parts)
+
+
+def render_promotion(counts: DataFrame) -> str:
+    """The counters of :func:`promote.report`, one on a line."""
+    row = counts.first().asDict()
+    width = max(map(len, row))
+    return "\n".join(["Promotion", "=========", *(f"{k.removeprefix('n_'):<{width}} {v:>8}" for k, v in row.items())])

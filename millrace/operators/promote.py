@@ -74,3 +74,11 @@ def report(promoted: DataFrame) -> DataFrame:
         F.count_if(g.isNull() | (g != "skipped")).alias("n_evaluated"), F.count_if(g.isNull()).alias("n_promoted"), F.count_if(g == "confidence").alias("n_confidence"),
         F.count_if(g == "length").alias("n_length"), F.count_if(g == "duplicate").alias("n_duplicate"),
     )
+
+
+def report_json(promoted: DataFrame, source: str, at: str) -> DataFrame:
+    """One row with a promotion's report as JSON: where the candidates came from, when, the counters, and each gate with the rows that it stopped."""
+    counters = report(promoted)
+    gates = promoted.where("gate is not null").groupBy("gate").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("gate", "n"))).alias("rejected"))  # a row for each gate
+    whole = counters.crossJoin(F.broadcast(gates)).select(F.lit(source).alias("source"), F.lit(at).alias("promoted_at"), F.struct(*counters.columns).alias("counts"), "rejected")
+    return whole.select(F.to_json(F.struct("*")).alias("value"))

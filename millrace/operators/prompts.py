@@ -29,3 +29,16 @@ def synthesis_prompt(query: Column, chunks: Column, chars: int | None = None) ->
     text = (lambda x: F.coalesce(x["answer"], F.lit(""))) if chars is None else (lambda x: F.substring(F.coalesce(x["answer"], F.lit("")), 1, chars))
     block = lambda x: F.concat(F.lit("["), F.coalesce(F.nullif(x["source"], F.lit("")), F.lit("unknown spec")), F.lit(", chunk "), F.coalesce(x["doc_id"].cast("string"), F.lit("")), F.lit("]:\n"), text(x))
     return F.concat(F.array_join(F.transform(chunks, block), "\n\n"), F.lit("\n\nQuestion: "), query)
+
+
+#: What each tier tells its model before the question.
+SYSTEM = {
+    "synthesis": "Answer from the numbered excerpts alone. After each statement name the excerpt that it rests on. If they don't hold the answer, say so and stop.",
+    "generative": "Answer the question briefly and plainly. Text under 'Context' may be wrong or beside the point: use what fits and leave the rest. Say so where you aren't sure.",
+    "candidates": "Read the excerpt and write questions that it answers, each with its answer in the excerpt's own terms. Give a JSON array of objects with question and answer, and an empty array if there is nothing to ask.",
+}
+
+
+def with_system(prompt: Column, task: str) -> Column:
+    """A prompt with its task's system text before it, for models that take one text."""
+    return F.concat(F.lit(SYSTEM[task] + "\n\n"), prompt)

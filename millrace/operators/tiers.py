@@ -16,7 +16,7 @@ from millrace.functions.scores import confidence_of
 from millrace.operators import cache, prompts
 from millrace.operators.cascade import Tier
 from millrace.operators.providers import Backend, generate
-from millrace.operators.retrieval import Index, hybrid, lexical_score
+from millrace.operators.retrieval import BROADCAST_HITS, DenseIndex, Index, hybrid, lexical_score
 from millrace.storage import table_cut
 
 Answer = Callable[[DataFrame], DataFrame]
@@ -39,7 +39,9 @@ def cache_tier(keys: DataFrame, settings: CacheSettings = CacheSettings(), fuzzy
 def _best_hits(hits: DataFrame, docs: DataFrame, most: int, key: str, text: str, source: str) -> DataFrame:
     """Each query's best hits in order, with text and source: ``query_id, hits``."""
     bodies = docs.select(F.col(key).alias("b_id"), F.coalesce(F.col(text), F.lit("")).alias("answer"), F.coalesce(F.col(source), F.lit("")).alias("source"))
-    rows = bodies.join(F.broadcast(hits.where(F.col("rank") < most)), F.col("b_id") == F.col("doc_id"))
+    few = hits.where(F.col("rank") < most)
+    # Hits of all pending queries: broadcast only if counted to be few.
+    rows = bodies.join(F.broadcast(few) if few.count() <= BROADCAST_HITS else few, F.col("b_id") == F.col("doc_id"))
     return rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score", "source", "answer"))).alias("hits"))
 
 
@@ -86,7 +88,7 @@ def generative_tier(backends: Sequence[Backend], settings: GenerativeSettings =
     return answer
 
 
-def searcher(index: Index, vectors: DataFrame, docs: DataFrame, encode: Callable[[Column], Column], settings: RetrievalSettings = RetrievalSettings(), score: Callable[[Column, Column], Column] = lexical_score) -> Callable[[DataFrame], DataFrame]:
+def searcher(index: Index, vectors: DataFrame | DenseIndex, docs: DataFrame, encode: Callable[[Column], Column], settings: RetrievalSettings = RetrievalSettings(), score: Callable[[Column, Column], Column] = lexical_score) -> Callable[[DataFrame], DataFrame]:
     """The hybrid search over written indexes, for :func:`retrieval_tier`."""
     return lambda queries: hybrid(queries, index, vectors, docs, encode, settings, score)
 

@@ -141,3 +141,9 @@ def test_token_vectors_of_a_provider(spark):
     assert got == pytest.approx([greedy_match_f1(*letters([p])[:1], *letters([r])[:1]) for p, r in (("aa b", "aa b"), ("aa b", "ba"), ("", "a"), ("", ""))])
     stand_in = [greedy_match_f1(*udfs.trigram_vectors([a, b])) for a, b in (("the cat sat", "the cats sat down"),)]
     assert spark.createDataFrame([("the cat sat", "the cats sat down")], "p string, r string").select(udfs.token_match_f1_udf("p", "r")).first()[0] == pytest.approx(stand_in[0])
+
+
+def test_maps_with_defaults(spark):
+    rows = spark.createDataFrame([(1, {"a": "x", "b": "y"}, {"b": "z", "c": "w"}), (2, None, {"c": "w"}), (3, {"a": "x"}, None), (4, None, None)], "i int, m map<string,string>, n map<string,string>")
+    got = {r.i: (r.a, r.m) for r in rows.select("i", text.entry(F.col("m"), "a", "none").alias("a"), text.merged(F.col("m"), F.col("n")).alias("m")).collect()}
+    assert got == {1: ("x", {"a": "x", "b": "z", "c": "w"}), 2: ("none", {"c": "w"}), 3: ("x", {"a": "x"}), 4: ("none", None)}

@@ -365,3 +365,65 @@ def test_pairs_are_generated_and_gated(spark):
     chunks = spark.createDataFrame([("c1", "s", "the bearer timer starts here"), ("c2", "s", "silent"), ("c3", "s", "broken")], "chunk_id string, source string, chunk string")
     rows = evaluate.generate_pairs(chunks, [Backend("m", model)]).collect()
     assert [(r.id, r.gate, r.grounding_score) for r in rows] == [("cand_c1_00", None, 1.0)]
+
+
+def test_newest_archive_and_hashes_of_files(spark, tmp_path):
+    files = spark.createDataFrame([("36.300", "/a/36300-a10.zip"), ("36.300", "/b/36300-j20.zip"), ("36.300", "/z/36300-b00.zip"), ("24.301", "24301-k00.zip")], "spec string, path string")
+    assert {r.spec: r.path for r in readers.newest_archives(files).collect()} == {"36.300": "/b/36300-j20.zip", "24.301": "24301-k00.zip"}
+    data = bytes(range(256)) * 5000
+    (tmp_path / "kb.bin").write_bytes(data)
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {"kb.bin": hashlib.sha256(data[:1_000_000]).hexdigest(), "small.bin": hashlib.sha256(b"abc").hexdigest()}
+
+
+def test_rows_of_the_configured_file(spark, tmp_path):
+    from millrace import config
+
+    f = tmp_path / "kb.jsonl"
+    f.write_text('{"id": "a"}\n{"id": "b"}\nbroken {\n[1]\n\n{"id": "c"}\n')
+    (tmp_path / "other.jsonl").write_text('{"id": "z"}\n')
+    env = {"MILLRACE__KB_PATH": str(f)}
+    now = config.Current(env=env)
+    assert readers.configured_rows(spark, now.get().kb_path) == 3
+    env["MILLRACE__KB_PATH"] = str(tmp_path / "missing.jsonl")
+    assert now.get().kb_path == str(f) and now.get(again=True).kb_path.endswith("missing.jsonl")
+    assert readers.configured_rows(spark, now.get().kb_path) == 0 and readers.configured_rows(spark, "") == 0
+
+
+def test_promoted_pairs_and_reports(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from millrace.operators import evaluate
+
+    rows = spark.createDataFrame([(1, "q1", "a " * 60, 0.9, None), (2, "q2", "short", 0.9, None), (3, "another question here", "b " * 60, 0.1, None), (4, "skip", "c", 0.9, False)], "ordinal long, question string, answer string, confidence double, answer_in_chunk boolean")
+    done = promote.promote(rows, spark.createDataFrame([], "question string"))
+    path = str(tmp_path / "additions")
+    for hour in (1, 2):
+        sinks.append_promoted(done, path, datetime(2024, 1, 1, hour, tzinfo=timezone.utc))
+    kept = spark.read.json(path).collect()
+    assert sorted((r.question, r.promoted_at) for r in kept) == [("q1", "2024-01-01T01:00:00+00:00"), ("q1", "2024-01-01T02:00:00+00:00")]
+    report = json.loads(promote.report_json(done, "candidates.jsonl", "2024-01-01T00:00:00+00:00").first()["value"])
+    assert report["counts"]["n_promoted"] == 1 and report["counts"]["n_evaluated"] == 3 and {r["gate"]: r["n"] for r in report["rejected"]} == {"confidence": 1, "length": 1, "skipped": 1}
+    assert "promoted" in evaluate.render_promotion(promote.report(done)) and report["source"] == "candidates.jsonl"
+    facts = spark.createDataFrame([("cache", 1.0, 1.0, 0.1), ("none", 0.0, 0.0, 2.0)], "answered_by string, rouge_l double, match_f1 double, latency_sec double")
+    shown = evaluate.render_run(metrics.evaluation(facts), metrics.tier_distribution(facts), metrics.backend_distribution(facts.withColumn("backend", F.lit("primary"))))
+    assert shown.index("overall") < shown.index("cache") < shown.index("Answered by") < shown.index("Backends") and "primary" in shown
+    whole = sinks.report_json(metrics.evaluation(facts).where("tier = 'overall'"), {"tiers": metrics.tier_distribution(facts)}, facts.withColumn("query_id", F.lit("x")))
+    out = str(tmp_path / "report")
+    whole.coalesce(1).write.text(out)
+    read = json.loads(spark.read.text(out).first()["value"])
+    assert read["overall"]["n"] == 2 and len(read["per_query"]) == 2 and len(read["tiers"]) == 4
+    assert metrics.evaluation(facts.limit(0)).first().n == 0
+
+
+def test_system_prompts(spark):
+    got = spark.range(1).select(prompts.with_system(F.lit("Q?"), "synthesis")).first()[0]
+    assert got == prompts.SYSTEM["synthesis"] + "\n\nQ?" and set(prompts.SYSTEM) == {"synthesis", "generative", "candidates"}
+
+
+def test_texts_that_hold_a_query(spark):
+    docs = spark.createDataFrame([(1, "xx the quick brown fox yy"), (2, "the quick brown foxes"), (3, "quick the brown fox"), (4, None), (5, "a.b ?! c"), (6, "concatenate")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "the quick brown fox"), ("b", "quick"), ("c", "?!"), ("d", "cat"), ("e", "no such words here"), ("f", "he quick brown f")], "query_id string, query string")
+    got = {(r.query_id, r.doc_id) for r in retrieval.containing(asked, docs, retrieval.bm25_index(docs)).collect()}
+    assert got == {("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 5), ("d", 6), ("f", 1), ("f", 2)}
