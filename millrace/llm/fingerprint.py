@@ -37,8 +37,8 @@ _PRIME = 1_048_573  #: below 2**20
 #: First bits of the cells in the three rows: of the fingerprint, of the second and the third try.
 _FIRST, _SECOND, _THIRD = (34, 37, 40), (43, 46, 49), (52, 56, 60)
 _DEAL = 20
-#: Ranges of doc_id for each partition of a shuffle, and their largest number.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 1 << 16
+#: Ranges of doc_id: for each partition of a shuffle at least, so many that a range has about RANGE_ROWS rows, and their largest number.
+RANGES_PER_PARTITION, RANGE_ROWS, MOST_RANGES = 4, 20_000, 1 << 16
 _names = count()
 
 
@@ -165,7 +165,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("sid", F.coalesce("doc_id", F.lit(-(2**63))))
-    wanted = min(MOST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = min(MOST_RANGES, max(RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS)))
     cuts = rows.agg(F.percentile_approx("sid", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted)).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     side = max(1, int(len(cuts) ** 0.5))

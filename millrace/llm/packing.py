@@ -35,8 +35,8 @@ from millrace.llm.common import lean, ship, table_cut
 from millrace.llm.token_files import END_ID, encoded
 
 CAPACITY = 1024
-#: Hash buckets in which the ranks of equal lengths are counted, for each partition of a shuffle.
-BUCKETS_PER_PARTITION = 4
+#: Hash buckets in which the ranks of equal lengths are counted: for each partition of a shuffle at least, and so many that a bucket has about BUCKET_ROWS pieces.
+BUCKETS_PER_PARTITION, BUCKET_ROWS = 4, 50_000
 #: Parts of the order to which the plan is dealt, and parts of a length's ranks by which rows look for their place.
 WINDOWS = 64
 
@@ -207,7 +207,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, ordered: bool = False) -> Dat
     slots = deal(plan(counts, capacity), counts, WINDOWS if ordered else 1)
     names = ("s_length", "s_part", "s_from", "s_to", "s_first", "s_each", "s_sequence", "s_offset")
     slot = spark.createDataFrame(pa.table({n: pa.array(slots[:, k]) for k, n in enumerate(names)}), ", ".join(f"{n} long" for n in names))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // BUCKET_ROWS))
     rows = cut.withColumn("p_bucket", F.col("p_group") if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sums = rows.groupBy("length", "p_bucket").agg(F.count("*").alias("p_n"))
     by_length = Window.partitionBy("length")
