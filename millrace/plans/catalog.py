@@ -13,7 +13,7 @@ from millrace.functions.udfs import hashed_terms, rouge_l_udf, token_match_f1_ud
 from millrace.operators import cache, cascade, chunking, dedup, evaluate, metrics, promote, prompts, retrieval, sampling, text_quality, tiers, validate
 from millrace.operators.providers import Backend, RateLimited
 from millrace.sources import readers, sinks
-from millrace.storage import scratch_path, table_cut
+from millrace.storage import modified, scratch_path, spread, table_cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -223,12 +223,12 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 @query(f"WITH {_bm25_sql('', 'text', 20)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.bm25(_asked(spark, sf_dir), table(spark, sf_dir, "documents"), 20))
+    return _rounded(retrieval.bm25_search(_index(spark, sf_dir), _asked(spark, sf_dir), 20))
 
 
 @query(f"SELECT w AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS w FROM documents) GROUP BY w")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_index(table(spark, sf_dir, "documents")).postings().groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, sf_dir).postings().groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 _DOT = "list_sum(list_transform(range(1, {n}), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))"
@@ -270,8 +270,26 @@ def _encode(c: Column) -> Column:
 def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, retrieval.Index, DataFrame]:
     """The benchmark's whole texts as queries, the documents, their sparse index, and their vectors by hashed terms."""
     docs = table(spark, sf_dir, "documents")
-    vectors = table_cut(docs.select("doc_id", _encode(F.col("text")).alias("v")), "vectors")
-    return _asked(spark, sf_dir), docs, retrieval.bm25_index(docs), vectors
+    return _asked(spark, sf_dir), docs, _index(spark, sf_dir), _once(spark, sf_dir, "vectors", lambda path: spread(docs.select("doc_id", "text")).select("doc_id", _encode(F.col("text")).alias("v")).write.parquet(path), spark.read.parquet)
+
+
+_written: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], object], load: Callable[[str], object]):
+    """What is made of the documents, written once for a session and state of the table, and loaded by each query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, what, modified(spark, f"{sf_dir}/documents.parquet"))
+    path = _written.get(key)
+    if path is None or not modified(spark, path):
+        path = scratch_path(spark, what)
+        write(path)
+        _written[key] = path
+    return load(path)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    docs = table(spark, sf_dir, "documents")
+    return _once(spark, sf_dir, "index", lambda path: retrieval.bm25_index(docs, path=path), lambda path: retrieval.load_index(spark, path))
 
 
 def _vectors_sql(name: str, key: str, source: str, column: str = "text") -> str:
@@ -310,7 +328,7 @@ def _rerank_sql(name: str, hits: str, k: int, asked: str = "(SELECT item_id AS q
 @query(f"WITH {_bm25_sql('', 'text', 20)}, {_rerank_sql('reranked', 'hits', 10)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM reranked")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
-    return _rounded(retrieval.rerank(retrieval.bm25(asked, docs, 20), asked, docs, 10))
+    return _rounded(retrieval.rerank(retrieval.bm25_search(_index(spark, sf_dir), asked, 20), asked, docs, 10))
 
 
 @query(f"WITH {_bm25_sql('', 'text', 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM hits")

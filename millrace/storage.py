@@ -58,6 +58,19 @@ def table_cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer partitions than the session has cores: small inputs of one file; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed (ms), 0 if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else 0
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder; results that weren't written elsewhere go with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
