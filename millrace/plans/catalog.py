@@ -621,8 +621,12 @@ def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Validation, promotion, samples
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in validate.STOPWORDS) + "]"
-_TERMS = "[" + ", ".join(f"'{w}'" for w in validate.DOMAIN_TERMS) + "]"
+# Fixed values, written down again so that a change of the operators' lists shows.
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+_STOP = _LISTED("""a an the is are was were be been being have has had do does did will would could should may might shall can to of in for on at by with from as or and
+  but if this that it its not no so than then when which what how why where who""")
+_TERMS = _LISTED("""enb ue mme rrc s1ap nas eps bearer handover pdcp rlc mac tau attach timer cause harq qci teid pdn sgw pgw measurement reconfiguration pcell scell pcc scc
+  drb srb erab gtp x2 s1 uu rlf prach cqi pmi harq-ack utran""")
 
 
 def _significant(x: str) -> str:
@@ -665,7 +669,7 @@ def kb_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.gate_report(rows)
 
 
-_FIRST_GATES = f"CASE WHEN (conv_id % 10) / 10 < 0.60 THEN 'confidence' WHEN len({_words('answer')}) < 50 THEN 'length' END"
+_FIRST_GATES = f"CASE WHEN conv_id % 7 = 3 THEN 'skipped' WHEN (conv_id % 10) / 10 < 0.60 THEN 'confidence' WHEN len({_words('answer')}) < 50 THEN 'length' END"
 _DISTANCE = f"(CASE WHEN greatest(length(l.question), length(r.question)) > 0 THEN levenshtein({_ONE_BYTE('l.question')}, {_ONE_BYTE('r.question')}) / greatest(length(l.question), length(r.question)) ELSE 0 END)"
 _PROMOTED = f"""rows_ AS (SELECT conv_id * 1000 + turn AS ordinal, question, {_FIRST_GATES} AS g FROM {_PAIRS}), live AS (SELECT question FROM rows_ WHERE ordinal % 11 = 0), cand AS (SELECT * FROM rows_ WHERE ordinal % 11 <> 0),
 passing AS (SELECT ordinal, question FROM cand WHERE g IS NULL), blocked AS (SELECT DISTINCT r.ordinal FROM passing r JOIN live l ON {_DISTANCE} <= 0.30),
@@ -676,19 +680,19 @@ gated AS (SELECT ordinal, coalesce(g, CASE WHEN ordinal NOT IN (FROM promoted) T
 
 
 def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "question", "answer", (F.pmod("conv_id", F.lit(10)) / 10).alias("confidence"), F.lit(None).cast("boolean").alias("answer_in_chunk"))
+    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "question", "answer", (F.pmod("conv_id", F.lit(10)) / 10).alias("confidence"), F.when(F.col("conv_id") % 7 == 3, False).when(F.col("conv_id") % 7 == 4, True).alias("answer_in_chunk"))
     keys = rows.where("ordinal % 11 = 0").select("question")
     return promote.promote(rows.where("ordinal % 11 <> 0"), keys)
 
 
 @query(f"WITH RECURSIVE {_PROMOTED} SELECT ordinal, gate FROM gated")
 def promote_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole questions as candidates; those with an ordinal divisible by 11 are live keys."""
+    """Whole questions as candidates; those with an ordinal divisible by 11 are live keys. Some say that their answer is not in its chunk, some that it is, the others nothing."""
     return _promoted(spark, sf_dir).select("ordinal", "gate")
 
 
 @query(
-    f"""WITH RECURSIVE {_PROMOTED} SELECT count(*) AS n_evaluated, count(*) FILTER (gate IS NULL) AS n_promoted, count(*) FILTER (gate = 'confidence') AS n_confidence,
+    f"""WITH RECURSIVE {_PROMOTED} SELECT count(*) FILTER (gate IS NULL OR gate <> 'skipped') AS n_evaluated, count(*) FILTER (gate IS NULL) AS n_promoted, count(*) FILTER (gate = 'confidence') AS n_confidence,
   count(*) FILTER (gate = 'length') AS n_length, count(*) FILTER (gate = 'duplicate') AS n_duplicate FROM gated"""
 )
 def promote_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -834,14 +838,18 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports
 
 
-_SPECS = "(VALUES ('23.401'), ('24.301'), ('36.300'), ('36.331'), ('36.413')) c(spec_id)"
+_SPECS = """(VALUES ('23.401', 'GPRS Enhancements for E-UTRAN Access (EPS Architecture)', '23401-k00.zip', '23'), ('24.301', 'Non-Access-Stratum (NAS) Protocol for EPS', '24301-k00.zip', '24'),
+  ('36.300', 'E-UTRA and E-UTRAN Overall Description (Stage 2)', '36300-j20.zip', '36'), ('36.331', 'E-UTRA Radio Resource Control (RRC) Protocol Specification', '36331-j30.zip', '36'),
+  ('36.413', 'E-UTRAN S1 Application Protocol (S1AP)', '36413-j20.zip', '36')) c(spec_id, title, version_zip, series)"""
 
 
-@query(f"SELECT c.spec_id, coalesce(n::VARCHAR, '—') AS n_chunks FROM {_SPECS} LEFT JOIN (SELECT CASE doc_id % 5 WHEN 0 THEN '36.300' WHEN 1 THEN '36.331' WHEN 2 THEN '24.301' WHEN 3 THEN 'other' END AS spec_id, count(*) AS n FROM documents GROUP BY 1) x ON x.spec_id = c.spec_id")
+@query(f"SELECT c.spec_id, title, version_zip, 'https://www.3gpp.org/ftp/Specs/archive/' || series || '_series/' || c.spec_id || '/' AS archive_url, coalesce(n::VARCHAR, '—') AS n_chunks FROM {_SPECS} LEFT JOIN (SELECT CASE doc_id % 5 WHEN 0 THEN '36.300' WHEN 1 THEN '36.331' WHEN 2 THEN '24.301' WHEN 3 THEN 'other' END AS spec_id, count(*) AS n FROM documents GROUP BY 1) x ON x.spec_id = c.spec_id")
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 5
     spec = F.when(k == 0, "36.300").when(k == 1, "36.331").when(k == 2, "24.301").when(k == 3, "other")
-    return metrics.catalog_counts(readers.catalog(spark), table(spark, sf_dir, "documents").select(spec.alias("spec_id")))
+    known = readers.catalog(spark)
+    counts = metrics.catalog_counts(known, table(spark, sf_dir, "documents").select(spec.alias("spec_id")))
+    return F.broadcast(known).join(counts, "spec_id").select("spec_id", "title", "version_zip", "archive_url", "n_chunks")
 
 
 _RUNS = "(SELECT strftime(ts, '%Y-%m-%d') AS run, count(*) AS n, round(avg(value), 6) AS match_mean, round(median(value), 6) AS rouge_l_mean, round(min(value), 6) AS p50, round(max(value), 6) AS p95 FROM events GROUP BY 1)"
@@ -875,10 +883,10 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.run_counts(rows)
 
 
-@query(f"SELECT query_id, CASE answered_by WHEN 'retrieval' THEN 'synthesis' WHEN 'generative' THEN backend END AS backend, CASE WHEN query_id % 2 = 0 THEN answered_by = 'cache' ELSE answered_by = 'none' END AS tier_match, '[' || answered_by || '] confidence=' || printf('%.2f', confidence) AS line FROM {_LOG}")
+@query(f"SELECT query_id, CASE answered_by WHEN 'retrieval' THEN 'synthesis' WHEN 'generative' THEN backend END AS backend, CASE WHEN query_id % 2 = 0 THEN answered_by = 'cache' ELSE answered_by = 'none' END AS tier_match, '[' || answered_by || '] confidence=' || printf('%.2f', confidence) || ' latency=' || printf('%.3f', latency_ms) || 's' AS line FROM {_LOG}")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.when(F.col("query_id") % 2 == 0, "cache").otherwise("none")
-    line = F.regexp_replace(text.summary_line(F.col("answered_by"), F.col("confidence"), F.col("latency_ms")), " latency=.*$", "")
+    line = text.summary_line(F.col("answered_by"), F.col("confidence"), F.col("latency_ms"))
     return _log(spark, sf_dir).select("query_id", metrics.backend_of(F.col("answered_by"), F.lit("synthesis"), F.col("backend")).alias("backend"), metrics.tier_match(F.col("answered_by"), expected).alias("tier_match"), line.alias("line"))
 
 
