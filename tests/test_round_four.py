@@ -6,8 +6,8 @@ import random
 
 import numpy as np
 
-from millrace.functions import edits
-from millrace.operators import promote
+from millrace.functions import edits, udfs
+from millrace.operators import promote, retrieval, topk
 
 
 def _distance(a, b):
@@ -56,3 +56,45 @@ def test_promotion_compares_equal_questions_once(spark, monkeypatch):
     got = promote.promote(c, spark.createDataFrame([], "question string")).collect()
     assert {r.ordinal for r in got if r.gate is None} == kept and len(got) == 400
     assert pairs[0] < 101 * 100 / 2
+
+
+def test_many_queries_are_scored_text_by_text(spark, monkeypatch):
+    """The same hits as from the lists, without a row for each query and text with a common token; ties by id."""
+    rng = random.Random(7)
+    said = lambda n: " ".join(rng.choice("abcdefghijklm") * rng.choice([1, 1, 2, 3]) for _ in range(n))
+    docs = spark.createDataFrame([(i, said(rng.randint(0, 30))) for i in range(300)], "doc_id long, text string")
+    queries = spark.createDataFrame([(f"q{i}", said(rng.randint(0, 9))) for i in range(60)], "query_id string, query string")
+    index = retrieval.bm25_index(docs)
+    rows = lambda idf: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in retrieval.bm25_search(index, queries, 7, idf).collect())
+    for idf in ("documented", "okapi_floor"):
+        want = rows(idf)
+        for name, value in (("SCAN_FROM", 1), ("SCAN_BLOCK", 100), ("COMMON", 5)):
+            monkeypatch.setattr(retrieval, name, value)
+        monkeypatch.setattr(topk, "CELLS", 200)
+        monkeypatch.setattr(retrieval, "_bounds", None)  # the lists' way is not taken
+        assert rows(idf) == want and len(want) > 200
+        monkeypatch.undo()
+
+
+def test_index_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Postings are dealt to buckets once, before lists are made."""
+    calls = []
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *c, f=frame.sortWithinPartitions: calls.append(self._jdf.queryExecution().executedPlan().toString()) or f(self, *c))
+    retrieval.bm25_index(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), path=str(tmp_path / "i"))
+    assert calls[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_vectors_of_few_texts_are_held(spark, monkeypatch):
+    """Vectors of tokens are asked for in small groups of pairs, and batches are small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.createDataFrame([(i, f"word{i} same", f"same word{i % 7}") for i in range(300)], "i long, a string, b string").coalesce(1)
+
+    def provider(texts):
+        assert len(texts) <= 128
+        return udfs.trigram_vectors(texts)
+
+    got = {r.i: r.s for r in rows.select("i", udfs.token_match(provider)("a", "b").alias("s")).collect()}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    want = udfs.greedy_match_block(*(udfs.trigram_vectors([x for _, *p in sorted((r.i, r.a, r.b) for r in rows.collect()) for x in [p[k]]]) for k in (0, 1)))
+    assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
