@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from millrace.functions import edits, udfs
-from millrace.operators import promote, retrieval, topk
+from millrace.operators import dedup, promote, retrieval, topk
 
 
 def _distance(a, b):
@@ -98,3 +98,17 @@ def test_vectors_of_few_texts_are_held(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     want = udfs.greedy_match_block(*(udfs.trigram_vectors([x for _, *p in sorted((r.i, r.a, r.b) for r in rows.collect()) for x in [p[k]]]) for k in (0, 1)))
     assert all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
+
+
+def test_sets_are_not_shuffled_for_classes(spark, monkeypatch):
+    """Only sets that are in a pair meet others: the tables that are written hold no set of a text without a near one."""
+    rng = random.Random(8)
+    alone = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9)) for _ in range(60)) for _ in range(30)]
+    near = alone[0] + " and one more"
+    docs = spark.createDataFrame(list(enumerate([*alone, near, near, alone[5]])), "id long, text string")
+    written = []
+    monkeypatch.setattr(dedup, "cut", lambda df, f=dedup.cut: written.append(f(df)) or written[-1])
+    members, pairs = dedup.jaccard_classes(docs, "id", "text")
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 30)]
+    assert {(r.rep, r.id) for r in members.where("rep <> id").collect()} == {(30, 31), (5, 32)} and members.count() == 33
+    assert sorted(t.count() for t in written if "s" in t.columns) == [2, 33]
