@@ -9,7 +9,7 @@ import pytest
 
 from millrace.functions import token_sets
 from millrace.functions.profiles import Profiles, profile
-from millrace.functions.udfs import token_set_ratio
+from millrace.functions.udfs import common_tokens_ratio, token_set_ratio
 
 
 def _text(rng: random.Random, n: int) -> str:
@@ -52,3 +52,10 @@ def test_pairs_of_like_counts_are_not_scored_one_by_one():
     found += sets.rest()
     assert counted > 100
     assert not found
+
+
+def test_common_tokens_alone_give_their_part_of_the_score():
+    assert common_tokens_ratio("red hot iron", "iron hot") == token_set_ratio("red hot iron", "iron hot") == 100.0
+    assert common_tokens_ratio("abcdefgh xyz", "abcdefgh xyw") == 200.0 * 8 / 20
+    assert token_set_ratio("abcdefgh xyz", "abcdefgh xyw") == pytest.approx(200.0 * 11 / 24)
+    assert common_tokens_ratio("abcd", "abce") == common_tokens_ratio("", "abc") == 0.0
