@@ -110,5 +110,6 @@ def near_pairs(left: list[str], right: list[str], longer: np.ndarray, share: flo
         if held >= PAIRS:
             measure()
             held = 0
-    measure()
+    if waiting:
+        measure()
     return np.concatenate([q for q, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([r for _, r in found] or [np.zeros(0, np.int64)])

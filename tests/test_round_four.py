@@ -37,6 +37,14 @@ def test_near_pairs_against_the_table(monkeypatch):
         assert set(zip(*(v.tolist() for v in edits.near_pairs(left, right, longer, 0.3)), strict=True)) == want
 
 
+def test_near_pairs_whose_last_row_fills_a_step(monkeypatch):
+    """Nothing is left to measure after the last text."""
+    monkeypatch.setattr(edits, "PAIRS", 12)
+    left, right = ["abcdefghij"] * 4, ["abcdefghij", "abcdefghix", "abcdefxxxx"]
+    p, q = edits.near_pairs(left, right, np.full((4, 3), 10), 0.3)
+    assert set(zip(p.tolist(), q.tolist(), strict=True)) == {(i, j) for i in range(4) for j in range(2)}
+
+
 def test_promotion_compares_equal_questions_once(spark, monkeypatch):
     """A large group of copies gives no pair, and blocks of any size the same gates."""
     fifty = "word " * 50
