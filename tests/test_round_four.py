@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.functions import edits, udfs
 from millrace.operators import dedup, promote, retrieval, topk
@@ -84,6 +85,34 @@ def test_many_queries_are_scored_text_by_text(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_a_search_through_texts_writes_no_lists(spark, monkeypatch, tmp_path):
+    """Lists are written by the first search that reads them, and hold the same hits."""
+    docs = spark.createDataFrame([(i, f"common word{i % 9} other{i % 4}") for i in range(90)], "doc_id long, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"word{i} common") for i in range(9)], "query_id string, query string")
+    index = retrieval.bm25_index(docs, path=str(tmp_path / "i"), lists=False)
+    rows = lambda: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in retrieval.bm25_search(index, queries, 5).collect())
+    monkeypatch.setattr(retrieval, "SCAN_FROM", 1)
+    through = rows()
+    assert not (tmp_path / "i" / "blocks").exists() and len(through) == 45
+    monkeypatch.undo()
+    assert rows() == through and (tmp_path / "i" / "blocks" / "_SUCCESS").exists()
+
+
+def test_a_task_hands_on_its_best_rows(spark, monkeypatch):
+    """The same best rows and ties as by sorting all, and no more than k rows for a query handed on."""
+    monkeypatch.setattr(topk, "CELLS", 40)
+    rng = np.random.default_rng(8)
+    s = np.round(rng.normal(size=(4, 1000)), 2)
+    s[0, ::3], s[1] = -np.inf, 1.0
+    rows = spark.createDataFrame([(i,) for i in range(1000)], "doc_id long").coalesce(1)
+    ids = pa.array(["a", "b", "c", "d"])
+    for above in (-np.inf, 0.0):
+        out = topk.top_rows(rows, ids, lambda b: s[:, b.column(0).to_numpy()], 5, "long", "string", above)
+        got = {(r.query_id, r.rank, r.doc_id) for r in topk.ranked(out, 5, "doc_id").collect()}
+        assert got == {(ids[q].as_py(), n, int(d)) for q in range(4) for n, d in enumerate(np.lexsort((np.arange(1000), -s[q]))[:5])}
+        assert out.count() == 20
+
+
 def test_index_is_shuffled_once(spark, tmp_path, monkeypatch):
     """Postings are dealt to buckets once, before lists are made."""
     calls = []
